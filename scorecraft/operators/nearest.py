@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from scorecraft.functions.vectors import as_double, best_of, cosine, l2_norm
 from scorecraft.session import row_bound_holds
 
-# Classes x dimension that we accept to ship with every task (~64 MB of doubles).
-MAX_CLASS_CELLS = 8_000_000
 MAX_CLASSES = 100_000
 
 
@@ -70,14 +68,15 @@ def nearest_class(items: DataFrame, vec_col: str, classes: DataFrame,
     ``zero_norm = true`` (never silently NaN).
     """
     packed = _packed_classes(classes, class_idx, class_label, class_vec)
-    best = best_of(_scored(F.col("_v"), F.col("_n"), packed))
-    return (items.withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
+    best = best_of(_scored(F.col("_v"), F.col("_n"), F.col("_cls")))
+    return (items.withColumn("_cls", packed)
+                 .withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
                  .withColumn("_best", best)
                  .withColumn("predicted_idx", F.col("_best.class_idx"))
                  .withColumn("predicted_label", F.col("_best.class_label"))
                  .withColumn("sim", F.col("_best.sim"))
                  .withColumn("zero_norm", F.coalesce(F.col("_n") == 0, F.lit(True)))
-                 .drop("_v", "_n", "_best"))
+                 .drop("_cls", "_v", "_n", "_best"))
 
 
 def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
@@ -87,7 +86,8 @@ def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
     packed = _packed_classes(classes, class_idx, class_label, class_vec)
     keep = keep or [c for c in items.columns if c != vec_col]
     v = as_double(vec_col)
-    return (items.select(*keep, F.explode(_scored(v, l2_norm(v), packed)).alias("_s"))
+    return (items.withColumn("_cls", packed)
+                 .select(*keep, F.explode(_scored(v, l2_norm(v), F.col("_cls"))).alias("_s"))
                  .select(*keep, "_s.class_idx", "_s.class_label", "_s.sim"))
 
 
@@ -101,7 +101,7 @@ def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scal
     packed = _packed_classes(classes, class_idx, class_label, class_vec)
     keep = keep or [c for c in items.columns if c != vec_col]
     v = as_double(vec_col)
-    scored = _scored(v, l2_norm(v), packed)
+    scored = _scored(v, l2_norm(v), F.col("_cls"))
 
     def probs(s: Column) -> Column:
         logits = F.transform(s, lambda e: e["sim"] * F.lit(logit_scale))
@@ -113,7 +113,7 @@ def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scal
             (F.exp(e["sim"] * F.lit(logit_scale) - top) / z).alias("prob")))
 
     from scorecraft.functions.text import let
-    return (items.select(*keep, F.explode(let(scored, probs)).alias("_p"))
+    return (items.withColumn("_cls", packed).select(*keep, F.explode(let(scored, probs)).alias("_p"))
                  .select(*keep, "_p.class_idx", "_p.class_label", "_p.sim", "_p.prob"))
 
 
@@ -123,7 +123,7 @@ def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
     """Classify each item: winner by cosine, its softmax probability, correct flag."""
     packed = _packed_classes(classes, class_idx, class_label, class_vec)
     v = F.col("_v")
-    scored = _scored(v, F.col("_n"), packed)
+    scored = _scored(v, F.col("_n"), F.col("_cls"))
 
     def summarise(s: Column) -> Column:
         best = best_of(s)
@@ -136,7 +136,7 @@ def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
                         (F.exp(best["sim"] * F.lit(logit_scale) - top) / z).alias("prob"))
 
     from scorecraft.functions.text import let
-    out = (items.withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
+    out = (items.withColumn("_cls", packed).withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
                 .withColumn("_z", let(scored, summarise)))
     return (out.withColumn("predicted_idx", F.col("_z.class_idx"))
                .withColumn("predicted_label", F.col("_z.class_label"))
@@ -144,4 +144,4 @@ def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
                .withColumn("prob", F.col("_z.prob"))
                .withColumn("correct", F.coalesce(
                    F.col(gt_col).cast("string") == F.col("_z.class_label"), F.lit(False)))
-               .drop("_v", "_n", "_z"))
+               .drop("_cls", "_v", "_n", "_z"))
