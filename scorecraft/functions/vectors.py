@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.text import ColumnOrName, _c
 
-_ZERO = F.lit(0.0).cast("double")
+def _zero() -> Column:
+    return F.lit(0.0).cast("double")
 
 
 def as_double(v: ColumnOrName) -> Column:
@@ -20,12 +21,12 @@ def as_double(v: ColumnOrName) -> Column:
 
 
 def l2_norm(v: ColumnOrName) -> Column:
-    return F.sqrt(F.aggregate(as_double(v), _ZERO, lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(as_double(v), _zero(), lambda acc, x: acc + x * x))
 
 
 def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),
-                       _ZERO, lambda acc, x: acc + x)
+                       _zero(), lambda acc, x: acc + x)
 
 
 def cosine(a: ColumnOrName, b: ColumnOrName, norm_a: Column | None = None,
@@ -33,7 +34,7 @@ def cosine(a: ColumnOrName, b: ColumnOrName, norm_a: Column | None = None,
     """dot / (|a| |b|); a zero norm gives NULL instead of NaN."""
     na = l2_norm(a) if norm_a is None else norm_a
     nb = l2_norm(b) if norm_b is None else norm_b
-    return F.try_divide(dot(a, b), F.nullif(na * nb, _ZERO))
+    return F.try_divide(dot(a, b), F.nullif(na * nb, _zero()))
 
 
 def best_of(scored: Column) -> Column:

@@ -18,7 +18,7 @@ runs one model instance per partition over Arrow batches.
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,58 +42,77 @@ def terms(text: ColumnOrName, analyzer: str = "word") -> Column:
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
 
-def term_counts(df: DataFrame, key: str, text: str, analyzer: str = "word") -> DataFrame:
-    """``(key, term, tf)``."""
-    return (df.select(key, F.explode(terms(text, analyzer)).alias("term"))
-              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def _keys(k: str | Sequence[str]) -> list[str]:
+    return [k] if isinstance(k, str) else list(k)
 
 
-def norms(tc: DataFrame, key: str) -> DataFrame:
-    return tc.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+def term_counts(df: DataFrame, key: str | Sequence[str], text: str, analyzer: str = "word") -> DataFrame:
+    """``(key..., term, tf)``."""
+    keys = _keys(key)
+    return (df.select(*keys, F.explode(terms(text, analyzer)).alias("term"))
+              .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def token_cosine(left: DataFrame, left_key: str, left_text: str,
-                 right: DataFrame, right_key: str, right_text: str,
-                 analyzer: str = "word", partitions: int | None = None) -> DataFrame:
-    """``(left_key, right_key, dot, cosine)`` for every pair sharing a term.
+def norms(tc: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    return tc.groupBy(*_keys(key)).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
 
-    ``right`` is the bounded side (classes / benchmark items).
+
+def token_cosine(left: DataFrame, left_key: str | Sequence[str], left_text: str,
+                 right: DataFrame, right_key: str | Sequence[str], right_text: str,
+                 analyzer: str = "word", scope: Sequence[str] = (),
+                 partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
+    """``(scope..., left_key..., right_key..., dot, cosine)`` for pairs sharing a term.
+
+    ``right`` is the bounded side (classes / benchmark items).  ``scope``
+    columns (e.g. the run) restrict pairs to rows with equal scope values.
+    ``prepartitioned``: ``left`` is already hash-partitioned by its keys.
     """
-    r_tc = term_counts(right, right_key, right_text, analyzer)
-    r_norm = norms(r_tc, right_key)
-    r_side = (r_tc.join(r_norm, right_key)
-                  .select(F.col(right_key), "term", F.col("tf").alias("r_tf"), F.col("norm").alias("r_norm")))
+    scope = list(scope)
+    lk = [k for k in _keys(left_key) if k not in scope]
+    rk = [k for k in _keys(right_key) if k not in scope]
+    r_tc = term_counts(right, scope + rk, right_text, analyzer)
+    r_norm = norms(r_tc, scope + rk)
+    r_side = (r_tc.join(r_norm, scope + rk)
+                  .select(*scope, *rk, "term", F.col("tf").alias("r_tf"), F.col("norm").alias("r_norm")))
     r_side, _ = bounded_broadcast(r_side, MAX_CLASS_TERMS)
 
-    base = left.select(left_key, left_text)
-    base = base.repartition(partitions, left_key) if partitions else base.repartition(left_key)
-    l_tc = term_counts(base, left_key, left_text, analyzer)
-    l_norm = norms(l_tc, left_key)
-    dots = (l_tc.join(r_side, "term")
-                .groupBy(left_key, right_key)
+    base = left.select(*scope, *lk, left_text)
+    part_cols = scope + lk
+    if not prepartitioned:
+        base = base.repartition(partitions, *part_cols) if partitions else base.repartition(*part_cols)
+    l_tc = term_counts(base, scope + lk, left_text, analyzer)
+    l_norm = norms(l_tc, scope + lk)
+    dots = (l_tc.join(r_side, scope + ["term"])
+                .groupBy(*scope, *lk, *rk)
                 .agg(F.sum(F.col("tf") * F.col("r_tf")).cast("double").alias("dot"),
                      F.first("r_norm").alias("r_norm")))
-    return (dots.join(l_norm, left_key)
-                .select(left_key, right_key, "dot",
+    return (dots.join(l_norm, scope + lk)
+                .select(*scope, *lk, *rk, "dot",
                         (F.col("dot") / (F.col("norm") * F.col("r_norm"))).alias("cosine")))
 
 
-def token_nearest(left: DataFrame, left_key: str, left_text: str,
+def token_nearest(left: DataFrame, left_key: str | Sequence[str], left_text: str,
                   right: DataFrame, right_key: str, right_text: str,
-                  analyzer: str = "word", tie_digits: int = 9,
-                  partitions: int | None = None) -> DataFrame:
+                  analyzer: str = "word", tie_digits: int = 9, scope: Sequence[str] = (),
+                  partitions: int | None = None, prepartitioned: bool = False,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Best ``right_key`` per left row by cosine; lowest key wins ties.
 
     Rows sharing no term with any candidate keep ``right_key`` NULL and cosine 0.
+    ``keep`` lists extra left columns to carry (the join back to ``left`` is
+    co-partitioned when ``left`` is partitioned by its keys).
     """
-    pairs = token_cosine(left, left_key, left_text, right, right_key, right_text, analyzer, partitions)
-    best = (pairs.groupBy(left_key)
+    scope = list(scope)
+    lk = [k for k in _keys(left_key) if k not in scope]
+    pairs = token_cosine(left, lk, left_text, right, right_key, right_text, analyzer, scope, partitions,
+                         prepartitioned)
+    best = (pairs.groupBy(*scope, *lk)
                  .agg(F.max(F.struct(F.round("cosine", tie_digits).alias("r"),
                                      (-F.col(right_key)).alias("neg"),
                                      F.col(right_key).alias("k"),
                                      F.col("cosine").alias("c"))).alias("_b"))
-                 .select(left_key, F.col("_b.k").alias(right_key), F.col("_b.c").alias("cosine")))
-    return (left.select(left_key).join(best, left_key, "left")
+                 .select(*scope, *lk, F.col("_b.k").alias(right_key), F.col("_b.c").alias("cosine")))
+    return (left.select(*scope, *lk, *[c for c in keep if c not in scope + lk]).join(best, scope + lk, "left")
                 .withColumn("cosine", F.coalesce("cosine", F.lit(0.0))))
 
 

@@ -194,29 +194,45 @@ def rules_for(model: str, attribute: str, has_author: bool, has_year: bool) -> l
     return seq
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.try_element_at(m, key)
+
+
 def canonical_model(c: Column) -> Column:
-    low = F.lower(c)
-    out = F.lit(None).cast("string")
-    for m in MODELS:
-        out = F.when(low == m.lower(), F.lit(m)).otherwise(out)
-    return F.coalesce(out, c)
+    """Model name with canonical case (``LLaVa`` -> ``LLaVA``); unknown names unchanged."""
+    return F.coalesce(_lookup({m.lower(): m for m in MODELS}, F.lower(c)), c)
 
 
 def canonical_attribute(c: Column) -> Column:
-    out = c
-    for raw, canon in ATTRIBUTE_ALIASES.items():
-        out = F.when(c == raw, F.lit(canon)).otherwise(out)
-    return out
+    """``style`` -> ``art_style``; other names unchanged."""
+    return F.coalesce(_lookup(ATTRIBUTE_ALIASES, c), c)
+
+
+MAX_PROFILES = 1000
+
+
+def run_profiles(df: DataFrame, key: Column) -> list[str] | None:
+    """Distinct run profiles present in ``df`` (bounded: at most MAX_PROFILES).
+
+    Only the small set of profile keys reaches the driver, so that the plan
+    carries the rule branches that can fire instead of all of them.
+    """
+    rows = df.select(key.alias("k")).distinct().limit(MAX_PROFILES + 1).collect()
+    return None if len(rows) > MAX_PROFILES else [r["k"] for r in rows]
 
 
 def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
                       attribute: str = "attribute", prompt: str = "prompt",
-                      year_precision: int | Column = 100, out: str = "pred_clean") -> DataFrame:
+                      year_precision: int | Column = 100, out: str = "pred_clean",
+                      profiles: list[str] | None = None, detect_profiles: bool = True) -> DataFrame:
     """Clean raw answers of any mix of runs in one narrow projection.
 
     Rows are dispatched on ``(model, attribute, '[author]' in prompt,
     '[year]' in prompt)``; profiles that share a rule list share a branch.
-    Chat and few-shot markers are decided per row.
+    Chat and few-shot markers are decided per row.  ``profiles`` (keys
+    ``model|attribute|has_author|has_year``) limits the branches compiled
+    into the plan; by default they are detected from the data.
     """
     m = canonical_model(F.col(model))
     a = canonical_attribute(F.col(attribute))
@@ -224,15 +240,18 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
     key = F.concat_ws("|", m, a, F.contains(p, F.lit("[author]")).cast("string"),
                       F.contains(p, F.lit("[year]")).cast("string"))
 
+    if profiles is None and detect_profiles:
+        profiles = run_profiles(df, key)
+    wanted = None if profiles is None else set(profiles)
     branches: dict[tuple[Rule, ...], list[str]] = {}
     for mm in MODELS:
         for aa in sorted(set(ATTRIBUTE_ALIASES.values())):
             for ha in (False, True):
                 for hy in (False, True):
+                    k = f"{mm}|{aa}|{str(ha).lower()}|{str(hy).lower()}"
                     seq = tuple(rules_for(mm, aa, ha, hy))
-                    if seq:
-                        branches.setdefault(seq, []).append(
-                            f"{mm}|{aa}|{str(ha).lower()}|{str(hy).lower()}")
+                    if seq and (wanted is None or k in wanted):
+                        branches.setdefault(seq, []).append(k)
 
     pre = T.fewshot_tail(T.assistant_extract(T.null_to_empty(pred)))
 
