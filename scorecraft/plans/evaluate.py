@@ -29,7 +29,7 @@ def attach_manifest(preds: DataFrame, manifests: DataFrame) -> DataFrame:
 
     Manifests are one row per run: broadcast after a size check.
     """
-    m = manifests.select("run", F.col("prompt"), F.col("attribute").alias("manifest_attribute"))
+    m = manifests.select("run", "prompt", "manifest_attribute")
     m, _ = bounded_broadcast(m)
     return preds.join(m, "run", "left")
 

@@ -74,8 +74,13 @@ def read_processed(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path_glob: str) -> DataFrame:
-    """One row per run manifest; keys missing in a file are NULL."""
-    df = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").json(path_glob)
+    """One row per run manifest; keys missing in a file are NULL.
+
+    The manifest's own ``attribute`` is kept as ``manifest_attribute``; the
+    run columns (from the folder name) take precedence.
+    """
+    df = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").json(path_glob)
+               .withColumnRenamed("attribute", "manifest_attribute"))
     return with_run(df)
 
 
