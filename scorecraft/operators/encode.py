@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.text import ColumnOrName, _c
@@ -46,23 +46,55 @@ def _keys(k: str | Sequence[str]) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
 
 
+def sorted_norm(sorted_terms: Column) -> Column:
+    """L2 norm of the term-count vector of a *sorted* term array, in one pass.
+
+    Walks the array once, tracking the current run of equal terms; no
+    per-term rows and no second tokenisation are needed.
+    """
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("long").alias("run"),
+                    F.lit(0).cast("long").alias("ss"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["prev"].eqNullSafe(x)
+        return F.struct(x.alias("prev"),
+                        F.when(same, acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
+                        F.when(same, acc["ss"]).otherwise(acc["ss"] + acc["run"] * acc["run"]).alias("ss"))
+
+    return F.aggregate(sorted_terms, init, step, lambda acc: F.sqrt((acc["ss"] + acc["run"] * acc["run"]).cast("double")))
+
+
+def _keys(k: str | Sequence[str]) -> list[str]:
+    return [k] if isinstance(k, str) else list(k)
+
+
 def term_counts(df: DataFrame, key: str | Sequence[str], text: str, analyzer: str = "word") -> DataFrame:
-    """``(key..., term, tf)``."""
+    """``(key..., norm, term, tf)``: one tokenisation per row; ``norm`` is the row's L2 norm."""
     keys = _keys(key)
-    return (df.select(*keys, F.explode(terms(text, analyzer)).alias("term"))
-              .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tc = (df.select(*keys, F.explode(terms(text, analyzer)).alias("term"))
+            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # Row norm as a window over the row's own terms: on input partitioned by
+    # the keys this is an in-partition sort, with no second tokenisation and
+    # no exchange.
+    return tc.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys))))
 
 
-def norms(tc: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    return tc.groupBy(*_keys(key)).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+def _partitioned(left: DataFrame, keys: list[str], partitions: int | None, prepartitioned: bool) -> DataFrame:
+    if prepartitioned:
+        return left
+    return left.repartition(partitions, *keys) if partitions else left.repartition(*keys)
 
 
 def token_cosine(left: DataFrame, left_key: str | Sequence[str], left_text: str,
                  right: DataFrame, right_key: str | Sequence[str], right_text: str,
                  analyzer: str = "word", scope: Sequence[str] = (),
-                 partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
+                 partitions: int | None = None, prepartitioned: bool = False,
+                 keep_unmatched: bool = False) -> DataFrame:
     """``(scope..., left_key..., right_key..., dot, cosine)`` for pairs sharing a term.
 
+    ``keep_unmatched``: left rows sharing no term also yield one row with a
+    NULL right key (left outer join on the term).
+
     ``right`` is the bounded side (classes / benchmark items).  ``scope``
     columns (e.g. the run) restrict pairs to rows with equal scope values.
     ``prepartitioned``: ``left`` is already hash-partitioned by its keys.
@@ -70,25 +102,17 @@ def token_cosine(left: DataFrame, left_key: str | Sequence[str], left_text: str,
     scope = list(scope)
     lk = [k for k in _keys(left_key) if k not in scope]
     rk = [k for k in _keys(right_key) if k not in scope]
-    r_tc = term_counts(right, scope + rk, right_text, analyzer)
-    r_norm = norms(r_tc, scope + rk)
-    r_side = (r_tc.join(r_norm, scope + rk)
-                  .select(*scope, *rk, "term", F.col("tf").alias("r_tf"), F.col("norm").alias("r_norm")))
+    r_side = (term_counts(right, scope + rk, right_text, analyzer)
+              .select(*scope, *rk, "term", F.col("tf").alias("r_tf"), F.col("norm").alias("r_norm")))
     r_side, _ = bounded_broadcast(r_side, MAX_CLASS_TERMS)
 
-    base = left.select(*scope, *lk, left_text)
-    part_cols = scope + lk
-    if not prepartitioned:
-        base = base.repartition(partitions, *part_cols) if partitions else base.repartition(*part_cols)
+    base = _partitioned(left.select(*scope, *lk, left_text), scope + lk, partitions, prepartitioned)
     l_tc = term_counts(base, scope + lk, left_text, analyzer)
-    l_norm = norms(l_tc, scope + lk)
-    dots = (l_tc.join(r_side, scope + ["term"])
+    dots = (l_tc.join(r_side, scope + ["term"], "left" if keep_unmatched else "inner")
                 .groupBy(*scope, *lk, *rk)
                 .agg(F.sum(F.col("tf") * F.col("r_tf")).cast("double").alias("dot"),
-                     F.first("r_norm").alias("r_norm")))
-    return (dots.join(l_norm, scope + lk)
-                .select(*scope, *lk, *rk, "dot",
-                        (F.col("dot") / (F.col("norm") * F.col("r_norm"))).alias("cosine")))
+                     F.first("norm").alias("norm"), F.first("r_norm").alias("r_norm")))
+    return dots.select(*scope, *lk, *rk, "dot", (F.col("dot") / (F.col("norm") * F.col("r_norm"))).alias("cosine"))
 
 
 def token_nearest(left: DataFrame, left_key: str | Sequence[str], left_text: str,
@@ -99,21 +123,29 @@ def token_nearest(left: DataFrame, left_key: str | Sequence[str], left_text: str
     """Best ``right_key`` per left row by cosine; lowest key wins ties.
 
     Rows sharing no term with any candidate keep ``right_key`` NULL and cosine 0.
-    ``keep`` lists extra left columns to carry (the join back to ``left`` is
-    co-partitioned when ``left`` is partitioned by its keys).
+    ``keep`` lists extra left columns to carry.  The left side is
+    hash-partitioned by its keys once; the term counts, the arg-max and the
+    join back to the left rows all reuse that partitioning.
     """
     scope = list(scope)
     lk = [k for k in _keys(left_key) if k not in scope]
-    pairs = token_cosine(left, lk, left_text, right, right_key, right_text, analyzer, scope, partitions,
-                         prepartitioned)
+    extra = [c for c in keep if c not in scope + lk and c != left_text]
+    base = _partitioned(left.select(*scope, *lk, left_text, *extra), scope + lk, partitions, prepartitioned)
+    extra_cols = [c for c in keep if c not in scope + lk]
+    pairs = token_cosine(base, lk, left_text, right, right_key, right_text, analyzer, scope, partitions, True,
+                         keep_unmatched=not extra_cols)
+    # Max over (rounded cosine, -key): the lowest key wins ties; a NULL key
+    # (terms without any match) loses to every real candidate.
     best = (pairs.groupBy(*scope, *lk)
                  .agg(F.max(F.struct(F.round("cosine", tie_digits).alias("r"),
                                      (-F.col(right_key)).alias("neg"),
                                      F.col(right_key).alias("k"),
                                      F.col("cosine").alias("c"))).alias("_b"))
                  .select(*scope, *lk, F.col("_b.k").alias(right_key), F.col("_b.c").alias("cosine")))
-    return (left.select(*scope, *lk, *[c for c in keep if c not in scope + lk]).join(best, scope + lk, "left")
-                .withColumn("cosine", F.coalesce("cosine", F.lit(0.0))))
+    if extra_cols:
+        # Co-partitioned with ``base``: the join back adds no exchange of the rows.
+        best = base.select(*scope, *lk, *extra_cols).join(best, scope + lk, "left")
+    return best.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
 def encode_with(df: DataFrame, text: str, out: str, make_encoder: Callable[[], Callable],
