@@ -6,6 +6,12 @@ Spark evaluates once and ships with the tasks.  Each item row then scores all
 classes inside one expression: the scan stays a narrow, shuffle-free stage
 and no item x class rows are materialised unless the caller asks for the
 full similarity matrix.
+
+The shipped value is bounded by ``MAX_CLASS_CELLS`` (classes x dimension).
+A larger class side is cut into blocks of that size; items are written once
+to the shared checkpoint folder, scored block by block, and the per-block
+winners (or softmax partial sums) are merged per item -- exact, just more
+passes.
 """
 
 from __future__ import annotations
@@ -13,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.functions.text import let
 from scorecraft.functions.vectors import as_double, best_of, cosine, l2_norm
-from scorecraft.session import row_bound_holds
+from functools import reduce
+
+from scorecraft.session import cut_lineage
 
-MAX_CLASSES = 100_000
+# Classes x dimension shipped with every task (32 MB of doubles).
+MAX_CLASS_CELLS = 4_000_000
 
 
 def class_centroids(df: DataFrame, label_col: str, vec_col: str,
@@ -40,8 +50,6 @@ def index_classes(classes: DataFrame, label_col: str, idx_col: str = "class_idx"
 
 
 def _packed_classes(classes: DataFrame, idx_col: str, label_col: str, vec_col: str) -> Column:
-    if not row_bound_holds(classes, MAX_CLASSES):
-        raise ValueError(f"class domain exceeds {MAX_CLASSES} rows; use the token join route")
     packed = classes.select(F.array_sort(F.collect_list(F.struct(
         F.col(idx_col).cast("int").alias("class_idx"),
         F.col(label_col).cast("string").alias("class_label"),
@@ -51,6 +59,25 @@ def _packed_classes(classes: DataFrame, idx_col: str, label_col: str, vec_col: s
     return packed.scalar()
 
 
+def class_blocks(classes: DataFrame, idx_col: str, vec_col: str,
+                 max_cells: int | None = None) -> list[DataFrame]:
+    """Split the class side into index ranges of at most ``max_cells`` cells each.
+
+    One small aggregate (count, index range, dimension) decides the split.
+    """
+    max_cells = max_cells or MAX_CLASS_CELLS
+    st = classes.agg(F.count(F.lit(1)).alias("n"), F.min(idx_col).alias("lo"), F.max(idx_col).alias("hi"),
+                     F.max(F.size(vec_col)).alias("d")).first()
+    if not st["n"]:
+        return [classes]
+    per_block = max(1, max_cells // max(int(st["d"] or 1), 1))
+    if st["n"] <= per_block:
+        return [classes]
+    lo, hi = int(st["lo"]), int(st["hi"])
+    return [classes.where((F.col(idx_col) >= b) & (F.col(idx_col) < b + per_block))
+            for b in range(lo, hi + 1, per_block)]
+
+
 def _scored(vec: Column, norm: Column, packed: Column) -> Column:
     return F.transform(packed, lambda k: F.struct(
         cosine(vec, k["vec"], norm, k["norm"]).alias("sim"),
@@ -59,6 +86,29 @@ def _scored(vec: Column, norm: Column, packed: Column) -> Column:
     ))
 
 
+def _best_in(items: DataFrame, vec_col: str, packed: Column) -> DataFrame:
+    best = best_of(_scored(F.col("_v"), F.col("_n"), F.col("_cls")))
+    return (items.withColumn("_cls", packed)
+                 .withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
+                 .withColumn("_best", best).drop("_cls", "_v"))
+
+
+def _finish_nearest(df: DataFrame) -> DataFrame:
+    return (df.withColumn("predicted_idx", F.col("_best.class_idx"))
+              .withColumn("predicted_label", F.col("_best.class_label"))
+              .withColumn("sim", F.col("_best.sim"))
+              .withColumn("zero_norm", F.coalesce(F.col("_n") == 0, F.lit(True)))
+              .drop("_n", "_best"))
+
+
+def _merge_best(parts: list[DataFrame]) -> DataFrame:
+    """Per-item winner over per-block winners (NULL similarity never wins; lowest index on ties)."""
+    u = reduce(lambda a, b: a.unionByName(b), [p.select("_row", "_n", "_best") for p in parts])
+    rank = F.struct(F.col("_best.sim").isNotNull().alias("has"), F.col("_best.sim").alias("sim"),
+                    (-F.col("_best.class_idx")).alias("neg"), F.col("_best").alias("best"))
+    return u.groupBy("_row").agg(F.first("_n").alias("_n"), F.max(rank)["best"].alias("_best"))
+
+
 def nearest_class(items: DataFrame, vec_col: str, classes: DataFrame,
                   class_idx: str = "class_idx", class_label: str = "class_label",
                   class_vec: str = "class_vec") -> DataFrame:
@@ -67,28 +117,58 @@ def nearest_class(items: DataFrame, vec_col: str, classes: DataFrame,
     Ties go to the lowest class index; zero vectors get NULL similarity and
     ``zero_norm = true`` (never silently NaN).
     """
-    packed = _packed_classes(classes, class_idx, class_label, class_vec)
-    best = best_of(_scored(F.col("_v"), F.col("_n"), F.col("_cls")))
-    return (items.withColumn("_cls", packed)
-                 .withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
-                 .withColumn("_best", best)
-                 .withColumn("predicted_idx", F.col("_best.class_idx"))
-                 .withColumn("predicted_label", F.col("_best.class_label"))
-                 .withColumn("sim", F.col("_best.sim"))
-                 .withColumn("zero_norm", F.coalesce(F.col("_n") == 0, F.lit(True)))
-                 .drop("_cls", "_v", "_n", "_best"))
+    blocks = class_blocks(classes, class_idx, class_vec)
+    if len(blocks) == 1:
+        return _finish_nearest(_best_in(items, vec_col, _packed_classes(classes, class_idx, class_label, class_vec)))
+    keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
+    parts = [_best_in(keyed, vec_col, _packed_classes(b, class_idx, class_label, class_vec)) for b in blocks]
+    merged = _merge_best(parts)
+    return _finish_nearest(keyed.join(merged, "_row").drop("_row"))
 
 
 def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
                   class_idx: str = "class_idx", class_label: str = "class_label",
                   class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
     """Long similarity matrix: one row per (item, class)."""
-    packed = _packed_classes(classes, class_idx, class_label, class_vec)
     keep = keep or [c for c in items.columns if c != vec_col]
     v = as_double(vec_col)
-    return (items.withColumn("_cls", packed)
-                 .select(*keep, F.explode(_scored(v, l2_norm(v), F.col("_cls"))).alias("_s"))
-                 .select(*keep, "_s.class_idx", "_s.class_label", "_s.sim"))
+    parts = []
+    for block in class_blocks(classes, class_idx, class_vec):
+        packed = _packed_classes(block, class_idx, class_label, class_vec)
+        parts.append(items.withColumn("_cls", packed)
+                     .select(*keep, F.explode(_scored(v, l2_norm(v), F.col("_cls"))).alias("_s"))
+                     .select(*keep, "_s.class_idx", "_s.class_label", "_s.sim"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _logit_stats(s: Column, logit_scale: float) -> tuple[Column, Column]:
+    """(max logit, sum exp(logit - max)) of an array of scored classes."""
+    logits = F.transform(s, lambda e: e["sim"] * F.lit(logit_scale))
+    top = F.array_max(logits)
+    z = F.aggregate(logits, F.lit(0.0).cast("double"), lambda acc, l: acc + F.exp(l - top))
+    return top, z
+
+
+def _block_partials(items: DataFrame, vec_col: str, packed: Column, logit_scale: float) -> DataFrame:
+    """Per item and block: winner, max logit, partial softmax denominator."""
+    def summarise(s: Column) -> Column:
+        top, z = _logit_stats(s, logit_scale)
+        return F.struct(best_of(s).alias("best"), top.alias("top"), z.alias("z"))
+    scored = _scored(F.col("_v"), F.col("_n"), F.col("_cls"))
+    return (items.withColumn("_cls", packed).withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
+                 .withColumn("_p", let(scored, summarise)).drop("_cls", "_v"))
+
+
+def _merge_partials(parts: list[DataFrame]) -> DataFrame:
+    """Exact merge of per-block partials: best overall, global max, rescaled denominator."""
+    u = reduce(lambda a, b: a.unionByName(b), [p.select("_row", "_n", "_p") for p in parts])
+    rank = F.struct(F.col("_p.best.sim").isNotNull().alias("has"), F.col("_p.best.sim").alias("sim"),
+                    (-F.col("_p.best.class_idx")).alias("neg"), F.col("_p.best").alias("best"))
+    g = u.groupBy("_row").agg(F.first("_n").alias("_n"), F.max(rank)["best"].alias("best"),
+                              F.max("_p.top").alias("top"),
+                              F.collect_list(F.struct(F.col("_p.top").alias("t"), F.col("_p.z").alias("z"))).alias("_tz"))
+    z = F.aggregate("_tz", F.lit(0.0).cast("double"), lambda acc, e: acc + e["z"] * F.exp(e["t"] - F.col("top")))
+    return g.select("_row", "_n", F.struct("best", "top", z.alias("z")).alias("_p"))
 
 
 def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scale: float = 100.0,
@@ -96,52 +176,53 @@ def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scal
                   class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
     """Softmax over scaled cosine logits per item, computed inside the row.
 
-    ``exp(l - max l) / sum exp(l - max l)``: no window, no shuffle.
+    ``exp(l - max l) / sum exp(l - max l)``: no window, no shuffle (one
+    block); with several class blocks the max and the denominator are merged
+    exactly per item first.
     """
-    packed = _packed_classes(classes, class_idx, class_label, class_vec)
     keep = keep or [c for c in items.columns if c != vec_col]
+    blocks = class_blocks(classes, class_idx, class_vec)
     v = as_double(vec_col)
-    scored = _scored(v, l2_norm(v), F.col("_cls"))
 
-    def probs(s: Column) -> Column:
-        logits = F.transform(s, lambda e: e["sim"] * F.lit(logit_scale))
-        top = F.array_max(logits)
-        z = F.aggregate(logits, F.lit(0.0).cast("double"), lambda acc, l: acc + F.exp(l - top))
-        return F.transform(s, lambda e: F.struct(
-            e["class_idx"].alias("class_idx"), e["class_label"].alias("class_label"),
-            e["sim"].alias("sim"),
-            (F.exp(e["sim"] * F.lit(logit_scale) - top) / z).alias("prob")))
-
-    from scorecraft.functions.text import let
-    return (items.withColumn("_cls", packed).select(*keep, F.explode(let(scored, probs)).alias("_p"))
-                 .select(*keep, "_p.class_idx", "_p.class_label", "_p.sim", "_p.prob"))
+    def emit(df: DataFrame, packed: Column, top: Column | None, z: Column | None) -> DataFrame:
+        scored = _scored(v, l2_norm(v), F.col("_cls"))
+
+        def probs(s: Column) -> Column:
+            t, zz = _logit_stats(s, logit_scale) if top is None else (top, z)
+            return F.transform(s, lambda e: F.struct(
+                e["class_idx"].alias("class_idx"), e["class_label"].alias("class_label"), e["sim"].alias("sim"),
+                (F.exp(e["sim"] * F.lit(logit_scale) - t) / zz).alias("prob")))
+        return (df.withColumn("_cls", packed).select(*keep, F.explode(let(scored, probs)).alias("_p"))
+                  .select(*keep, "_p.class_idx", "_p.class_label", "_p.sim", "_p.prob"))
+
+    if len(blocks) == 1:
+        return emit(items, _packed_classes(classes, class_idx, class_label, class_vec), None, None)
+    keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
+    packs = [_packed_classes(b, class_idx, class_label, class_vec) for b in blocks]
+    stats = _merge_partials([_block_partials(keyed, vec_col, p, logit_scale) for p in packs])
+    with_stats = keyed.join(stats.select("_row", F.col("_p.top").alias("_top"), F.col("_p.z").alias("_z")), "_row")
+    keep = keep + ["_top", "_z"]
+    out = reduce(lambda a, b: a.unionByName(b),
+                 [emit(with_stats, p, F.col("_top"), F.col("_z")) for p in packs])
+    return out.drop("_top", "_z")
 
 
 def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
               logit_scale: float = 100.0, class_idx: str = "class_idx",
               class_label: str = "class_label", class_vec: str = "class_vec") -> DataFrame:
     """Classify each item: winner by cosine, its softmax probability, correct flag."""
-    packed = _packed_classes(classes, class_idx, class_label, class_vec)
-    v = F.col("_v")
-    scored = _scored(v, F.col("_n"), F.col("_cls"))
-
-    def summarise(s: Column) -> Column:
-        best = best_of(s)
-        logits = F.transform(s, lambda e: e["sim"] * F.lit(logit_scale))
-        top = F.array_max(logits)
-        z = F.aggregate(logits, F.lit(0.0).cast("double"), lambda acc, l: acc + F.exp(l - top))
-        return F.struct(best["class_idx"].alias("class_idx"),
-                        best["class_label"].alias("class_label"),
-                        best["sim"].alias("sim"),
-                        (F.exp(best["sim"] * F.lit(logit_scale) - top) / z).alias("prob"))
-
-    from scorecraft.functions.text import let
-    out = (items.withColumn("_cls", packed).withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
-                .withColumn("_z", let(scored, summarise)))
-    return (out.withColumn("predicted_idx", F.col("_z.class_idx"))
-               .withColumn("predicted_label", F.col("_z.class_label"))
-               .withColumn("sim", F.col("_z.sim"))
-               .withColumn("prob", F.col("_z.prob"))
-               .withColumn("correct", F.coalesce(
-                   F.col(gt_col).cast("string") == F.col("_z.class_label"), F.lit(False)))
-               .drop("_cls", "_v", "_n", "_z"))
+    blocks = class_blocks(classes, class_idx, class_vec)
+    packs = [_packed_classes(b, class_idx, class_label, class_vec) for b in blocks]
+    if len(blocks) == 1:
+        out = _block_partials(items, vec_col, packs[0], logit_scale)
+    else:
+        keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
+        merged = _merge_partials([_block_partials(keyed, vec_col, p, logit_scale) for p in packs])
+        out = keyed.join(merged, "_row").drop("_row")
+    best = F.col("_p.best")
+    return (out.withColumn("predicted_idx", best["class_idx"])
+               .withColumn("predicted_label", best["class_label"])
+               .withColumn("sim", best["sim"])
+               .withColumn("prob", F.exp(best["sim"] * F.lit(logit_scale) - F.col("_p.top")) / F.col("_p.z"))
+               .withColumn("correct", F.coalesce(F.col(gt_col).cast("string") == best["class_label"], F.lit(False)))
+               .drop("_n", "_p"))

@@ -39,3 +39,27 @@ def test_ties_zero_vectors_and_softmax(spark):
     assert all(abs(s - 1.0) < 1e-12 for s in sums.values())
     zs = {r["id"]: r for r in N.zero_shot(items.where("id != 2"), "v", "gt", classes).collect()}
     assert zs[3]["correct"] and zs[1]["correct"]
+
+
+def test_blocked_classes_match_single_block(spark, monkeypatch):
+    """Class sides above the shipping bound are scored in blocks with an exact merge."""
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    cent = N.class_centroids(emb, "label", "embedding").select(
+        F.col("label").alias("class_idx"), F.col("label").cast("string").alias("class_label"), "class_vec")
+    items = emb.select("vec_id", "embedding", "label")
+
+    def snap():
+        near = {r["vec_id"]: (r["predicted_idx"], round(r["sim"], 9))
+                for r in N.nearest_class(items, "embedding", cent).collect()}
+        zs = {r["vec_id"]: (r["predicted_idx"], round(r["prob"], 9))
+              for r in N.zero_shot(items, "embedding", "label", cent).collect()}
+        sm = {(r["vec_id"], r["class_idx"]): round(r["prob"], 9)
+              for r in N.class_softmax(items, "embedding", cent, keep=["vec_id"]).collect()}
+        cm = N.cosine_matrix(items, "embedding", cent, keep=["vec_id"]).count()
+        return near, zs, sm, cm
+
+    one = snap()
+    monkeypatch.setattr(N, "MAX_CLASS_CELLS", 64 * 3)   # 3 classes per block -> 4 blocks
+    assert len(N.class_blocks(cent, "class_idx", "class_vec")) == 4
+    many = snap()
+    assert one == many
