@@ -364,3 +364,35 @@ def year_domain(spark: SparkSession, sf: str) -> DataFrame:
                .groupBy("class").agg(F.count(F.lit(1)).alias("n")))
     return (dom.join(counts, "class", "left")
             .select("class_idx", "class", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
+# --- TXT1 / PRM4 on whole chat transcripts ---------------------------------------
+
+@register("chat_transcripts", "TXT1 PRM4 JN1", sql=f"""
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT u.conv_id, u.turn, 'USER: <image>' || chr(10) || u.text || chr(10) || 'ASSISTANT:' AS prompt,
+             'USER: <image>' || chr(10) || u.text || chr(10) || 'ASSISTANT: ' || a.text AS chat, a.text AS reply
+      FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)
+SELECT conv_id, turn, length(prompt) AS prompt_chars, {S.pre_clean('chat')} AS answer,
+       {S.pre_clean('chat')} = replace(reply, chr(10), '') AS matches
+FROM c""")
+def chat_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user turn with the assistant reply that follows it, as one chat text.
+
+    The prompt is wrapped as a chat turn, the reply extracted back with the
+    assistant marker rule; ``matches`` checks the round trip on whole texts.
+    The self-join is an equi-join on (conversation, turn): unique keys, so a
+    long conversation cannot concentrate rows in one task.
+    """
+    c = table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("reply"))
+    j = u.join(a, ["conv_id", "turn"])
+    from scorecraft.operators.prompts import chat_wrap
+    prompt = chat_wrap(F.col("user_text"))
+    chat = F.concat(prompt, F.lit(" "), F.col("reply"))
+    ans = T.assistant_extract(chat)
+    return j.select("conv_id", "turn", F.length(prompt).alias("prompt_chars"), ans.alias("answer"),
+                    (ans == F.replace("reply", F.lit(NL), F.lit(""))).alias("matches"))
