@@ -55,14 +55,18 @@ def running_accuracy(counts: DataFrame) -> DataFrame:
 
 
 def start_scoring(spark: SparkSession, results_root: str, output: str, name: str = "scores",
-                  clean: bool = False, available_now: bool = True) -> StreamingQuery:
+                  clean: bool = False, available_now: bool = True,
+                  checkpoint_location: str | None = None) -> StreamingQuery:
     """Run the incremental count table and rewrite accuracy per run each micro-batch.
 
     The count table is the stateful part (complete mode); each batch writes
     the accuracy table with ``overwrite`` -- idempotent if a batch is replayed.
+    The query's progress lives in ``checkpoint_location`` (default:
+    ``<spark.checkpoint.dir>/stream-<name>``): restarting with the same name
+    resumes where it stopped, files already counted are not counted again.
     """
     counts = running_counts(prediction_stream(spark, results_root), clean=clean)
-    ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
+    ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), f"stream-{name}")
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
         running_accuracy(batch).write.mode("overwrite").parquet(output)

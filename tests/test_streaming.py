@@ -13,7 +13,8 @@ from scorecraft.streaming.incremental import start_scoring
 
 def test_stream_matches_batch(spark):
     out = tempfile.mkdtemp(prefix="scorecraft-stream-")
-    q = start_scoring(spark, RESULTS, out, name="t_scores")
+    ckpt = tempfile.mkdtemp(prefix="scorecraft-stream-ckpt-")
+    q = start_scoring(spark, RESULTS, out, name="t_scores", checkpoint_location=ckpt)
     q.awaitTermination(300)
     got = {r["run"]: (r["n"], r["correct"]) for r in spark.read.parquet(out).collect()}
     raw, _, _ = load_runs(spark, RESULTS)
@@ -22,3 +23,7 @@ def test_stream_matches_batch(spark):
     want = {r["run"]: (r["n"], r["correct"]) for r in M.accuracy(counts, ["run"]).collect()}
     assert got == want
     assert got["ArTest_style_CLIP"] == (147, 54)
+    # A restart on the same checkpoint resumes: nothing is counted twice.
+    q2 = start_scoring(spark, RESULTS, out, name="t_scores", checkpoint_location=ckpt)
+    q2.awaitTermination(300)
+    assert {r["run"]: (r["n"], r["correct"]) for r in spark.read.parquet(out).collect()} == want
