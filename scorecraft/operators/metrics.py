@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,17 @@ def _same(p: Column, g: Column) -> Column:
     return g.isNotNull() & p.eqNullSafe(g)
 
 
-def pair_counts(df: DataFrame, runs: Sequence[str], gt: str = "gt", pred: str = "pred") -> DataFrame:
-    """``(runs..., gt, pred, n)`` -- the only pass over the facts."""
-    return (df.select(*runs, F.col(gt).alias("gt"), F.col(pred).alias("pred"))
-              .groupBy(*runs, "gt", "pred").agg(F.count(F.lit(1)).alias("n")))
+def pair_counts(df: DataFrame, runs: Sequence[str], gt: str = "gt", pred: str = "pred",
+                persist: bool = True) -> DataFrame:
+    """``(runs..., gt, pred, n)`` -- the only pass over the facts.
+
+    The count table is persisted (memory, spilling to disk) because every
+    report reads it several times; without that each branch would re-scan the
+    facts.  Its size is bounded by the distinct (run, gt, pred) triples.
+    """
+    out = (df.select(*runs, F.col(gt).alias("gt"), F.col(pred).alias("pred"))
+             .groupBy(*runs, "gt", "pred").agg(F.count(F.lit(1)).alias("n")))
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def accuracy(counts: DataFrame, runs: Sequence[str]) -> DataFrame:
@@ -92,10 +100,27 @@ def class_stats(counts: DataFrame, runs: Sequence[str], labels: DataFrame | None
 
     The domain defaults to the sorted distinct gt.  Predictions outside it
     are misses for their gt class and never counted as a class prediction.
+    Default domain: one pass over the count table -- each cell contributes
+    to its gt class (support, tp) and to its predicted class (predicted);
+    the classes with support are exactly the gt domain.
     """
     runs = list(runs)
-    dom = labels if labels is not None else label_domain(counts, runs, "gt")
-    classes = dom.select(*runs, F.posexplode("labels").alias("class_idx", "class"))
+    if labels is None:
+        hit = _same(F.col("pred"), F.col("gt"))
+        sides = F.array(
+            F.struct(F.col("gt").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
+                     F.when(hit, F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("tp")),
+            F.struct(F.col("pred").alias("class"), F.lit(0).cast("bigint").alias("support"),
+                     F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("tp")))
+        per = (counts.select(*runs, F.explode(sides).alias("s")).where(F.col("s.class").isNotNull())
+                     .groupBy(*runs, F.col("s.class").alias("class"))
+                     .agg(F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"),
+                          F.sum("s.tp").alias("tp"))
+                     .where(F.col("support") > 0))
+        w = Window.partitionBy(*runs).orderBy("class") if runs else Window.orderBy("class")
+        return per.select(*runs, (F.row_number().over(w) - 1).cast("int").alias("class_idx"), "class",
+                          *[F.col(c).cast("bigint").alias(c) for c in ("support", "predicted", "tp")])
+    classes = labels.select(*runs, F.posexplode("labels").alias("class_idx", "class"))
     support = counts.groupBy(*runs, F.col("gt").alias("class")).agg(F.sum("n").alias("support"))
     predicted = counts.groupBy(*runs, F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
     tp = (counts.where(_same(F.col("pred"), F.col("gt")))
