@@ -152,20 +152,24 @@ def encode_with(df: DataFrame, text: str, out: str, make_encoder: Callable[[], C
                 batch_rows: int = 256) -> DataFrame:
     """Dense plug-in encoder: ``make_encoder()`` is called once per partition.
 
-    The returned callable maps a list of strings to a 2-D array-like; rows
-    are fed in Arrow batches of ``batch_rows``.
+    The returned callable maps a list of strings to a 2-D array-like.  Rows
+    arrive as Arrow batches and are encoded ``batch_rows`` at a time (the
+    model's batch size), so the model is loaded once per task, not per row.
     """
+    import numpy as np
     import pandas as pd
 
-    schema = df.schema.add(out, "array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = make_encoder()
         for pdf in batches:
-            vecs = enc(pdf[text].fillna("").tolist())
-            pdf[out] = [list(map(float, v)) for v in vecs]
+            texts = pdf[text].fillna("").tolist()
+            vecs = [np.asarray(enc(texts[i:i + batch_rows]), dtype=np.float32)
+                    for i in range(0, len(texts), batch_rows)]
+            mat = np.vstack(vecs) if vecs else np.zeros((0, 0), dtype=np.float32)
+            pdf[out] = list(mat)
             yield pdf
 
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInPandas(run, schema)
