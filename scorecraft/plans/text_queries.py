@@ -394,5 +394,5 @@ def chat_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     prompt = chat_wrap(F.col("user_text"))
     chat = F.concat(prompt, F.lit(" "), F.col("reply"))
     ans = T.assistant_extract(chat)
-    return j.select("conv_id", "turn", F.length(prompt).alias("prompt_chars"), ans.alias("answer"),
+    return j.select("conv_id", "turn", F.length(prompt).cast("bigint").alias("prompt_chars"), ans.alias("answer"),
                     (ans == F.replace("reply", F.lit(NL), F.lit(""))).alias("matches"))
