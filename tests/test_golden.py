@@ -87,3 +87,13 @@ def test_audits(spark, runs):
     assert A.runs_without_results(man, raw).count() == 34
     # AU1 through the library function
     assert A.unmatched_files(style, ann).count() == 2
+
+
+def test_end_to_end_all_runs_in_one_job(runs):
+    """Raw answers of five runs -> one evaluation job -> the reference's accuracies."""
+    from scorecraft.plans.evaluate import attach_manifest, run_report
+    raw, _, man = runs
+    ev = evaluate_predictions(attach_manifest(raw, man).drop("manifest_attribute"))
+    acc = {r["run"]: r["correct"] for r in run_report(ev)["accuracy"].collect()}
+    assert acc == {"ArTest_author_CLIP": 93, "ArTest_author_LLaVa": 36, "ArTest_style_CLIP": 54,
+                   "ArTest_year_CLIP": 104, "ArTest_year_LLaVa": 95}
