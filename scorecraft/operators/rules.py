@@ -25,6 +25,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.functions import sqltext as Q
 from scorecraft.functions import text as T
 
 Rule = tuple[str, str]
@@ -253,6 +254,20 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
                     if seq and (wanted is None or k in wanted):
                         branches.setdefault(seq, []).append(k)
 
+    if not isinstance(year_precision, Column):
+        # One Spark SQL expression for the whole dispatch: a single call into
+        # the JVM instead of thousands while the plan is built.
+        pre_sql = Q.fewshot_tail(Q.assistant_extract(Q.null_to_empty(Q.col(pred))))
+
+        def dispatch_sql(v: str) -> str:
+            whens = [f"WHEN _profile IN ({', '.join(Q.q(k) for k in keys)}) THEN {Q.fold(v, seq, year_precision)}"
+                     for seq, keys in branches.items()]
+            return f"CASE {' '.join(whens)} ELSE {v} END" if whens else v
+
+        return (df.withColumn("_profile", key)
+                  .withColumn(out, F.expr(Q.let(pre_sql, dispatch_sql)))
+                  .drop("_profile"))
+
     pre = T.fewshot_tail(T.assistant_extract(T.null_to_empty(pred)))
 
     def dispatch(x: Column) -> Column:

@@ -124,3 +124,28 @@ def test_properties_match_python(spark, batch):
     assert col_over(spark, batch, lambda c: T.keep_before(c, " style")) == [t.split(" style")[0] for t in batch]
     assert col_over(spark, batch, lambda c: T.keep_after_last(c, "belongs")) == \
         [t.split("belongs")[-1] for t in batch]
+
+
+rule_texts = st.lists(st.sampled_from([
+    "USER: q\nASSISTANT: ", "<image>", "This painting belongs to the ", "Baroque", " style", " period", ".",
+    "The art style of this painting is ", ", which was ", "art", "the ", "by Pablo Picasso ", "made in 1905 ",
+    "19th century", "9th century", "**", '"', "\t", "The author of this painting is ", "1887", " ", "Rococo"]),
+    min_size=0, max_size=12).map("".join)
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(rule_texts, min_size=80, max_size=80))
+def test_sql_text_rules_equal_column_rules(spark, batch):
+    """The one-expression SQL form of every rule list equals the Column form."""
+    from scorecraft.functions import sqltext as Q
+    from scorecraft.operators.rules import MODELS, fold_rules, rules_for
+    seqs = {tuple(rules_for(m, a, ha, hy)) for m in MODELS for a in ("art_style", "period", "author", "year")
+            for ha in (False, True) for hy in (False, True)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, x string")
+    cols = []
+    for j, seq in enumerate(sorted(seqs)):
+        cols.append(fold_rules(F.col("x"), seq).alias(f"c{j}"))
+        cols.append(F.expr(Q.fold("x", seq)).alias(f"s{j}"))
+    for r in df.select(*cols).collect():
+        for j in range(len(seqs)):
+            assert r[f"c{j}"] == r[f"s{j}"]
