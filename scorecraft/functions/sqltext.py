@@ -64,7 +64,11 @@ def sentence(x: str, word: str) -> str:
 
     def body(v: str) -> str:
         s = _var()
-        return f"coalesce({strip(f'get(filter(split({v}, {q(chr(92) + chr(46))}, -1), {s} -> contains(lower({s}), {w})), 0)')}, {v})"
+        found = (f"coalesce({strip(f'get(filter(split({v}, {q(chr(92) + chr(46))}, -1), {s} -> contains(lower({s}), {w})), 0)')}, "
+                 f"{v})")
+        if not word.lower().isascii():
+            return found
+        return f"CASE WHEN contains(lower({v}), {w}) THEN {found} ELSE {v} END"
     return let(x, body)
 
 
@@ -95,7 +99,8 @@ def century(x: str) -> str:
         ordered = f"array_sort({found}, ({a}, {b}) -> length({b}) - length({a}))"
         year = (f"cast(cast((try_cast(regexp_extract({m}, '^[0-9]+', 0) AS DECIMAL(38,0)) - 1) * 100 "
                 f"AS DECIMAL(38,0)) AS STRING)")
-        return f"aggregate({ordered}, {v}, ({acc}, {m}) -> replace({acc}, {m}, {year}))"
+        return (f"CASE WHEN contains({v}, ' century') THEN "
+                f"aggregate({ordered}, {v}, ({acc}, {m}) -> replace({acc}, {m}, {year})) ELSE {v} END")
     return let(x, body)
 
 

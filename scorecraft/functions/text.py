@@ -91,10 +91,15 @@ def sentence_with(c: ColumnOrName, word: str) -> Column:
     Without such a sentence the whole text is returned.
     """
     w = word.lower()
-    return let(c, lambda x: F.coalesce(
-        strip(F.get(F.filter(F.split(x, r"\.", -1), lambda s: F.contains(F.lower(s), F.lit(w))), 0)),
-        x,
-    ))
+
+    def body(x: Column) -> Column:
+        found = F.coalesce(
+            strip(F.get(F.filter(F.split(x, r"\.", -1), lambda s: F.contains(F.lower(s), F.lit(w))), 0)), x)
+        if not w.isascii():
+            return found
+        # Fast path: without the word anywhere in the text no sentence can hold it.
+        return F.when(F.contains(F.lower(x), F.lit(w)), found).otherwise(x)
+    return let(c, body)
 
 
 def keep_before(c: ColumnOrName, delim: str) -> Column:
@@ -143,12 +148,14 @@ def century_to_year(c: ColumnOrName) -> Column:
     def body(x: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(x, F.lit(CENTURY), 0))
         longest_first = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
-        return F.aggregate(
+        rewritten = F.aggregate(
             longest_first, x,
             lambda acc, m: F.replace(acc, m, (
                 (F.regexp_extract(m, "^[0-9]+", 0).try_cast("decimal(38,0)") - 1) * 100
             ).cast("decimal(38,0)").cast("string")),
         )
+        # Fast path: texts without the word "century" have no match.
+        return F.when(F.contains(x, F.lit(" century")), rewritten).otherwise(x)
     return let(c, body)
 
 
