@@ -145,3 +145,27 @@ def load_runs(spark: SparkSession, results_root: str) -> tuple[DataFrame, DataFr
     return (read_predictions(spark, f"{root}/*/results.csv"),
             read_processed(spark, f"{root}/*/results_processed.csv"),
             read_manifests(spark, f"{root}/*/args.json"))
+
+
+def model_report(raw: DataFrame, processed: DataFrame, dataset: str, attribute: str = "art_style",
+                 key: str = "lower", display: list[str] | None = None) -> dict[str, DataFrame]:
+    """Comparison of every model's run for one dataset and attribute (report scripts).
+
+    Per run, processed answers (``predicted_class``) win over raw ones.  Labels
+    are normalised with ``key='lower'`` (P/R/F1 report) or ``'underscore'``
+    (confusion report); the class list is the sorted distinct gt of each run,
+    optionally mapped by position to ``display`` names.
+    """
+    from scorecraft.sources.files import preferred_results
+    norm = T.report_key_lower if key == "lower" else T.report_key_underscore
+    runs = ["dataset", "attribute", "model"]
+    chosen = (preferred_results(raw, processed)
+              .where((F.col("dataset") == dataset) & (F.col("attribute") == attribute))
+              .select(*runs, norm("gt").alias("gt"), norm("pred").alias("pred")))
+    counts = M.pair_counts(chosen, runs)
+    stats = M.class_stats(counts, runs)
+    out = {"accuracy": M.accuracy(counts, runs), "prf": M.precision_recall_f1(stats),
+           "confusion": M.confusion_long(counts, runs)}
+    if display is not None:
+        out["labels"] = M.display_labels(M.label_domain(counts, runs, "gt"), runs, display)
+    return out

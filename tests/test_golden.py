@@ -97,3 +97,16 @@ def test_end_to_end_all_runs_in_one_job(runs):
     acc = {r["run"]: r["correct"] for r in run_report(ev)["accuracy"].collect()}
     assert acc == {"ArTest_author_CLIP": 93, "ArTest_author_LLaVa": 36, "ArTest_style_CLIP": 54,
                    "ArTest_year_CLIP": 104, "ArTest_year_LLaVa": 95}
+
+
+def test_model_report_for_style(runs):
+    from scorecraft.operators.domains import DISPLAY_LABELS
+    from scorecraft.plans.evaluate import model_report
+    raw, proc, _ = runs
+    rep = model_report(raw, proc, "ArTest", "art_style", key="underscore", display=DISPLAY_LABELS["ArTest"])
+    acc = rep["accuracy"].collect()
+    assert [(r["model"], r["correct"], r["n"]) for r in acc] == [("CLIP", 54, 147)]
+    labels = rep["labels"].orderBy("class_idx").collect()
+    assert len(labels) == 25 and labels[0]["display"] == "Abstract Expression."
+    assert rep["confusion"].count() == 25 * 25
+    assert sum(r["n"] for r in rep["confusion"].where("true_label = pred_label").collect()) == 54
