@@ -102,15 +102,21 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     domains, _ = bounded_broadcast(domains)
     head, tail = class_template.split("{class}") if "{class}" in class_template else (class_template, "")
     class_text = domains.withColumn("class_text", F.concat(F.lit(head), F.col("class"), F.lit(tail)))
-    out = token_nearest(cleaned, ["run", "row_idx"], "pred_clean", class_text, "class_idx", "class_text",
-                        analyzer, scope=["run"], prepartitioned=True, keep=cleaned.columns)
+    # Year answers on the regex route need no nearest-class search at all.
+    by_regex = (F.col("attribute") == "year") & F.lit(year_route == "regex")
+    near = token_nearest(cleaned.where(~by_regex), ["run", "row_idx"], "pred_clean", class_text, "class_idx",
+                         "class_text", analyzer, scope=["run"], prepartitioned=True, keep=cleaned.columns)
     # No shared term with any class: every similarity is 0 and the first class wins.
-    out = out.withColumn("class_idx", F.coalesce("class_idx", F.lit(0)))
-    out = (out.join(domains.select("run", "class_idx", F.col("class").alias("nearest_class")),
-                    ["run", "class_idx"], "left"))
-    regex_year = T.year_bucket(T.find_year("pred_clean"), year_precision)
-    use_regex = (F.col("attribute") == "year") & F.lit(year_route == "regex")
-    out = out.withColumn("predicted_class", F.when(use_regex, regex_year).otherwise(F.col("nearest_class")))
+    near = near.withColumn("class_idx", F.coalesce("class_idx", F.lit(0)))
+    near = (near.join(domains.select("run", "class_idx", F.col("class").alias("nearest_class")),
+                      ["run", "class_idx"], "left")
+                .withColumn("predicted_class", F.col("nearest_class")))
+    regex = (cleaned.where(by_regex)
+                    .withColumn("class_idx", F.lit(None).cast("int"))
+                    .withColumn("cosine", F.lit(None).cast("double"))
+                    .withColumn("nearest_class", F.lit(None).cast("string"))
+                    .withColumn("predicted_class", T.year_bucket(T.find_year("pred_clean"), year_precision)))
+    out = near.unionByName(regex)
     out = out.withColumn("gt_key", _gt_key(F.col("gt"), F.col("attribute"), year_precision))
     return out.withColumn("correct", F.coalesce(F.col("predicted_class") == F.col("gt_key"), F.lit(False)))
 
