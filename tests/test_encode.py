@@ -42,3 +42,27 @@ def test_token_nearest_ties_and_unmatched(spark):
     assert got[2] == (None, 0.0)
     # k=3: blue vs 11 -> 1.0
     assert got[3] == (11, 1.0)
+
+
+def test_char_trigram_cosine_matches_python(spark):
+    import math
+    from collections import Counter
+    from scorecraft.operators.encode import token_cosine
+    left = [(1, "Claude Monet"), (2, "monet"), (3, "Pablo Picasso"), (4, "xy")]
+    right = [(0, "claude monet"), (1, "pablo picasso"), (2, "édouard manet")]
+    got = {(r["k"], r["c"]): round(r["cosine"], 9) for r in token_cosine(
+        spark.createDataFrame(left, "k int, t string"), "k", "t",
+        spark.createDataFrame(right, "c int, t string"), "c", "t", analyzer="char3").collect()}
+
+    def grams(t):
+        t = t.lower()
+        return Counter(t[i:i + 3] for i in range(len(t) - 2))
+    want = {}
+    for k, a in left:
+        for c, b in right:
+            ga, gb = grams(a), grams(b)
+            dot = sum(ga[g] * gb[g] for g in ga)
+            if dot:
+                want[(k, c)] = round(dot / (math.sqrt(sum(v * v for v in ga.values())) *
+                                            math.sqrt(sum(v * v for v in gb.values()))), 9)
+    assert got == want
