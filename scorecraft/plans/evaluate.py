@@ -34,6 +34,15 @@ def attach_manifest(preds: DataFrame, manifests: DataFrame) -> DataFrame:
     return preds.join(m, "run", "left")
 
 
+def run_profiles_from_manifests(manifests: DataFrame) -> list[str]:
+    """Rule profiles of the runs described by a manifest table (one small row per run)."""
+    p = F.coalesce(F.col("prompt"), F.lit(""))
+    key = F.concat_ws("|", canonical_model(F.col("model")), canonical_attribute(F.col("attribute")),
+                      F.contains(p, F.lit("[author]")).cast("string"), F.contains(p, F.lit("[year]")).cast("string"))
+    from scorecraft.operators.rules import run_profiles
+    return run_profiles(manifests, key) or []
+
+
 def run_domains(preds: DataFrame, year_precision: int = 100) -> DataFrame:
     """``(run, class_idx, class)`` for every run in ``preds``.
 
@@ -74,21 +83,23 @@ def _gt_key(gt: Column, attribute: Column, year_precision: int) -> Column:
 
 
 def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_template: str = "{class}",
-                         year_route: str = "regex", analyzer: str = "word", checkpoint: bool = False) -> DataFrame:
+                         year_route: str = "regex", analyzer: str = "word", checkpoint: bool = False,
+                         profiles: list[str] | None = None) -> DataFrame:
     """Processed rows: ``pred_clean``, ``predicted_class``, ``gt_key``, ``correct``.
 
     ``preds`` needs ``run, dataset, attribute, model, row_idx, gt, preds`` and
     optionally ``prompt`` (from the manifest).  ``class_template`` builds the
     class text (``{class}`` is replaced by the class label).
     ``year_route='regex'`` maps year answers with the first-year rule; any
-    other value uses the nearest-class route for years too.
+    other value uses the nearest-class route for years too.  ``profiles``
+    (see :func:`run_profiles_from_manifests`) spares the profile scan.
     """
     df = preds
     if "prompt" not in df.columns:
         df = df.withColumn("prompt", F.lit(None).cast("string"))
     df = (df.withColumn("model", canonical_model(F.col("model")))
             .withColumn("attribute", canonical_attribute(F.col("attribute"))))
-    cleaned = clean_predictions(df, "preds", "model", "attribute", "prompt", year_precision)
+    cleaned = clean_predictions(df, "preds", "model", "attribute", "prompt", year_precision, profiles=profiles)
     # One exchange of the facts: hash-partition the cleaned rows by row key.
     # The term counts, the per-row arg-max and the join back to the rows all
     # reuse this partitioning (Spark reuses the one exchange for every branch).

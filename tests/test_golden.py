@@ -110,3 +110,18 @@ def test_model_report_for_style(runs):
     assert len(labels) == 25 and labels[0]["display"] == "Abstract Expression."
     assert rep["confusion"].count() == 25 * 25
     assert sum(r["n"] for r in rep["confusion"].where("true_label = pred_label").collect()) == 54
+
+
+def test_profiles_from_manifests_and_stream_cleaning(spark, runs):
+    from scorecraft.plans.evaluate import run_profiles_from_manifests
+    from scorecraft.streaming.incremental import running_counts
+    raw, proc, man = runs
+    prof = run_profiles_from_manifests(man)
+    assert "LLaVA|author|false|false" in prof and "OpenFlamingo|year|false|false" in prof
+    r = raw.where(F.col("run") == "ArTest_author_LLaVa")
+    ev = evaluate_predictions(r, profiles=prof)
+    assert ev.where(F.lower("pred_clean") == F.lower(F.col("gt"))).count() > 0
+    # The streaming count table with cleaning applies the same rules as the batch job.
+    counts = running_counts(r, clean=True, profiles=prof)
+    hits = counts.where(F.col("pred") == F.col("gt")).agg(F.sum("n")).first()[0]
+    assert hits == ev.where(F.lower("pred_clean") == F.col("gt")).count()
