@@ -293,14 +293,15 @@ FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id""")
 def limit_n(spark: SparkSession, sf: str, n: int = LIMIT_N) -> DataFrame:
     """First ``n`` documents in key order (``n = -1``: all), with their labels.
 
-    The limit runs first (per-partition top-n, then one merge of n rows per
-    partition); labels are then cut to those keys with a broadcast semi-join,
-    so no full join of the two tables happens for a small n.
+    The limit runs first (``first_n``: top-k for small n, a range-partitioned
+    cut for large n); for a small n the labels are cut to those keys with a
+    broadcast semi-join, so no full join of the two tables happens.
     """
+    from scorecraft.operators.ordering import first_n
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    top = docs.orderBy("doc_id").limit(n) if n >= 0 else docs
+    top = first_n(docs, "doc_id", n)
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    if n >= 0:
+    if 0 <= n <= 100_000:
         labels = labels.join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")
     return (top.join(labels, "doc_id", "left")
                .select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("gt"),

@@ -62,3 +62,13 @@ def test_classify_stored_features(spark):
     from scorecraft.operators.nearest import nearest_class
     direct = nearest_class(emb, "embedding", classes).where(F.col("predicted_idx") == F.col("label")).count()
     assert out.where("correct").count() == direct
+
+
+def test_first_n_distributed_path_equals_top_k(spark):
+    from scorecraft.operators.ordering import first_n
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "n_chars").repartition(5)
+    want = [r["doc_id"] for r in docs.orderBy("doc_id").limit(137).collect()]
+    got = sorted(r["doc_id"] for r in first_n(docs, "doc_id", 137, top_k_max=10).collect())
+    assert got == want
+    assert first_n(docs, "doc_id", -1).count() == docs.count()
+    assert first_n(docs, "doc_id", 10 ** 9, top_k_max=10).count() == docs.count()
