@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.text import ColumnOrName, _c
-from scorecraft.session import bounded_broadcast
+from scorecraft.session import bounded_broadcast, suggested_partitions
 
 WORD = r"[\p{L}\p{N}]+"
 MAX_CLASS_TERMS = 2_000_000
@@ -80,9 +80,10 @@ def term_counts(df: DataFrame, key: str | Sequence[str], text: str, analyzer: st
 
 
 def _partitioned(left: DataFrame, keys: list[str], partitions: int | None, prepartitioned: bool) -> DataFrame:
+    """Hash-partition by the row keys; the count follows the input size (about 256 MB per task)."""
     if prepartitioned:
         return left
-    return left.repartition(partitions, *keys) if partitions else left.repartition(*keys)
+    return left.repartition(partitions or suggested_partitions(left), *keys)
 
 
 def token_cosine(left: DataFrame, left_key: str | Sequence[str], left_text: str,

@@ -19,7 +19,7 @@ from scorecraft.operators.domains import STYLE_ORDER, UNKNOWN, YEAR_END, YEAR_ST
 from scorecraft.operators.encode import token_nearest
 from scorecraft.operators.nearest import zero_shot
 from scorecraft.operators.rules import canonical_attribute, canonical_model, clean_predictions
-from scorecraft.session import bounded_broadcast, cut_lineage
+from scorecraft.session import bounded_broadcast, cut_lineage, suggested_partitions
 
 RUN = ["run", "dataset", "attribute", "model"]
 
@@ -107,7 +107,7 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     # checkpoint folder (cuts lineage; the copy is re-partitioned on read).
     if checkpoint:
         cleaned = cut_lineage(cleaned)
-    cleaned = cleaned.repartition("run", "row_idx")
+    cleaned = cleaned.repartition(suggested_partitions(cleaned), "run", "row_idx")
 
     domains = run_domains(cleaned, year_precision)
     domains, _ = bounded_broadcast(domains)

@@ -84,3 +84,26 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+# Target bytes per task after a repartition of text-heavy rows.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+
+
+def suggested_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for hash-partitioning ``df``: Spark's size estimate / target.
+
+    Uses the optimizer's statistics (file sizes scaled by the pruned columns),
+    never the data itself; at least ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 -- statistics are advisory
+        return base
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
+    if size <= 0 or size >= unknown:
+        return base
+    return int(min(max(base, -(-size // target_bytes)), MAX_PARTITIONS))

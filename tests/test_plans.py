@@ -27,7 +27,7 @@ def test_projection_reaches_the_scan(spark):
 def test_text_vectors_shuffles_documents_once(spark):
     plan = _plan(E.queries()["text_vectors"](spark, SF_SMALL))
     doc_exchanges = [l for l in plan.split("\n") if "Exchange hashpartitioning(doc_id" in l]
-    assert len(doc_exchanges) == 1 and "REPARTITION_BY_COL" in doc_exchanges[0]
+    assert len(doc_exchanges) == 1 and "REPARTITION_BY" in doc_exchanges[0]
     assert "SortMergeJoin" not in plan
 
 
