@@ -10,6 +10,7 @@ against class vectors (the direct CLIP-style route).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +100,23 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
         df = df.withColumn("prompt", F.lit(None).cast("string"))
     df = (df.withColumn("model", canonical_model(F.col("model")))
             .withColumn("attribute", canonical_attribute(F.col("attribute"))))
+    # Class domains come from distinct values of the input (partial aggregation,
+    # no need to wait for the cleaning or to shuffle the answers for them).
+    domains = run_domains(df, year_precision)
+    domains, _ = bounded_broadcast(domains)
+
     cleaned = clean_predictions(df, "preds", "model", "attribute", "prompt", year_precision, profiles=profiles)
-    # One exchange of the facts: hash-partition the cleaned rows by row key.
-    # The term counts, the per-row arg-max and the join back to the rows all
-    # reuse this partitioning (Spark reuses the one exchange for every branch).
+    # One exchange of the answers: hash-partition the cleaned rows by row key
+    # and keep that copy (memory, spilling to disk).  The term counts, the
+    # per-row arg-max and the join back to the rows all read it with its
+    # partitioning, so no branch re-reads or re-shuffles the input.
     # ``checkpoint=True`` additionally writes the cleaned rows to the shared
-    # checkpoint folder (cuts lineage; the copy is re-partitioned on read).
+    # checkpoint folder first (cuts lineage).
     if checkpoint:
         cleaned = cut_lineage(cleaned)
-    cleaned = cleaned.repartition(suggested_partitions(cleaned), "run", "row_idx")
+    cleaned = (cleaned.repartition(suggested_partitions(cleaned), "run", "row_idx")
+                      .persist(StorageLevel.MEMORY_AND_DISK))
 
-    domains = run_domains(cleaned, year_precision)
-    domains, _ = bounded_broadcast(domains)
     head, tail = class_template.split("{class}") if "{class}" in class_template else (class_template, "")
     class_text = domains.withColumn("class_text", F.concat(F.lit(head), F.col("class"), F.lit(tail)))
     # Year answers on the regex route need no nearest-class search at all.
