@@ -125,3 +125,14 @@ def test_profiles_from_manifests_and_stream_cleaning(spark, runs):
     counts = running_counts(r, clean=True, profiles=prof)
     hits = counts.where(F.col("pred") == F.col("gt")).agg(F.sum("n")).first()[0]
     assert hits == ev.where(F.lower("pred_clean") == F.col("gt")).count()
+
+
+def test_gt_disagreements_year_clip(spark, runs):
+    """AU2: four rows of the year run store a ground truth that differs from the annotation."""
+    from scorecraft.operators import audit as A
+    raw, _, _ = runs
+    ann = read_annotations(spark, ANNOTATIONS)
+    d = A.gt_disagreements(raw.where(F.col("run") == "ArTest_year_CLIP"), ann, "year")
+    assert sorted((r["gt"], r["annotated"]) for r in d.collect()) == \
+        [("1947", "1964"), ("1956", "1962"), ("1962", "1947"), ("1964", "1956")]
+    assert A.gt_disagreements(raw.where(F.col("run") == "ArTest_style_CLIP"), ann, "art_style").count() == 0
