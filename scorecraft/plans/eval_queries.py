@@ -20,6 +20,8 @@ from scorecraft.plans.registry import register, table
 from scorecraft.plans.text_queries import _YEAR_R_SQL, _year_answers
 
 NL = "\n"
+# The two runs' rule profiles (what their manifests would give).
+PROFILES = ["LLaVA|author|false|false", "LLaVA|year|false|false"]
 _CHAT_HEAD = f"USER:  {NL}Who is the author of this painting?{NL}ASSISTANT: "
 _AUTHOR_ANSWER_SQL = (
     "CASE p_partkey % 4 WHEN 0 THEN 'The author is ' || replace(p_brand, '#', ' ') || '.' "
@@ -93,7 +95,7 @@ SELECT run, row_idx, predicted_class, gt_key, coalesce(predicted_class = gt_key,
 
 @register("zeroshot_eval", "end-to-end: TXT17 DOM1-3 PRM3 VEC1 JN2 VEC5 VEC6 SNK2 AGG1", sql=_sql())
 def zeroshot_eval(spark: SparkSession, sf: str) -> DataFrame:
-    ev = evaluate_predictions(_predictions(spark, sf))
+    ev = evaluate_predictions(_predictions(spark, sf), profiles=PROFILES)
     return ev.select("run", "row_idx", "predicted_class", "gt_key", "correct")
 
 
@@ -104,7 +106,7 @@ SELECT run, count(*) AS n, CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS BIGI
 FROM s GROUP BY run""")
 def zeroshot_eval_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     from scorecraft.operators import metrics as M
-    ev = evaluate_predictions(_predictions(spark, sf))
+    ev = evaluate_predictions(_predictions(spark, sf), profiles=PROFILES)
     acc = M.accuracy(M.pair_counts(ev.select("run", F.col("gt_key").alias("gt"),
                                              F.col("predicted_class").alias("pred")), ["run"]), ["run"])
     return acc.select("run", F.col("n").cast("bigint").alias("n"), F.col("correct").cast("bigint").alias("correct"),

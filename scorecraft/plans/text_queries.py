@@ -179,6 +179,10 @@ def _profiles(models, attrs, flags=((False, False), (True, False), (False, True)
     return [(m, a, ha, hy) for m in models for a in attrs for ha, hy in flags]
 
 
+def _profile_keys(profiles) -> list[str]:
+    return [f"{m}|{a}|{str(ha).lower()}|{str(hy).lower()}" for m, a, ha, hy in profiles]
+
+
 def _style_sql() -> str:
     base = (f"a AS (SELECT p_partkey, {_STYLE_MODEL_SQL} AS model, {_STYLE_ATTR_SQL} AS attribute, "
             f"{_STYLE_PROMPT_SQL} AS prompt, {_STYLE_R_SQL} AS preds FROM part), "
@@ -193,7 +197,9 @@ def _style_sql() -> str:
 @register("style_rules", "TXT11 TXT12 TXT13 TXT17 TXT4 TXT5 TXT6", sql=_style_sql())
 def style_rules(spark: SparkSession, sf: str) -> DataFrame:
     a = _style_answers(table(spark, sf, "part"))
-    return clean_predictions(a).select("p_partkey", "model", "attribute", "pred_clean")
+    # The binding's run profiles are known (as a manifest table would give them).
+    return clean_predictions(a, profiles=_profile_keys(_profiles(_MODELS4, ["art_style", "period"]))).select(
+        "p_partkey", "model", "attribute", "pred_clean")
 
 
 # --- TXT14 -------------------------------------------------------------------
@@ -219,7 +225,7 @@ def author_rules(spark: SparkSession, sf: str) -> DataFrame:
           .otherwise(F.concat(F.lit("Unknown painter "), F.col("s_name"))))
     a = s.select("s_suppkey", F.lit("OpenFlamingo").alias("model"), F.lit("author").alias("attribute"),
                  F.lit("Who is the author of this painting?").alias("prompt"), r.alias("preds"))
-    return clean_predictions(a).select("s_suppkey", "pred_clean")
+    return clean_predictions(a, profiles=["OpenFlamingo|author|false|false"]).select("s_suppkey", "pred_clean")
 
 
 # --- TXT5 / TXT7 --------------------------------------------------------------
@@ -337,7 +343,7 @@ def _year_pipeline_sql(final: str) -> str:
 def _year_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     a = _year_answers(table(spark, sf, "orders")).withColumn("attribute", F.lit("year")) \
         .withColumn("prompt", F.lit(None).cast("string"))
-    c = clean_predictions(a)
+    c = clean_predictions(a, profiles=[f"{m}|year|false|false" for m in ("LLaVA", "OpenFlamingo", "CLIP")])
     return c.select("o_orderkey", "model", "pred_clean",
                     T.year_bucket(T.find_year("pred_clean"), 100).alias("pred_year"),
                     T.year_bucket("year", 100).alias("gt"))
