@@ -88,6 +88,26 @@ def independent_domains(counts: DataFrame, runs: Sequence[str]) -> DataFrame:
     return t.join(p, runs, "full") if runs else t.select("true_labels", p.scalar().alias("pred_labels"))
 
 
+def confusion_rows(counts: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """Confusion matrix as one row per (run, true label) with an aligned count array.
+
+    ``(runs..., true_idx, true_label, pred_labels, counts)``: ``counts[j]`` is
+    the number of answers with this true label predicted as ``pred_labels[j]``
+    (the sorted gt domain).  No pivot pass to discover the labels and no
+    per-cell rows: each true label's observed cells are gathered into a map
+    (bounded by the domain) and read out in domain order.
+    """
+    runs = list(runs)
+    dom = label_domain(counts, runs, "gt")
+    cells = (counts.where(F.col("gt").isNotNull() & F.col("pred").isNotNull())
+                   .groupBy(*runs, "gt").agg(F.map_from_entries(F.collect_list(F.struct("pred", "n"))).alias("_m")))
+    rows = dom.select(*runs, "labels", F.posexplode("labels").alias("true_idx", "true_label"))
+    out = rows.join(cells.withColumnRenamed("gt", "true_label"), runs + ["true_label"], "left")
+    return out.select(*runs, "true_idx", "true_label", F.col("labels").alias("pred_labels"),
+                      F.transform("labels", lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0)).cast("bigint"))
+                      .alias("counts"))
+
+
 def confusion_wide(long: DataFrame, runs: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """One row per true label, one column per predicted label (given order)."""
     return (long.groupBy(*runs, "true_idx", "true_label")

@@ -63,3 +63,16 @@ def test_display_labels_size_mismatch_raises(spark):
         ["A", "B"]
     with pytest.raises(Exception):
         M.display_labels(dom, ["run"], ["A"]).collect()
+
+
+def test_confusion_rows_equal_long_form(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["r1", "r2"]), rnd.choice("abcd"), rnd.choice("abcx")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "run string, gt string, pred string")
+    counts = M.pair_counts(df, ["run"])
+    long = {(r["run"], r["true_label"], r["pred_label"]): r["n"] for r in M.confusion_long(counts, ["run"]).collect()}
+    wide = {}
+    for r in M.confusion_rows(counts, ["run"]).collect():
+        for p, n in zip(r["pred_labels"], r["counts"]):
+            wide[(r["run"], r["true_label"], p)] = n
+    assert wide == long
