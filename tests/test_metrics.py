@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from scorecraft.operators import metrics as M
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import RESULTS
 from scorecraft.sources import sinks
-from scorecraft.sources.files import read_manifests, read_predictions, run_identity
+from scorecraft.sources.files import read_manifests, read_predictions
 
 
 def test_run_identity_parses_all_folders(spark):

@@ -2,7 +2,6 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import RESULTS
 from scorecraft.operators import metrics as M
