@@ -136,3 +136,17 @@ def test_gt_disagreements_year_clip(spark, runs):
     assert sorted((r["gt"], r["annotated"]) for r in d.collect()) == \
         [("1947", "1964"), ("1956", "1962"), ("1962", "1947"), ("1964", "1956")]
     assert A.gt_disagreements(raw.where(F.col("run") == "ArTest_style_CLIP"), ann, "art_style").count() == 0
+
+
+def test_evaluate_options(spark, runs):
+    """Checkpointed cleaning gives the same rows; the nearest-class year route stays in the domain."""
+    raw, _, _ = runs
+    r = raw.where(F.col("run") == "ArTest_author_LLaVa")
+    a = {(x["row_idx"], x["predicted_class"]) for x in evaluate_predictions(r).collect()}
+    b = {(x["row_idx"], x["predicted_class"]) for x in evaluate_predictions(r, checkpoint=True).collect()}
+    assert a == b
+    y = raw.where(F.col("run") == "ArTest_year_LLaVa")
+    ev = evaluate_predictions(y, year_route="nearest")
+    classes = {x["predicted_class"] for x in ev.collect()}
+    assert classes <= {str(v) for v in range(1400, 2100, 100)}
+    assert ev.count() == 147
