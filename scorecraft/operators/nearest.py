@@ -16,6 +16,7 @@ passes.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,18 @@ def _packed_classes(classes: DataFrame, idx_col: str, label_col: str, vec_col: s
     return packed.scalar()
 
 
+def _kept(classes: DataFrame) -> DataFrame:
+    """Keep the class side after its first computation.
+
+    The class vectors are read by the size check and by every scoring pass;
+    when they are derived from the items (centroids) this saves re-scanning
+    the items for each of those reads.
+    """
+    if classes.storageLevel.useMemory or classes.storageLevel.useDisk:
+        return classes
+    return classes.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def class_blocks(classes: DataFrame, idx_col: str, vec_col: str,
                  max_cells: int | None = None) -> list[DataFrame]:
     """Split the class side into index ranges of at most ``max_cells`` cells each.
@@ -117,6 +130,7 @@ def nearest_class(items: DataFrame, vec_col: str, classes: DataFrame,
     Ties go to the lowest class index; zero vectors get NULL similarity and
     ``zero_norm = true`` (never silently NaN).
     """
+    classes = _kept(classes)
     blocks = class_blocks(classes, class_idx, class_vec)
     if len(blocks) == 1:
         return _finish_nearest(_best_in(items, vec_col, _packed_classes(classes, class_idx, class_label, class_vec)))
@@ -130,6 +144,7 @@ def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
                   class_idx: str = "class_idx", class_label: str = "class_label",
                   class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
     """Long similarity matrix: one row per (item, class)."""
+    classes = _kept(classes)
     keep = keep or [c for c in items.columns if c != vec_col]
     v = as_double(vec_col)
     parts = []
@@ -180,6 +195,7 @@ def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scal
     block); with several class blocks the max and the denominator are merged
     exactly per item first.
     """
+    classes = _kept(classes)
     keep = keep or [c for c in items.columns if c != vec_col]
     blocks = class_blocks(classes, class_idx, class_vec)
     v = as_double(vec_col)
@@ -211,6 +227,7 @@ def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
               logit_scale: float = 100.0, class_idx: str = "class_idx",
               class_label: str = "class_label", class_vec: str = "class_vec") -> DataFrame:
     """Classify each item: winner by cosine, its softmax probability, correct flag."""
+    classes = _kept(classes)
     blocks = class_blocks(classes, class_idx, class_vec)
     packs = [_packed_classes(b, class_idx, class_label, class_vec) for b in blocks]
     if len(blocks) == 1:
