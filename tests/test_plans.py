@@ -31,13 +31,27 @@ def test_text_vectors_shuffles_documents_once(spark):
     assert "SortMergeJoin" not in plan
 
 
+def _ancestors(lines: list[str], i: int) -> list[str]:
+    """Plan-tree ancestors of line ``i`` (lines with a smaller indentation above it)."""
+    def indent(line: str) -> int:
+        return len(line) - len(line.lstrip(" :+-|"))
+    out, level = [], indent(lines[i])
+    for line in reversed(lines[:i]):
+        if line.strip() and indent(line) < level:
+            out.append(line)
+            level = indent(line)
+    return out
+
+
 def test_nearest_class_scores_without_shuffling_items(spark):
-    plan = _plan(E.queries()["nearest_class"](spark, SF_SMALL))
-    # Lines of the subquery (the class side) start with ':'; the item path is the rest.
-    item_path = [l for l in plan.split("\n") if not l.lstrip().startswith(":")]
-    assert any("FileScan parquet [vec_id" in l for l in item_path)
-    assert not any("Exchange" in l for l in item_path)
-    assert "Subquery" in plan
+    df = E.queries()["nearest_class"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    scans = [i for i, l in enumerate(lines) if "FileScan parquet [vec_id" in l]
+    assert scans
+    for i in scans:   # the item scan's path to the root holds no exchange
+        assert not any("Exchange" in a for a in _ancestors(lines, i))
+    assert any("Subquery" in l for l in lines)
 
 
 def test_metrics_reuse_one_count_table(spark):
