@@ -245,6 +245,7 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
         profiles = run_profiles(df, key)
     wanted = None if profiles is None else set(profiles)
     branches: dict[tuple[Rule, ...], list[str]] = {}
+    skipped: list[str] = []
     for mm in MODELS:
         for aa in sorted(set(ATTRIBUTE_ALIASES.values())):
             for ha in (False, True):
@@ -253,6 +254,8 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
                     seq = tuple(rules_for(mm, aa, ha, hy))
                     if seq and (wanted is None or k in wanted):
                         branches.setdefault(seq, []).append(k)
+                    elif seq:
+                        skipped.append(k)
 
     if not isinstance(year_precision, Column):
         # One Spark SQL expression for the whole dispatch: a single call into
@@ -262,6 +265,11 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
         def dispatch_sql(v: str) -> str:
             whens = [f"WHEN _profile IN ({', '.join(Q.q(k) for k in keys)}) THEN {Q.fold(v, seq, year_precision)}"
                      for seq, keys in branches.items()]
+            if skipped:
+                # A row whose profile has rules that were not compiled in would
+                # silently stay uncleaned: fail loudly instead.
+                whens.append(f"WHEN _profile IN ({', '.join(Q.q(k) for k in skipped)}) THEN "
+                             f"raise_error(concat('rule profile not among the given profiles: ', _profile))")
             return f"CASE {' '.join(whens)} ELSE {v} END" if whens else v
 
         return (df.withColumn("_profile", key)

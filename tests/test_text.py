@@ -149,3 +149,13 @@ def test_sql_text_rules_equal_column_rules(spark, batch):
     for r in df.select(*cols).collect():
         for j in range(len(seqs)):
             assert r[f"c{j}"] == r[f"s{j}"]
+
+
+def test_missing_profile_fails_loudly(spark):
+    import pytest
+    df = spark.createDataFrame([("GPT-4o", "art_style", "Q?", "This painting belongs to the Baroque period.")],
+                               "model string, attribute string, prompt string, preds string")
+    ok = clean_predictions(df, profiles=["GPT-4o|art_style|false|false"]).first()["pred_clean"]
+    assert ok == "Baroque period"
+    with pytest.raises(Exception):
+        clean_predictions(df, profiles=["LLaVA|art_style|false|false"]).collect()
