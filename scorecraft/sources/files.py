@@ -89,8 +89,8 @@ def read_images(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     root = folder.rstrip("/") + "/"
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                .option("recursiveFileLookup", "true").load(root))
-    return df.select("path", F.regexp_replace("path", r"^.*?" + root.replace(".", r"\."), "").alias("file"),
-                     "content")
+    # \Q...\E quotes the folder literally in the (Java) pattern.
+    return df.select("path", F.regexp_replace("path", "^.*?\\Q" + root + "\\E", "").alias("file"), "content")
 
 
 def prefer_processed(raw: DataFrame, processed: DataFrame, run_keys: list[str]) -> DataFrame:
