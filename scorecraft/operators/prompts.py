@@ -123,3 +123,18 @@ def ingest_responses(df: DataFrame, body: str = "body") -> DataFrame:
     return (df.withColumn("content", response_content(b))
               .withColumn("error", F.when(keys.isNull(), F.lit("invalid_json"))
                           .when(~F.array_contains(keys, "choices"), F.lit("no_choices"))))
+
+
+def image_requests(annotations: DataFrame, images: DataFrame, prompt: ColumnOrName,
+                   keys: list[str] | None = None) -> DataFrame:
+    """Request batch for annotated images: annotations joined to image bytes on ``file``.
+
+    ``images`` is the ``binaryFile`` table (``file``, ``content``).  The join is
+    an equi-join on the file key; Spark picks broadcast or shuffle from sizes,
+    and files without an annotation (or the reverse) produce no request.
+    """
+    keys = keys or ["file"]
+    cols = keys if "file" in keys else ["file", *keys]
+    ann = annotations.select(*cols, _c(prompt).alias("_prompt"))
+    joined = ann.join(images.select("file", "content"), "file")
+    return request_batch(joined, F.col("_prompt"), F.col("content"), keys)

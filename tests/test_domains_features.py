@@ -72,3 +72,15 @@ def test_first_n_distributed_path_equals_top_k(spark):
     assert got == want
     assert first_n(docs, "doc_id", -1).count() == docs.count()
     assert first_n(docs, "doc_id", 10 ** 9, top_k_max=10).count() == docs.count()
+
+
+def test_image_requests_join_annotations_to_bytes(spark):
+    import json
+    from scorecraft.operators.prompts import image_requests
+    imgs = read_images(spark, f"{FIXTURES}/datasets", "*.csv")
+    ann = spark.createDataFrame([("ArTest.csv", "Which style?"), ("missing.jpg", "x")], "file string, q string")
+    out = image_requests(ann, imgs, F.col("q")).collect()
+    assert len(out) == 1 and out[0]["file"] == "ArTest.csv"
+    req = json.loads(out[0]["request_json"])
+    assert req["messages"][0]["content"][0]["text"] == "Which style?"
+    assert req["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/jpeg;base64,")
