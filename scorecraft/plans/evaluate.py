@@ -102,7 +102,9 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
             .withColumn("attribute", canonical_attribute(F.col("attribute"))))
     # Class domains come from distinct values of the input (partial aggregation,
     # no need to wait for the cleaning or to shuffle the answers for them).
-    domains = run_domains(df, year_precision)
+    # Kept after the first computation: the size check, the class texts and
+    # the label lookup all read it (one scan of the ground-truth column).
+    domains = run_domains(df, year_precision).persist(StorageLevel.MEMORY_AND_DISK)
     domains, _ = bounded_broadcast(domains)
 
     cleaned = clean_predictions(df, "preds", "model", "attribute", "prompt", year_precision, profiles=profiles)
