@@ -59,3 +59,16 @@ def test_request_sink_writes_json_lines(spark):
     req = json.loads(lines[0])
     assert req["model"] == "gpt-4o" and req["max_tokens"] == 300
     assert req["messages"][0]["content"][1]["image_url"]["url"] == "data:image/jpeg;base64,AAE="
+
+
+def test_feature_sink_names_files(spark):
+    from conftest import SF_SMALL
+    out = tempfile.mkdtemp(prefix="scorecraft-feat-")
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        F.concat(F.lit("Outliers_images/img_"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("file"),
+        F.col("embedding").alias("features"))
+    sinks.write_features(emb, f"{out}/features")
+    back = spark.read.parquet(f"{out}/features")
+    assert back.count() == emb.count()
+    r = back.where(F.col("file") == "Outliers_images/img_7.jpg").first()
+    assert r["feature_file"] == "img_7.pt" and len(r["features"]) == 64
