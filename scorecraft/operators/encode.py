@@ -71,8 +71,10 @@ def _keys(k: str | Sequence[str]) -> list[str]:
 def term_counts(df: DataFrame, key: str | Sequence[str], text: str, analyzer: str = "word") -> DataFrame:
     """``(key..., norm, term, tf)``: one tokenisation per row; ``norm`` is the row's L2 norm."""
     keys = _keys(key)
-    tc = (df.select(*keys, F.explode(terms(text, analyzer)).alias("term"))
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # explode_outer keeps rows without any term (one NULL term, tf 0), so a
+    # text with no terms still yields its row downstream.
+    tc = (df.select(*keys, F.explode_outer(terms(text, analyzer)).alias("term"))
+            .groupBy(*keys, "term").agg(F.count("term").alias("tf")))
     # Row norm as a window over the row's own terms: on input partitioned by
     # the keys this is an in-partition sort, with no second tokenisation and
     # no exchange.

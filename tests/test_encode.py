@@ -66,3 +66,11 @@ def test_char_trigram_cosine_matches_python(spark):
                 want[(k, c)] = round(dot / (math.sqrt(sum(v * v for v in ga.values())) *
                                             math.sqrt(sum(v * v for v in gb.values()))), 9)
     assert got == want
+
+
+def test_rows_without_terms_are_kept(spark):
+    from scorecraft.operators.encode import token_nearest
+    left = spark.createDataFrame([(1, "red"), (2, ""), (3, None), (4, "!!!")], "k int, t string")
+    right = spark.createDataFrame([(10, "red"), (11, "")], "c int, t string")
+    got = {r["k"]: (r["c"], r["cosine"]) for r in token_nearest(left, "k", "t", right, "c", "t").collect()}
+    assert got == {1: (10, 1.0), 2: (None, 0.0), 3: (None, 0.0), 4: (None, 0.0)}
