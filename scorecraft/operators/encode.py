@@ -27,7 +27,9 @@ from scorecraft.functions.text import ColumnOrName, _c
 from scorecraft.session import bounded_broadcast, suggested_partitions
 
 WORD = r"[\p{L}\p{N}]+"
-MAX_CLASS_TERMS = 2_000_000
+# Rows of (scope, class, term, tf, norm) we broadcast (~50 MB); beyond it the class
+# terms are shuffle-joined on the term.
+MAX_CLASS_TERMS = 500_000
 
 
 def terms(text: ColumnOrName, analyzer: str = "word") -> Column:
