@@ -74,3 +74,17 @@ def test_rows_without_terms_are_kept(spark):
     right = spark.createDataFrame([(10, "red"), (11, "")], "c int, t string")
     got = {r["k"]: (r["c"], r["cosine"]) for r in token_nearest(left, "k", "t", right, "c", "t").collect()}
     assert got == {1: (10, 1.0), 2: (None, 0.0), 3: (None, 0.0), 4: (None, 0.0)}
+
+
+def test_shuffle_join_path_equals_broadcast_path(spark, monkeypatch):
+    """Past the broadcast bound the class terms are shuffle-joined; results are unchanged."""
+    from conftest import SF_SMALL
+    from scorecraft.operators import encode
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text")
+    a = {(r["doc_id"], r["item_id"], round(r["cosine"], 9)) for r in
+         encode.token_nearest(docs, "doc_id", "text", bench, "item_id", "text").collect()}
+    monkeypatch.setattr(encode, "MAX_CLASS_TERMS", 10)
+    b_df = encode.token_nearest(docs, "doc_id", "text", bench, "item_id", "text")
+    b = {(r["doc_id"], r["item_id"], round(r["cosine"], 9)) for r in b_df.collect()}
+    assert a == b
