@@ -75,3 +75,12 @@ def test_confusion_rows_equal_long_form(spark):
         for p, n in zip(r["pred_labels"], r["counts"]):
             wide[(r["run"], r["true_label"], p)] = n
     assert wide == long
+
+
+def test_accuracy_over_all_annotations(spark):
+    """AGG2: hits over the scored rows divided by all annotated rows of the run."""
+    df = spark.createDataFrame([("r", "a", "a"), ("r", "b", "a"), ("r", "c", "c")], "run string, gt string, pred string")
+    den = spark.createDataFrame([("r", 6)], "run string, n_total int")
+    row = M.accuracy_over(M.pair_counts(df, ["run"]), ["run"], den).first()
+    assert (row["correct"], row["n"], row["n_total"]) == (2, 3, 6)
+    assert abs(row["accuracy"] - 200 / 3) < 1e-9 and abs(row["accuracy_all"] - 100 / 3) < 1e-9
