@@ -137,6 +137,11 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
                     .withColumn("predicted_class", T.year_bucket(T.find_year("pred_clean"), year_precision)))
     out = near.unionByName(regex)
     out = out.withColumn("gt_key", _gt_key(F.col("gt"), F.col("attribute"), year_precision))
+    # A ground-truth year outside the class range can never be predicted by the
+    # nearest-class route; flag it instead of silently counting a miss.
+    gy = F.col("gt_key").try_cast("int")
+    out = out.withColumn("out_of_domain", F.when(F.col("attribute") == "year",
+                                                 gy.isNull() | (gy < YEAR_START) | (gy >= YEAR_END)))
     return out.withColumn("correct", F.coalesce(F.col("predicted_class") == F.col("gt_key"), F.lit(False)))
 
 

@@ -150,3 +150,10 @@ def test_evaluate_options(spark, runs):
     classes = {x["predicted_class"] for x in ev.collect()}
     assert classes <= {str(v) for v in range(1400, 2100, 100)}
     assert ev.count() == 147
+
+
+def test_year_out_of_domain_flag(runs):
+    raw, _, _ = runs
+    ev = evaluate_predictions(raw.where(F.col("run") == "ArTest_year_CLIP"))
+    # One painting (1305) lies before the first year class.
+    assert ev.where("out_of_domain").count() == 1
