@@ -77,6 +77,24 @@ def run_domains(preds: DataFrame, year_precision: int = 100) -> DataFrame:
     return ordered.unionByName(years).unionByName(rest)
 
 
+def manifest_class_texts(preds: DataFrame, domains: DataFrame) -> DataFrame:
+    """Class texts from each run's own prompt: ``[<attribute>]`` replaced by the class.
+
+    The attribute named in the manifest (``manifest_attribute``, else the
+    folder's) gives the placeholder.  A run whose prompt lacks it would give
+    every class the same text, so the job fails instead of scoring on it.
+    """
+    attr = (F.coalesce(F.col("manifest_attribute"), F.col("attribute"))
+            if "manifest_attribute" in preds.columns else F.col("attribute"))
+    prompts = preds.select("run", F.col("prompt"), F.concat(F.lit("["), attr, F.lit("]")).alias("_ph")).distinct()
+    prompts, _ = bounded_broadcast(prompts)
+    text = (F.when(F.contains(F.coalesce("prompt", F.lit("")), F.col("_ph")),
+                   F.replace(F.col("prompt"), F.col("_ph"), F.col("class")))
+             .otherwise(F.raise_error(F.concat(F.lit("prompt of run "), F.col("run"),
+                                               F.lit(" has no placeholder "), F.col("_ph")))))
+    return domains.join(prompts, "run").withColumn("class_text", text).drop("prompt", "_ph")
+
+
 def _gt_key(gt: Column, attribute: Column, year_precision: int) -> Column:
     return (F.when(attribute.isin("art_style", "period"), T.normalise_label(gt))
              .when(attribute == "year", T.year_bucket(gt, year_precision))
@@ -90,7 +108,8 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
 
     ``preds`` needs ``run, dataset, attribute, model, row_idx, gt, preds`` and
     optionally ``prompt`` (from the manifest).  ``class_template`` builds the
-    class text (``{class}`` is replaced by the class label).
+    class text (``{class}`` is replaced by the class label); ``"manifest"``
+    uses each run's prompt with its ``[<attribute>]`` placeholder instead.
     ``year_route='regex'`` maps year answers with the first-year rule; any
     other value uses the nearest-class route for years too.  ``profiles``
     (see :func:`run_profiles_from_manifests`) spares the profile scan.
@@ -119,8 +138,11 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     cleaned = (cleaned.repartition(suggested_partitions(cleaned), "run", "row_idx")
                       .persist(StorageLevel.MEMORY_AND_DISK))
 
-    head, tail = class_template.split("{class}") if "{class}" in class_template else (class_template, "")
-    class_text = domains.withColumn("class_text", F.concat(F.lit(head), F.col("class"), F.lit(tail)))
+    if class_template == "manifest":
+        class_text = manifest_class_texts(df, domains)
+    else:
+        head, tail = class_template.split("{class}") if "{class}" in class_template else (class_template, "")
+        class_text = domains.withColumn("class_text", F.concat(F.lit(head), F.col("class"), F.lit(tail)))
     # Year answers on the regex route need no nearest-class search at all.
     by_regex = (F.col("attribute") == "year") & F.lit(year_route == "regex")
     near = token_nearest(cleaned.where(~by_regex), ["run", "row_idx"], "pred_clean", class_text, "class_idx",

@@ -157,3 +157,18 @@ def test_year_out_of_domain_flag(runs):
     ev = evaluate_predictions(raw.where(F.col("run") == "ArTest_year_CLIP"))
     # One painting (1305) lies before the first year class.
     assert ev.where("out_of_domain").count() == 1
+
+
+def test_manifest_class_prompts(spark, runs):
+    """PRM3 with each run's own prompt: '[author]' -> class; a prompt without it is refused."""
+    import pytest
+    raw, _, _ = runs
+    r = raw.where(F.col("run") == "ArTest_author_LLaVa")
+    with_ph = r.withColumn("prompt", F.lit("the painting is by [author]"))
+    ev = evaluate_predictions(with_ph, class_template="manifest")
+    # Class texts share the prompt words, so exact answers still find their class.
+    hits = ev.where(F.lower("pred_clean") == F.col("predicted_class")).count()
+    assert hits >= 120
+    without = r.withColumn("prompt", F.lit("Who is the author of this painting?"))
+    with pytest.raises(Exception):
+        evaluate_predictions(without, class_template="manifest").collect()
