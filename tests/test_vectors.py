@@ -63,3 +63,17 @@ def test_blocked_classes_match_single_block(spark, monkeypatch):
     assert len(N.class_blocks(cent, "class_idx", "class_vec")) == 4
     many = snap()
     assert one == many
+
+
+def test_arrow_route_equals_expression_route(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    cent = N.class_centroids(emb, "label", "embedding").select(
+        F.col("label").alias("class_idx"), F.col("label").cast("string").alias("class_label"), "class_vec")
+    items = emb.select("vec_id", "embedding").union(
+        spark.createDataFrame([(-1, [0.0] * 64)], "vec_id long, embedding array<float>"))
+    a = {r["vec_id"]: (r["predicted_idx"], None if r["sim"] is None else round(r["sim"], 9), r["zero_norm"])
+         for r in N.nearest_class(items, "embedding", cent).collect()}
+    b = {r["vec_id"]: (r["predicted_idx"], None if r["sim"] is None else round(r["sim"], 9), r["zero_norm"])
+         for r in N.nearest_class_arrow(items, "embedding", cent).collect()}
+    assert a == b
+    assert a[-1] == (0, None, True)
