@@ -72,3 +72,16 @@ def test_feature_sink_names_files(spark):
     assert back.count() == emb.count()
     r = back.where(F.col("file") == "Outliers_images/img_7.jpg").first()
     assert r["feature_file"] == "img_7.pt" and len(r["features"]) == 64
+
+
+def test_processed_files_win_per_run(spark):
+    from scorecraft.sources.files import preferred_results, read_processed
+    raw = read_predictions(spark, f"{RESULTS}/*/results.csv")
+    proc = read_processed(spark, f"{RESULTS}/*/results_processed.csv")
+    both = preferred_results(raw, proc)
+    by = {r["run"]: (r["source"], r["count"]) for r in both.groupBy("run", "source").count().collect()}
+    assert by["ArTest_author_LLaVa"] == ("processed", 147)
+    assert by["ArTest_style_CLIP"] == ("raw", 147)
+    assert len(by) == 5
+    none = preferred_results(raw, proc.limit(0))
+    assert none.where(F.col("source") == "raw").count() == 5 * 147
