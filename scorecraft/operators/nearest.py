@@ -252,13 +252,14 @@ ARROW_CELLS = 50_000
 
 def nearest_class_arrow(items: DataFrame, vec_col: str, classes: DataFrame,
                         class_idx: str = "class_idx", class_label: str = "class_label",
-                        class_vec: str = "class_vec") -> DataFrame:
+                        class_vec: str = "class_vec", logit_scale: float | None = None) -> DataFrame:
     """Same result as :func:`nearest_class`, computed as a matrix product per Arrow batch.
 
     The class side (bounded by ``MAX_CLASS_CELLS``, checked) is shipped to the
     Python workers once as a broadcast variable; every task multiplies its
     batch of item vectors with it (BLAS), takes the row-wise arg-max (first
-    index wins ties) and never materialises item x class rows.
+    index wins ties) and never materialises item x class rows.  With
+    ``logit_scale`` the winner's softmax probability is added as ``prob``.
     """
     import numpy as np
     import pandas as pd
@@ -279,7 +280,8 @@ def nearest_class_arrow(items: DataFrame, vec_col: str, classes: DataFrame,
 
     schema = StructType(list(items.schema.fields) + [
         StructField("predicted_idx", IntegerType()), StructField("predicted_label", StringType()),
-        StructField("sim", DoubleType()), StructField("zero_norm", BooleanType())])
+        StructField("sim", DoubleType()), StructField("zero_norm", BooleanType())]
+        + ([StructField("prob", DoubleType())] if logit_scale is not None else []))
 
     def score(batches):
         cu, cok, idx, lab = bc.value
@@ -306,6 +308,12 @@ def nearest_class_arrow(items: DataFrame, vec_col: str, classes: DataFrame,
             out["sim"] = np.where(zero, np.nan, sims[np.arange(len(pdf)), best])
             out["sim"] = out["sim"].astype("float64").where(~zero, None)
             out["zero_norm"] = zero
+            if logit_scale is not None:
+                logits = np.where(np.isfinite(sims), sims * logit_scale, -np.inf)
+                top = logits.max(axis=1, keepdims=True)
+                z = np.exp(logits - top).sum(axis=1)
+                p = np.exp(logits[np.arange(len(pdf)), best] - top[:, 0]) / z
+                out["prob"] = pd.Series(p, index=pdf.index).where(~zero, None)
             yield out
 
     return items.mapInPandas(score, schema)

@@ -77,3 +77,15 @@ def test_arrow_route_equals_expression_route(spark):
          for r in N.nearest_class_arrow(items, "embedding", cent).collect()}
     assert a == b
     assert a[-1] == (0, None, True)
+
+
+def test_arrow_route_probability_equals_zero_shot(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    cent = N.class_centroids(emb, "label", "embedding").select(
+        F.col("label").alias("class_idx"), F.col("label").cast("string").alias("class_label"), "class_vec")
+    items = emb.select("vec_id", "embedding", "label")
+    a = {r["vec_id"]: (r["predicted_idx"], round(r["prob"], 9))
+         for r in N.zero_shot(items, "embedding", "label", cent).collect()}
+    b = {r["vec_id"]: (r["predicted_idx"], round(r["prob"], 9))
+         for r in N.nearest_class_arrow(items, "embedding", cent, logit_scale=100.0).collect()}
+    assert a == b
