@@ -226,7 +226,9 @@ def run_profiles(df: DataFrame, key: Column) -> list[str] | None:
 def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
                       attribute: str = "attribute", prompt: str = "prompt",
                       year_precision: int | Column = 100, out: str = "pred_clean",
-                      profiles: list[str] | None = None, detect_profiles: bool = True) -> DataFrame:
+                      profiles: list[str] | None = None, detect_profiles: bool = True,
+                      strict_first_row: bool = False, run: str = "run", order: str = "row_idx",
+                      extract_markers: bool = True) -> DataFrame:
     """Clean raw answers of any mix of runs in one narrow projection.
 
     Rows are dispatched on ``(model, attribute, '[author]' in prompt,
@@ -234,7 +236,16 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
     Chat and few-shot markers are decided per row.  ``profiles`` (keys
     ``model|attribute|has_author|has_year``) limits the branches compiled
     into the plan; by default they are detected from the data.
+
+    ``strict_first_row=True`` reproduces the original behaviour instead: the
+    first row of each run (smallest ``order``) decides whether the chat /
+    few-shot extraction applies to the whole run, and rows of such a run
+    without the marker become empty.  The per-run decision is a small
+    aggregate (one row per run) joined back by broadcast.
     """
+    if strict_first_row:
+        return _clean_strict(df, pred, model, attribute, prompt, year_precision, out, profiles,
+                             detect_profiles, run, order)
     m = canonical_model(F.col(model))
     a = canonical_attribute(F.col(attribute))
     p = F.coalesce(F.col(prompt), F.lit(""))
@@ -260,7 +271,9 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
     if not isinstance(year_precision, Column):
         # One Spark SQL expression for the whole dispatch: a single call into
         # the JVM instead of thousands while the plan is built.
-        pre_sql = Q.fewshot_tail(Q.assistant_extract(Q.null_to_empty(Q.col(pred))))
+        pre_sql = Q.null_to_empty(Q.col(pred))
+        if extract_markers:
+            pre_sql = Q.fewshot_tail(Q.assistant_extract(pre_sql))
 
         def dispatch_sql(v: str) -> str:
             whens = [f"WHEN _profile IN ({', '.join(Q.q(k) for k in keys)}) THEN {Q.fold(v, seq, year_precision)}"
@@ -276,7 +289,9 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
                   .withColumn(out, F.expr(Q.let(pre_sql, dispatch_sql)))
                   .drop("_profile"))
 
-    pre = T.fewshot_tail(T.assistant_extract(T.null_to_empty(pred)))
+    pre = T.null_to_empty(pred)
+    if extract_markers:
+        pre = T.fewshot_tail(T.assistant_extract(pre))
 
     def dispatch(x: Column) -> Column:
         k = F.col("_profile")
@@ -290,3 +305,23 @@ def clean_predictions(df: DataFrame, pred: str = "preds", model: str = "model",
     return (df.withColumn("_profile", key)
               .withColumn(out, T.let(pre, dispatch))
               .drop("_profile"))
+
+
+def _clean_strict(df: DataFrame, pred: str, model: str, attribute: str, prompt: str,
+                  year_precision: int | Column, out: str, profiles: list[str] | None,
+                  detect_profiles: bool, run: str, order: str) -> DataFrame:
+    from scorecraft.session import bounded_broadcast
+    first = (df.groupBy(run).agg(F.min_by(F.coalesce(F.col(pred).cast("string"), F.lit("")), F.col(order))
+                                 .alias("_first")))
+    flags = first.select(run, F.contains("_first", F.lit(T.ASSISTANT_MARKER)).alias("_asst"),
+                         F.contains("_first", F.lit(T.IMAGE_MARKER)).alias("_img"))
+    flags, _ = bounded_broadcast(flags)
+    x = T.null_to_empty(pred)
+    x = F.when(F.col("_asst"), F.coalesce(
+        F.get(F.split(F.replace(x, F.lit("\n"), F.lit("")), T.ASSISTANT_MARKER, -1), 1), F.lit(""))).otherwise(x)
+    x = T.let(x, lambda v: F.when(F.col("_img"), F.coalesce(F.get(F.split(v, T.IMAGE_MARKER, -1), 3), F.lit("")))
+              .otherwise(v))
+    staged = df.join(flags, run, "left").withColumn("_strict_pre", x)
+    cleaned = clean_predictions(staged, "_strict_pre", model, attribute, prompt, year_precision, out,
+                                profiles, detect_profiles, extract_markers=False)
+    return cleaned.drop("_asst", "_img", "_strict_pre")

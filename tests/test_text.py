@@ -159,3 +159,18 @@ def test_missing_profile_fails_loudly(spark):
     assert ok == "Baroque period"
     with pytest.raises(Exception):
         clean_predictions(df, profiles=["LLaVA|art_style|false|false"]).collect()
+
+
+def test_strict_first_row_decides_for_the_run(spark):
+    nl = chr(10)
+    rows = [("r1", 0, f"USER: q{nl}ASSISTANT: Baroque"), ("r1", 1, "plain answer"),
+            ("r2", 0, "plain first"), ("r2", 1, f"USER: q{nl}ASSISTANT: Rococo")]
+    df = (spark.createDataFrame(rows, "run string, row_idx int, preds string")
+          .withColumn("model", F.lit("CLIP")).withColumn("attribute", F.lit("author"))
+          .withColumn("prompt", F.lit("")))
+    per_row = {(r["run"], r["row_idx"]): r["pred_clean"] for r in clean_predictions(df).collect()}
+    strict = {(r["run"], r["row_idx"]): r["pred_clean"]
+              for r in clean_predictions(df, strict_first_row=True).collect()}
+    assert per_row[("r1", 1)] == "plain answer" and strict[("r1", 1)] == ""
+    assert strict[("r1", 0)] == "Baroque"
+    assert per_row[("r2", 1)] == "Rococo" and strict[("r2", 1)] == f"USER: q{nl}ASSISTANT: Rococo"
