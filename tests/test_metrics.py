@@ -84,3 +84,14 @@ def test_accuracy_over_all_annotations(spark):
     row = M.accuracy_over(M.pair_counts(df, ["run"]), ["run"], den).first()
     assert (row["correct"], row["n"], row["n_total"]) == (2, 3, 6)
     assert abs(row["accuracy"] - 200 / 3) < 1e-9 and abs(row["accuracy_all"] - 100 / 3) < 1e-9
+
+
+def test_reports_without_run_columns(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", None)], "gt string, pred string")
+    counts = M.pair_counts(df, [])
+    cells = {(r["true_label"], r["pred_label"]): r["n"] for r in M.confusion_long(counts, []).collect()}
+    assert len(cells) == 9 and cells[("a", "b")] == 1 and cells[("c", "c")] == 0
+    acc = M.accuracy(counts, []).first()
+    assert (acc["n"], acc["correct"]) == (4, 2)
+    rows = {r["true_label"]: r["counts"] for r in M.confusion_rows(counts, []).collect()}
+    assert rows == {"a": [1, 1, 0], "b": [0, 1, 0], "c": [0, 0, 0]}
