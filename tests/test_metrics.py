@@ -95,3 +95,12 @@ def test_reports_without_run_columns(spark):
     assert (acc["n"], acc["correct"]) == (4, 2)
     rows = {r["true_label"]: r["counts"] for r in M.confusion_rows(counts, []).collect()}
     assert rows == {"a": [1, 1, 0], "b": [0, 1, 0], "c": [0, 0, 0]}
+
+
+def test_dense_confusion_refuses_open_label_sets(spark):
+    import pytest
+    df = spark.createDataFrame([(str(i), str(i)) for i in range(30)], "gt string, pred string")
+    counts = M.pair_counts(df, [])
+    assert M.confusion_long(counts, [], max_labels=30).count() == 900
+    with pytest.raises(ValueError):
+        M.confusion_long(counts, [], max_labels=29)
