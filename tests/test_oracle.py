@@ -55,3 +55,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["class_idx", "class", "support", "predicted", "tp", "precision", "recall", "f1"]
+
+
+def test_schemas_are_stable_across_calls_and_scales(spark):
+    """The driver checks schema stability: same columns and types at every scale and on every call."""
+    from conftest import SF_SMALL
+    for name, fn in sorted(E.queries().items()):
+        a = fn(spark, SF_SMALL).schema.simpleString()
+        b = fn(spark, SF).schema.simpleString()
+        assert a == b, name
