@@ -88,8 +88,12 @@ def index_rules(urls: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = spark.createDataFrame(
         [(i, t, (r.listed, r.weight, names[r.name], r.name, r.verdict, r.pattern)) for i, r in enumerate(rules) for t in r.tokens],
         f"id int, token string, entry struct<{ENTRY}>")
-    counts = (urls.select(F.explode(url_tokens()).alias("token"))
-              .join(rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    held = urls.select(F.explode(url_tokens()).alias("token"))
+    wanted = {t for r in rules for t in r.tokens}
+    if len(wanted) <= MAX_INLINE_RULES:
+        held = held.where(F.col("token").isin(sorted(wanted)))
+    # summed in each task before the shuffle: a token that most URLs hold is one row a task
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     best = (rows.join(counts, "token", "left").groupBy("id", "entry")
             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")))
     return best.select("token", "entry")
