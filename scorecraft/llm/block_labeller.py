@@ -256,8 +256,10 @@ def _training(samples: list[str], seed: int = SEED) -> tuple[list[np.ndarray], l
 
 def train(pages: DataFrame, n: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> Labeller:
     """A labeller trained on at most ``n`` pages (the first in hash order of those within ``chars`` characters)."""
-    rows = (pages.select("html").where(F.col("html").isNotNull() & (F.length("html") <= chars))
-            .select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(n).collect())
+    small = pages.where(F.col("html").isNotNull() & (F.length("html") <= chars)).select(F.xxhash64("page_id", "url").alias("h"), "html")
+    # first the hash that the sample ends with, so that tasks send no pages but the sample's
+    last = small.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    rows = small.where(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(n).collect() if last is not None else []
     xs, ys = _training([r["html"] for r in rows])
     return Labeller().fit(xs, ys) if xs else Labeller()
 

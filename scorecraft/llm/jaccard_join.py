@@ -13,8 +13,11 @@ their sets' Jaccard similarity is 0.8 or more (100 |A n B| >= 80 |A u B|).
   which is linear in the bucket and joins groups of near copies; only then all
   pairs from different components are made.  No link between different
   components is lost, so components are exact.
-* A candidate must also share prefix shingles under the other orders (other
-  hashes and other frequency estimates) before its sets are intersected.
+* Prefixes are long enough for all sizes a partner may have, so two sets of like
+  size must share not one but ``needed`` prefix shingles.  A pair is a candidate
+  only if it shares that many in the first order, and that many again in each of the
+  other orders (other hashes and other frequency estimates), before its sets
+  are intersected.
 
 Sets are compared by 64-bit shingle hashes and classes by 128-bit set hashes.
 """
@@ -40,7 +43,10 @@ ORDERS = (101, 202, 303)
 # Frequencies are estimated in a table of this many counters per order.
 COUNTERS = 1 << 16
 CHUNKS = 64
-STAR_ROUNDS = 2
+# Rounds of stars, and the leaders of a key in each.
+STARS = (1, 4, 4, 8)
+# A key of more classes is worked on in blocks of about so many classes.
+FREQUENT, BLOCK = 64, 1024
 # Ids of the texts to verify are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -159,13 +165,13 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
 
 
 def _postings(docs: DataFrame, classes: DataFrame, levels) -> DataFrame:
-    """(key, node, n, place) of every class for keys that more than one class has in its prefix."""
+    """(key, node, n, place, k) for keys that more than one class has in its prefix; k counts these keys of the class."""
     keyed = _prefixes(docs, levels).where("n > 0")
     chosen = classes.select(F.col("node").alias("doc_id"), "s1", F.lit(True).alias("_one"))
     rows = (keyed.join(chosen, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
             .select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "key")))
     met = rows.withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_met > 1").drop("_met")
-    return stored(met, "postings")
+    return stored(met.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node"))), "postings")
 
 
 def _overlap(a: str, b: str):
@@ -173,26 +179,118 @@ def _overlap(a: str, b: str):
     return F.ceil((F.col(a) + F.col(b)) * F.lit(NUM) / F.lit(NUM + DEN))
 
 
-def _room(na: str, pa_: str, nb: str, pb: str):
-    """Sets whose first common shingle is at these places can still overlap enough."""
-    return 1 + F.least(F.col(na) - F.col(pa_) - 1, F.col(nb) - F.col(pb) - 1) >= _overlap(na, nb)
+def _needed(a: str, b: str):
+    """How many prefix shingles linked sets of these sizes share: the overlap less what may lie behind the prefixes."""
+    large = F.greatest(a, b)
+    return F.greatest(F.lit(1), _overlap(a, b) + 1 - F.ceil(large * F.lit(NUM) / F.lit(DEN)))
 
 
-def _leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class of a key with the key's leader, if that is of another component: as many pairs as rows."""
-    lead = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"),
-                          F.col("place").alias("place"), F.col("comp").alias("comp"))).over(Window.partitionBy("key"))
-    met = rows.withColumn("_l", lead).select("node", "n", "place", "comp", F.col("_l.node").alias("_node"), F.col("_l.n").alias("_n"),
-                                             F.col("_l.place").alias("_place"), F.col("_l.comp").alias("_comp"))
-    return (met.where((F.col("comp") != F.col("_comp")) & _room("n", "place", "_n", "_place"))
-            .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct())
+def needed(a: int, b: int) -> int:
+    return max(1, -(-(a + b) * NUM // (NUM + DEN)) + 1 - -(-max(a, b) * NUM // DEN))
+
+
+def _may_link():
+    """A pair that meets under a key (node, n, k and the same with _): sizes and numbers of keys allow a link."""
+    small, large = F.least("n", "_n"), F.greatest("n", "_n")
+    return (small * DEN >= large * NUM) & (F.least("k", "_k") >= _needed("n", "_n"))
+
+
+def _may_be_first():
+    """The key can be the first that a linked pair shares: enough lies behind it in both sets.
+
+    A linked pair shares such a key; it may share others that cannot be the first,
+    so shared keys must not be counted under this condition.
+    """
+    return 1 + F.least(F.col("n") - F.col("place") - 1, F.col("_n") - F.col("_place") - 1) >= _overlap("n", "_n")
+
+
+def _leader_pairs(rows: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """Each class of a key with the key's leaders, if of another component: at most ``leaders`` pairs a row.
+
+    Leaders differ from key to key, so half of the needed keys is enough; what this
+    misses is left to ``_all_pairs``.
+    """
+    w = Window.partitionBy("key")
+    lead = F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), F.col("node")).alias("h"), "node", "n", "k", "comp")).over(w)
+                     for i in range(leaders)])
+    bare = F.transform("_leads", lambda x: F.struct(*[x[c].alias(c) for c in ("node", "n", "k", "comp")]))
+    met = rows.withColumn("_leads", lead).withColumn("_l", F.explode(F.array_distinct(bare)))
+    met = met.select("node", "n", "k", "comp", *[F.col(f"_l.{c}").alias(f"_{c}") for c in ("node", "n", "k", "comp")])
+    met = met.where((F.col("comp") != F.col("_comp")) & _may_link())
+    return (met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), _needed("n", "_n").alias("needed"))
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"))
+            .where(F.col("met") * 2 >= F.col("needed")).select("a", "b"))
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """All classes of a key that are of different components, with room for the overlap."""
-    other = rows.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "place", "comp")])
-    return (rows.join(other, "key").where((F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")) & _room("n", "place", "_n", "_place"))
-            .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+    """All pairs of classes of different components that share the needed keys.
+
+    Under keys of few classes pairs are joined; their number is linear in the
+    rows, and their shared keys, rare or frequent, are counted then.  The classes of a frequent key are dealt in blocks of bounded size, and each pair
+    of blocks counts the shared keys as a matrix product, which returns only
+    the pairs that share enough.
+    """
+    sized = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    sets = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most a prefix of one text
+    rare = sized.where(F.col("met") <= FREQUENT)
+    other = rare.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "place", "k", "comp")])
+    pairs = (rare.join(other, "key").where((F.col("node") < F.col("_node")) & (F.col("comp") != F.col("_comp")) & _may_link() & _may_be_first())
+             .select(F.col("node").alias("a"), F.col("_node").alias("b"), _needed("n", "_n").alias("needed")).distinct())
+    pairs = (pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
+             .join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+             .where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("a", "b"))
+
+    blocks = F.ceil(F.col("met") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    often = sized.where(F.col("met") > FREQUENT).withColumn("blocks", blocks).withColumn("block", mine)
+    units = (often.select("key", "node", "n", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+             .select("key", "node", "n", "comp", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high")))
+    heads = often.groupBy("node").agg(F.collect_list("key").alias("often"))
+    counted = units.join(sets.join(heads, "node"), "node").groupBy("key", "low", "high").applyInArrow(_block_pairs, "a long, b long")
+    return pairs.union(counted).distinct()
+
+
+def _block_pairs(group: pa.Table) -> pa.Table:
+    """Pairs of a unit's classes that share the needed keys; a unit of two blocks pairs only across.
+
+    A pair meets under each frequent key it shares; the smallest of them returns it.
+    """
+    node, n, comp, block = (group[c].to_numpy() for c in ("node", "n", "comp", "block"))
+
+    def holds(column: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = group[column].combine_chunks()
+        who = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        names, which, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        used = np.flatnonzero(times > 1)  # a key of one class is not shared
+        number = np.full(len(names), -1)
+        number[used] = np.arange(len(used))
+        keep = number[which] >= 0
+        out = np.zeros((len(node), max(1, len(used))), np.float32)
+        out[who[keep], number[which[keep]]] = 1
+        return out, names[used]
+
+    held, _ = holds("keys")
+    heads, names = holds("often")
+    heads = heads > 0
+    key = group["key"][0].as_py()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    one = bool((block == block[0]).all())
+    for at in range(0, len(node), 256):
+        part = slice(at, at + 256)
+        shared = held[part] @ held.T
+        small, large = np.minimum(n[part][:, None], n[None, :]), np.maximum(n[part][:, None], n[None, :])
+        least = np.maximum(1, -(-(small + large) * NUM // (NUM + DEN)) + 1 - -(-large * NUM // DEN))
+        ok = (shared >= least) & (small * DEN >= large * NUM) & (comp[part][:, None] != comp[None, :]) & (node[part][:, None] < node[None, :])
+        if not one:
+            ok &= block[part][:, None] != block[None, :]
+        i, j = np.nonzero(ok)
+        if i.size:
+            first = np.concatenate([(heads[at + i[x:x + 4096]] & heads[j[x:x + 4096]]).argmax(axis=1) for x in range(0, i.size, 4096)])
+            mine = names[first] == key
+            i, j = i[mine], j[mine]
+        a.append(node[part][i])
+        b.append(node[j])
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
 
 def _with_components(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -214,9 +312,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
         small, large = sorted((len(x), len(y)))
         if not small or DEN * small < NUM * large:
             return False
-        for p, q in zip(prefix_x, prefix_y, strict=True):
-            if not np.intersect1d(p, q, assume_unique=True).size:
-                return False
+        least = needed(len(x), len(y))
+        if any(np.intersect1d(p, q, assume_unique=True).size < least for p, q in zip(prefix_x, prefix_y, strict=True)):
+            return False
         both = np.intersect1d(x, y, assume_unique=True).size
         return DEN * both >= NUM * (len(x) + len(y) - both)
 
@@ -267,10 +365,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     postings = _postings(docs, classes.where("node IS NOT NULL"), levels)
     met, _ = bounded_broadcast(stored(postings.select(F.col("node").alias("doc_id")).distinct(), "met"), MAX_BROADCAST_IDS)
     texts = stored(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
-    comps, links = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    comps, links, seen = None, None, None
+    for turn in range(len(STARS) + 1):
         left = _with_components(postings, comps)
-        pairs = stored(_leader_pairs(left, turn) if turn < STAR_ROUNDS else _all_pairs(left), "pairs")
+        pairs = _leader_pairs(left, turn, STARS[turn]) if turn < len(STARS) else _all_pairs(left)
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.union(pairs)
         new = stored(_verify(pairs, texts, levels), "links")
         if not new.limit(1).count():
             continue

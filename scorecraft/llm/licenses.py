@@ -70,8 +70,8 @@ def match_passages(passages: DataFrame, templates: tuple = TEMPLATES, least: flo
         F.count(F.lit(1)).alias("tf"))
     seen = words.select("term", "n").union(template_words.select("term", F.lit(1).cast("long")))
     total = texts.agg((F.coalesce(F.sum("n"), F.lit(0)) + len(templates)).alias("total"))
-    df = seen.groupBy("term").agg(F.sum("n").alias("df")).join(F.broadcast(total.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    idf = df.select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = seen.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = df.select("term", (F.log((1 + total.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = stored(idf, "license-idf")
     # one row per term of the fixed templates
     side = F.broadcast(_weighted(template_words, idf, "template").withColumnRenamed("w", "_w"))

@@ -83,8 +83,7 @@ def budgets(leaves: DataFrame, percent: int = BUDGET_PERCENT, epochs: int = MAX_
     langs = leaf.groupBy("domain", "lang").agg(F.sum("room").alias("room"))
     domains = langs.groupBy("domain").agg(F.sum("room").alias("room"))
     total = leaf.agg(F.floor(F.coalesce(F.sum("avail"), F.lit(0)) * percent / 100).cast("double").alias("budget"))
-    # a join with the single root row, by the constant parent
-    top = domains.withColumn("_root", F.lit(0)).join(F.broadcast(total.withColumn("_root", F.lit(0))), "_root")
+    top = domains.withColumn("budget", total.scalar()).withColumn("_root", F.lit(0))
     out = _share(top.withColumn("weight", _weight(F.col("domain"), domain_weights)), ["_root"], "domain")
     for names, nodes, weights in ((["domain"], langs, lang_weights), (["domain", "lang"], leaf, source_weights)):
         below = "lang" if len(names) == 1 else "source"

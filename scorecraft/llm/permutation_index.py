@@ -73,7 +73,8 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
     rows, dim = valid_vectors(table, nonzero=True)
     items = stored(pack(rows, max(dim, 1), lambda x: (x, np.sqrt((x * x).sum(axis=1)))), "permutation")
     n = items.count()
-    chosen = items.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # at most ``pivots`` rows
+    ids = [r[0] for r in items.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
+    chosen = items.where(F.col("vec_id").isin(ids)).orderBy("vec_id").collect() if ids else []  # at most ``pivots`` rows
     base = np.frombuffer(b"".join(r["data"] for r in chosen), np.float64).reshape(len(chosen), max(dim, 1))
     m = min(prefix, max(1, len(base)))
     n_blocks = max(1, -(-n // block))

@@ -25,7 +25,7 @@ BLOCK, QUERY_BLOCK, CLASSES = 2048, 1024, 256
 COORDINATE_FROM = 0.5
 FOCUS = 4
 # First thresholds come from this many of the longest vectors.
-PROBE = 2048
+PROBE = 512
 # Slack for rounding: bounds are loosened by it, products are exact.
 EPS = 1e-9
 SCHEMA = "query_id long, vec_id long, score long"
@@ -134,7 +134,8 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, block: int = BLO
         + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*map(F.lit, parts)), at).cast("long"))).cast("int")).drop("class", "norm")
 
     # First thresholds: the k-th best product with the longest vectors (any other k rows can only raise it).
-    longest = items.orderBy(F.desc("norm"), "vec_id").limit(PROBE).collect()  # at most PROBE rows
+    ids = [r[0] for r in items.select("vec_id", "norm").orderBy(F.desc("norm"), "vec_id").limit(PROBE).collect()]
+    longest = items.where(F.col("vec_id").isin(ids)).collect() if ids else []  # at most PROBE rows
     probe = Bucket(np.array([r["vec_id"] for r in longest], np.int64),
                    np.frombuffer(b"".join(r["data"] for r in longest), np.int64).reshape(len(longest), max(dim, 1))) if longest else None
     shared = table.sparkSession.sparkContext.broadcast(probe)
