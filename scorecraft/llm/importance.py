@@ -63,7 +63,7 @@ def _with_labels(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int = MAX_LABELLED) -> np.ndarray:
-    """Log ratio of the two models per bucket; counts cover all documents, each task sends one array per model."""
+    """Counts of the raw and the target text per bucket (2 x buckets), over all documents; each task sends one array per model."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -82,8 +82,13 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit: int =
     counts = np.zeros((2, buckets))
     for r in sums.collect():  # at most 2 x buckets rows
         counts[r["model"], r["bucket"]] = r["n"]
+    return counts
+
+
+def log_ratio(counts: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw per bucket; 0 where there is no target text."""
     if not counts[1].sum():
-        return np.zeros(buckets)
+        return np.zeros(counts.shape[1])
     p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
     return np.log(p[1]) - np.log(p[0])
 
@@ -95,21 +100,38 @@ def _gumbel(doc_ids: np.ndarray, weights: np.ndarray, seed: int) -> np.ndarray:
     return weights - np.log(-np.log(u))
 
 
-def _score(batch: pa.RecordBatch, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _own_share(counts: np.ndarray, grams: np.ndarray, n: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """What each text's weight has from its own place in the target counts (0 for texts that are not in them)."""
+    out = np.zeros(len(n))
+    size = counts.shape[1]
+    owner = np.repeat(np.arange(len(n)), n)
+    mine = good[owner]
+    cell, times = np.unique(owner[mine] * size + grams[mine], return_counts=True)
+    have = counts[1][cell % size] + SMOOTHING
+    np.add.at(out, cell // size, times * (np.log(have) - np.log(np.maximum(have - times, SMOOTHING))))
+    total = counts[1].sum() + SMOOTHING * size
+    return out - np.where(good, n * (np.log(total) - np.log(np.maximum(total - n, SMOOTHING))), 0.0)
+
+
+def _score(batch: pa.RecordBatch, counts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of n-grams, weight and key of each row. No document is weighed by a target that it is part of."""
     data, offsets = text_bytes(batch.column("text"))
+    good = batch.column("_good").fill_null(0).to_numpy(zero_copy_only=False) == 1
+    ratio, known = log_ratio(counts), bool(counts[1].sum())
     ns, ws = [np.zeros(0, np.int64)], [np.zeros(0)]
     for a, b in slices(offsets):
         grams, n = ngram_buckets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], len(ratio))
         ns.append(n)
-        ws.append(segment_sums(np.round(ratio[grams] * (1 << 32)).astype(np.int64), n) / (1 << 32))  # exact sums
+        w = segment_sums(np.round(ratio[grams] * (1 << 32)).astype(np.int64), n) / (1 << 32)  # exact sums
+        ws.append(w - _own_share(counts, grams, n, good[a:b]) if known else w)
     ids = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     weight = np.concatenate(ws)
     return np.concatenate(ns), weight, _gumbel(ids, weight, seed)
 
 
-def score(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, seed: int = SEED, limit: int = MAX_LABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, counts: np.ndarray, seed: int = SEED, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, quality (NULL where not in the label sample), n_ngrams, log_weight, key (weight plus Gumbel noise)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # one double per bucket
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # two doubles per bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +200,16 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
                       buckets: int = BUCKETS, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, n_ngrams, log_weight, key, keep: one row per document row, keep for the k largest keys.
 
+    A document of the target sample is weighed without its own counts in the
+    target, so that labelled and other documents weigh alike.
+
     ``k`` defaults to ``share_of_good``.  NULL and empty texts have no n-grams
     and weight 0; a NULL doc_id draws its noise as -1; repeated rows have equal
     keys and are kept or rejected together; without good labels all weights
     are 0 and, as k is then all rows, all are kept; an empty table gives no rows.
     """
-    ratio = fit(docs, labels, buckets, limit)
-    scored = stored(score(docs, labels, ratio, seed, limit), "importance")
+    counts = fit(docs, labels, buckets, limit)
+    scored = stored(score(docs, labels, counts, seed, limit), "importance")
     k = share_of_good(scored) if k is None else k
     cut = top_k_cut(scored, "key", k)
     return scored.select("doc_id", "n_ngrams", "log_weight", "key", (F.col("key") >= F.lit(cut)).alias("keep"))
@@ -193,13 +218,16 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
 def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED,
               buckets: int = BUCKETS, limit: int = MAX_LABELLED) -> DataFrame:
     """The documents that ``importance_sample`` keeps, all columns unchanged (scored again by row, no join)."""
-    ratio = fit(docs, labels, buckets, limit)
-    scored = stored(score(docs, labels, ratio, seed, limit).select("quality", "log_weight", "key"), "importance")
+    counts = fit(docs, labels, buckets, limit)
+    scored = stored(score(docs, labels, counts, seed, limit).select("quality", "log_weight", "key"), "importance")
     cut = top_k_cut(scored, "key", share_of_good(scored) if k is None else k)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_score(batch, shared.value, seed)[2] >= cut))
+            yield batch.select(names).filter(pa.array(_score(batch, shared.value, seed)[2] >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    # the label sample has at most ``limit`` rows
+    marked = docs.join(F.broadcast(label_sample(labels, limit)), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return marked.mapInArrow(run, docs.schema)
