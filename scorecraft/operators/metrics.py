@@ -59,28 +59,21 @@ def label_domain(counts: DataFrame, runs: Sequence[str], side: str = "gt",
                   .agg(F.array_sort(F.collect_set(side)).alias(name)))
 
 
-MAX_DENSE_LABELS = 5_000
-
-
-def confusion_long(counts: DataFrame, runs: Sequence[str], domains: DataFrame | None = None,
-                   max_labels: int = MAX_DENSE_LABELS) -> DataFrame:
+def confusion_long(counts: DataFrame, runs: Sequence[str], domains: DataFrame | None = None) -> DataFrame:
     """Dense confusion matrix in long form ``(runs..., true_idx, true_label, pred_idx, pred_label, n)``.
 
     ``domains`` holds, per run, the array columns ``true_labels`` and
     ``pred_labels``; by default both are the sorted distinct gt (sklearn's
     ``labels=``).  Pairs with either side outside its domain are dropped,
-    absent pairs are zero.  The grid comes from exploding the two bounded
-    arrays of each run row, so no join between fact rows is needed.
+    absent pairs are zero.  The grid comes from exploding the two label arrays
+    of each run row, so no join between fact rows is needed.  It is lazy and has
+    labels x labels rows per run; nothing is computed before it is read, so a
+    run with very many labels does not keep the other parts of a report from use.
     """
     runs = list(runs)
     if domains is None:
         domains = (label_domain(counts, runs, "gt")
                    .select(*runs, F.col("labels").alias("true_labels"), F.col("labels").alias("pred_labels")))
-    # The dense grid is labels x labels per run: refuse open-ended label sets
-    # (one small aggregate over the per-run domain rows decides).
-    widest = domains.agg(F.max(F.greatest(F.size("true_labels"), F.size("pred_labels"))).alias("w")).first()["w"]
-    if widest is not None and widest > max_labels:
-        raise ValueError(f"{widest} labels in one run: use confusion_rows or the sparse count table instead")
     grid = (domains.select(*runs, "pred_labels", F.posexplode("true_labels").alias("true_idx", "true_label"))
                    .select(*runs, "true_idx", "true_label",
                            F.posexplode("pred_labels").alias("pred_idx", "pred_label")))

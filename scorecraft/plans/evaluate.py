@@ -35,13 +35,13 @@ def attach_manifest(preds: DataFrame, manifests: DataFrame) -> DataFrame:
     return preds.join(m, "run", "left")
 
 
-def run_profiles_from_manifests(manifests: DataFrame) -> list[str]:
+def run_profiles_from_manifests(manifests: DataFrame) -> list[str] | None:
     """Rule profiles of the runs described by a manifest table (one small row per run)."""
     p = F.coalesce(F.col("prompt"), F.lit(""))
     key = F.concat_ws("|", canonical_model(F.col("model")), canonical_attribute(F.col("attribute")),
                       F.contains(p, F.lit("[author]")).cast("string"), F.contains(p, F.lit("[year]")).cast("string"))
     from scorecraft.operators.rules import run_profiles
-    return run_profiles(manifests, key) or []
+    return run_profiles(manifests, key) or None  # None: all branches
 
 
 def run_domains(preds: DataFrame, year_precision: int = 100) -> DataFrame:
@@ -217,7 +217,7 @@ def model_report(raw: DataFrame, processed: DataFrame, dataset: str, attribute:
     """
     from scorecraft.sources.files import preferred_results
     norm = T.report_key_lower if key == "lower" else T.report_key_underscore
-    runs = ["dataset", "attribute", "model"]
+    runs = ["run", "dataset", "attribute", "model"]  # one row per run: conditioned runs are not pooled with their base run
     chosen = (preferred_results(raw, processed)
               .where((F.col("dataset") == dataset) & (F.col("attribute") == attribute))
               .select(*runs, norm("gt").alias("gt"), norm("pred").alias("pred")))

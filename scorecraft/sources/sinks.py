@@ -18,8 +18,13 @@ RUN_PARTITIONS = ["dataset", "attribute", "model"]
 
 
 def write_runs(df: DataFrame, path: str, partitions: list[str] = RUN_PARTITIONS) -> None:
-    (df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic"))
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    """Write runs, replacing only the partitions that ``df`` holds.
+
+    The ``run`` key, where present, is the last partition level: runs that differ
+    only in their conditioning (given author or year) do not replace each other.
+    """
+    keys = [*partitions, *(["run"] if "run" in df.columns and "run" not in partitions else [])]
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def manifest_row(spark: SparkSession, args: dict[str, Any]) -> DataFrame:

@@ -97,10 +97,8 @@ def test_reports_without_run_columns(spark):
     assert rows == {"a": [1, 1, 0], "b": [0, 1, 0], "c": [0, 0, 0]}
 
 
-def test_dense_confusion_refuses_open_label_sets(spark):
-    import pytest
-    df = spark.createDataFrame([(str(i), str(i)) for i in range(30)], "gt string, pred string")
+def test_dense_confusion_has_no_label_cap(spark):
+    df = spark.range(5001).selectExpr("cast(id as string) gt", "cast(id as string) pred")
     counts = M.pair_counts(df, [])
-    assert M.confusion_long(counts, [], max_labels=30).count() == 900
-    with pytest.raises(ValueError):
-        M.confusion_long(counts, [], max_labels=29)
+    dense = M.confusion_long(counts, [])
+    assert dense.where("true_label = '17'").agg({"n": "sum", "*": "count"}).first().asDict() == {"sum(n)": 1, "count(1)": 5001}

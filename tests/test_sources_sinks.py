@@ -85,3 +85,15 @@ def test_processed_files_win_per_run(spark):
     assert len(by) == 5
     none = preferred_results(raw, proc.limit(0))
     assert none.where(F.col("source") == "raw").count() == 5 * 147
+
+
+def test_conditioned_run_does_not_replace_its_base_run(spark, tmp_path):
+    from scorecraft.sources.sinks import write_runs
+    base = [("ArTest", "art_style", "LLaVA", "ArTest_style_LLaVa", i) for i in range(5)]
+    given = [("ArTest", "art_style", "LLaVA", "ArTest_styleGivenAuthor_LLaVa", i) for i in range(3)]
+    schema = "dataset string, attribute string, model string, run string, row_idx long"
+    out = str(tmp_path / "runs")
+    for part in (base, given, given):
+        write_runs(spark.createDataFrame(part, schema), out)
+    got = {r["run"]: r["count"] for r in spark.read.parquet(out).groupBy("run").count().collect()}
+    assert got == {"ArTest_style_LLaVa": 5, "ArTest_styleGivenAuthor_LLaVa": 3}
