@@ -44,7 +44,9 @@ ORDERS = (101, 202, 303)
 COUNTERS = 1 << 16
 CHUNKS = 64
 # Rounds of stars, and the leaders of a key in each.
-STARS = (1, 4, 4, 8)
+STARS = (2, 6)
+# Leaders are drawn by their share of own prefix shingles plus a random part of up to this much.
+LEADER_SPREAD = 0.1
 # A key of more classes is worked on in blocks of about so many classes.
 FREQUENT, BLOCK = 64, 1024
 # Ids of the texts to verify are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
@@ -94,6 +96,10 @@ def prefix_length(n):
     return n - -(-n * NUM // DEN) + 1
 
 
+def _prefix_length():
+    return F.col("n") - F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)) + 1
+
+
 def frequency_levels(sketch: np.ndarray) -> np.ndarray:
     """0 for counters that look like chance, and one more for each doubling above (orders x COUNTERS, uint8)."""
     mean = sketch.mean(axis=1, keepdims=True)
@@ -207,12 +213,18 @@ def _may_be_first():
 def _leader_pairs(rows: DataFrame, turn: int, leaders: int) -> DataFrame:
     """Each class of a key with the key's leaders, if of another component: at most ``leaders`` pairs a row.
 
-    Leaders differ from key to key, so half of the needed keys is enough; what this
-    misses is left to ``_all_pairs``.
+    Leaders are drawn among the classes with few prefix shingles of their own: such a
+    class is close to the text that a group's copies were made from, and links with
+    copies that differ too much from each other.  Leaders differ from key to key, so
+    half of the needed keys is enough; what this misses is left to ``_all_pairs``.
     """
     w = Window.partitionBy("key")
-    lead = F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), F.col("node")).alias("h"), "node", "n", "k", "comp")).over(w)
-                     for i in range(leaders)])
+    own = F.lit(1) - F.col("k") / _prefix_length()
+
+    def draw(i: int):
+        return F.pmod(F.xxhash64(F.lit(turn), F.lit(i), F.col("node")), F.lit(1 << 20)) / F.lit(1 << 20)
+
+    lead = F.array(*[F.min(F.struct((own + draw(i) * LEADER_SPREAD).alias("h"), "node", "n", "k", "comp")).over(w) for i in range(leaders)])
     bare = F.transform("_leads", lambda x: F.struct(*[x[c].alias(c) for c in ("node", "n", "k", "comp")]))
     met = rows.withColumn("_leads", lead).withColumn("_l", F.explode(F.array_distinct(bare)))
     met = met.select("node", "n", "k", "comp", *[F.col(f"_l.{c}").alias(f"_{c}") for c in ("node", "n", "k", "comp")])
