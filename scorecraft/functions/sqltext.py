@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 from typing import Callable, Sequence
 
-from scorecraft.functions.text import AUTHOR_PHRASE, CENTURY, FOUR_DIGITS, YEAR_PHRASE
+from scorecraft.functions.text import AUTHOR_PHRASE, CENTURY, FOUR_DIGITS, LARGEST, LAST_NONZERO, NUMBER, YEAR_PHRASE
 
 _ids = itertools.count()
 _WS = r"(?U)\s"
@@ -92,13 +92,20 @@ def no_year(x: str) -> str:
     return collapse(f"regexp_replace({x}, {q(YEAR_PHRASE)}, '')")
 
 
+def _first_year_of(digits: str) -> str:
+    def body(d: str) -> str:
+        head, last, zeros = (f"regexp_extract({d}, {q(LAST_NONZERO)}, {i})" for i in (1, 2, 3))
+        less = f"concat({head}, translate({last}, '123456789', '012345678'), replace({zeros}, '0', '9'), '00')"
+        return f"CASE WHEN {d} RLIKE '^0*$' THEN '-100' ELSE regexp_replace({less}, '^0+(?=[0-9])', '') END"
+    return let(digits, body)
+
+
 def century(x: str) -> str:
     def body(v: str) -> str:
         a, b, acc, m = _var(), _var(), _var(), _var()
         found = f"array_distinct(regexp_extract_all({v}, {q(CENTURY)}, 0))"
         ordered = f"array_sort({found}, ({a}, {b}) -> length({b}) - length({a}))"
-        year = (f"cast(cast((try_cast(regexp_extract({m}, '^[0-9]+', 0) AS DECIMAL(38,0)) - 1) * 100 "
-                f"AS DECIMAL(38,0)) AS STRING)")
+        year = _first_year_of(f"regexp_extract({m}, '^[0-9]+', 0)")
         return (f"CASE WHEN contains({v}, ' century') THEN "
                 f"aggregate({ordered}, {v}, ({acc}, {m}) -> replace({acc}, {m}, {year})) ELSE {v} END")
     return let(x, body)
@@ -110,9 +117,10 @@ def first_year(x: str) -> str:
 
 def bucket(x: str, precision: int) -> str:
     def body(v: str) -> str:
-        return (f"cast(cast(floor(CASE WHEN {v} IS NULL OR isnan({v}) THEN 0D ELSE {v} END / {int(precision)}) "
-                f"* {int(precision)} AS BIGINT) AS STRING)")
-    return let(f"try_cast(cast({x} AS STRING) AS DOUBLE)", body)
+        n = f"try_cast({v} AS DOUBLE)"
+        n = f"CASE WHEN {v} RLIKE {q(NUMBER)} AND abs({n}) < {LARGEST!r}D THEN {n} ELSE 0D END"
+        return f"cast(cast(floor({n} / {int(precision)}) * {int(precision)} AS BIGINT) AS STRING)"
+    return let(f"cast({x} AS STRING)", body)
 
 
 def rule(x: str, r: tuple[str, str], precision: int = 100) -> str:

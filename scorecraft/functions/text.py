@@ -125,6 +125,11 @@ AUTHOR_PHRASE = (r"\bby [A-Z][a-z]*(?: [A-Z][a-z]*)*(?: [A-Z]*[a-z]{0,3})*"
 YEAR_PHRASE = r"\bmade in [0-9]{4} \b"
 CENTURY = r"([0-9]+)(?:st|nd|rd|th) century"
 FOUR_DIGITS = r"[0-9]{4}"
+# Texts that count as a number, and the size below which a bucket is a whole number of 64 bits.
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+LARGEST = 9e18
+# Digits up to the last one that is not 0, that digit, and the zeros after it.
+LAST_NONZERO = "^(.*)([1-9])(0*)$"
 
 
 def remove_author(c: ColumnOrName) -> Column:
@@ -139,6 +144,17 @@ def remove_year(c: ColumnOrName) -> Column:
 
 # --- years (TXT8-TXT10) -----------------------------------------------------
 
+def _first_year_of(digits: Column) -> Column:
+    """(n - 1) * 100 as text, on the digits of n themselves: any number of them."""
+    def body(d: Column) -> Column:
+        less = F.concat(F.regexp_extract(d, LAST_NONZERO, 1),
+                        F.translate(F.regexp_extract(d, LAST_NONZERO, 2), "123456789", "012345678"),
+                        F.replace(F.regexp_extract(d, LAST_NONZERO, 3), F.lit("0"), F.lit("9")))
+        years = F.regexp_replace(F.concat(less, F.lit("00")), "^0+(?=[0-9])", "")
+        return F.when(F.regexp_like(d, F.lit("^0*$")), F.lit("-100")).otherwise(years)
+    return let(digits, body)
+
+
 def century_to_year(c: ColumnOrName) -> Column:
     """Rewrite every ``<n>th century`` as ``(n-1)*100``.
 
@@ -150,9 +166,7 @@ def century_to_year(c: ColumnOrName) -> Column:
         longest_first = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
         rewritten = F.aggregate(
             longest_first, x,
-            lambda acc, m: F.replace(acc, m, (
-                (F.regexp_extract(m, "^[0-9]+", 0).try_cast("decimal(38,0)") - 1) * 100
-            ).cast("decimal(38,0)").cast("string")),
+            lambda acc, m: F.replace(acc, m, _first_year_of(F.regexp_extract(m, "^[0-9]+", 0))),
         )
         # Fast path: texts without the word "century" have no match.
         return F.when(F.contains(x, F.lit(" century")), rewritten).otherwise(x)
@@ -167,9 +181,13 @@ def find_year(c: ColumnOrName) -> Column:
 def year_bucket(c: ColumnOrName, precision: int | Column = 100) -> Column:
     """Numeric value floored to ``precision`` (10 decade, 100 century) as text.
 
-    Unparseable input counts as 0, like ``pd.to_numeric(errors='coerce')``.
+    Unparseable input counts as 0, like ``pd.to_numeric(errors='coerce')``, and so
+    does a number beyond 64 bits or an infinite one.
     """
     p = precision if isinstance(precision, Column) else F.lit(int(precision))
-    v = _c(c).cast("string").try_cast("double")
-    v = F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
-    return (F.floor(v / p) * p).cast("bigint").cast("string")
+
+    def body(x: Column) -> Column:
+        v = x.try_cast("double")
+        v = F.when(F.regexp_like(x, F.lit(NUMBER)) & (F.abs(v) < F.lit(LARGEST)), v).otherwise(F.lit(0.0))
+        return (F.floor(v / p) * p).cast("bigint").cast("string")
+    return let(_c(c).cast("string"), body)

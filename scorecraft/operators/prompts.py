@@ -27,13 +27,14 @@ def fill_prompt(template: ColumnOrName, author: ColumnOrName | None = None,
                 year: ColumnOrName | None = None) -> Column:
     """Replace ``[author]`` (underscores -> spaces) and ``[year]`` per row.
 
-    A placeholder is only filled when the annotation column is given.
+    A placeholder is only filled when the annotation column is given; a NULL
+    annotation fills it with nothing.
     """
     out = _c(template)
     if author is not None:
-        out = F.replace(out, F.lit("[author]"), F.replace(_c(author).cast("string"), F.lit("_"), F.lit(" ")))
+        out = F.replace(out, F.lit("[author]"), F.replace(F.coalesce(_c(author).cast("string"), F.lit("")), F.lit("_"), F.lit(" ")))
     if year is not None:
-        out = F.replace(out, F.lit("[year]"), _c(year).cast("string"))
+        out = F.replace(out, F.lit("[year]"), F.coalesce(_c(year).cast("string"), F.lit("")))
     return out
 
 
@@ -114,7 +115,10 @@ def response_content(body: ColumnOrName) -> DataFrame | Column:
 
 
 def ingest_responses(df: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``content`` and ``error`` (``invalid_json`` / ``no_choices`` / NULL)."""
+    """Adds ``content`` and ``error``: ``invalid_json``, ``no_choices``, ``empty_choices``, ``no_content``, else NULL.
+
+    Without an error there is a content.
+    """
     b = F.col(body)
     # Spark's JSON parser returns a struct of NULLs for non-JSON input in
     # PERMISSIVE mode; json_object_keys is NULL exactly when the body is not
@@ -122,7 +126,9 @@ def ingest_responses(df: DataFrame, body: str = "body") -> DataFrame:
     keys = F.json_object_keys(b)
     return (df.withColumn("content", response_content(b))
               .withColumn("error", F.when(keys.isNull(), F.lit("invalid_json"))
-                          .when(~F.array_contains(keys, "choices"), F.lit("no_choices"))))
+                          .when(~F.array_contains(keys, "choices"), F.lit("no_choices"))
+                          .when(F.get_json_object(b, "$.choices[0]").isNull(), F.lit("empty_choices"))
+                          .when(F.col("content").isNull(), F.lit("no_content"))))
 
 
 def image_requests(annotations: DataFrame, images: DataFrame, prompt: ColumnOrName,

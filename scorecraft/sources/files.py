@@ -31,8 +31,9 @@ def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION_SC
 
 
 def _folder(path_col: Column) -> Column:
-    """Name of the folder holding the file."""
-    return F.element_at(F.split(path_col, "/"), -2)
+    """Name of the folder holding the file; the path of ``_metadata`` is percent-encoded."""
+    name = F.element_at(F.split(path_col, "/"), -2)
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
 def run_identity(folder: ColumnOrStr) -> dict[str, Column]:
