@@ -24,9 +24,13 @@ SOURCE_WEIGHTS = {"src0": 2}
 BUDGET_PERCENT = 60
 MAX_EPOCHS = 3
 SEED = 11
-# An epoch's order is by a 60-bit hash; its first bits are the bin of a document in its leaf.
-ORDER_BITS = 12
+# An epoch's order is by a 60-bit hash; its first bits are the bin of a document in its leaf,
+# found in two steps of at most 4096 bins a leaf each.
+HASH_BITS = 60
+ORDER_BITS = (12, 24)
 LEVELS = ("domain", "lang", "source")
+# The plan (a few numbers a leaf) is broadcast up to this many leaves, and joined by a shuffle beyond.
+MAX_BROADCAST_LEAVES = 100_000
 
 
 def domain_of(source: Column) -> Column:
@@ -100,6 +104,42 @@ def order_hash(seed: int, epoch: Column, doc_id: Column, digest: Column) -> Colu
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def _same(prefix: str) -> Column:
+    """Equal leaves, NULL keys included: a row's own columns and a side's with ``prefix``."""
+    domain, lang, source = (F.col(c).eqNullSafe(F.col(prefix + c)) for c in LEVELS)
+    return domain & lang & source
+
+
+def _bin(bits: int) -> Column:
+    return F.shiftright("_hash", HASH_BITS - bits)
+
+
+def _prefix_ends(rows: DataFrame, few: bool) -> DataFrame:
+    """_end_<leaf>, _end_bin, _end_start: the finest bin in which a leaf's prefix ends, and the tokens before it.
+
+    Each step sums the tokens of the bins inside the bin of the step before, so
+    that a window holds at most 4096 sums of a leaf, however many documents it has.
+    """
+    leaf = [f"_{c}" for c in LEVELS]
+    ends, wider = None, 0
+    for bits in ORDER_BITS:
+        here = rows.withColumn("_bin", _bin(bits))
+        if ends is None:
+            here = here.withColumn("_from", F.lit(0).cast("long"))
+        else:
+            here = here.join(F.broadcast(ends) if few else ends, _same("_end_")).where(_bin(wider) == F.col("_end_bin"))
+            here = here.withColumn("_from", F.col("_end_start"))
+        bins = here.groupBy(*leaf, "_part", "_from", "_bin").agg(F.sum("n_tokens").alias("_in"))
+        upto = Window.partitionBy(*leaf).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("_start", F.col("_from") + F.sum("_in").over(upto) - F.col("_in"))
+        # it starts before the prefix ends and reaches that end
+        hit = bins.where((F.col("_start") < F.col("_part")) & (F.col("_start") + F.col("_in") >= F.col("_part")))
+        ends = stored(hit.select(*[F.col(c).alias(f"_end{c}") for c in leaf], F.col("_bin").alias("_end_bin"),
+                                 F.col("_start").alias("_end_start")), "mixing-ends")
+        wider = bits
+    return ends
+
+
 def mix_sources(docs: DataFrame, percent: int = BUDGET_PERCENT, epochs: int = MAX_EPOCHS, seed: int = SEED,
                 carry: bool = False, **weights: Mapping[str, int]) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epochs_full, part_tokens, used_tokens: one row per document row.
@@ -118,41 +158,31 @@ def mix_sources(docs: DataFrame, percent: int = BUDGET_PERCENT, epochs: int = MA
     """
     read = [F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("source").alias("_source"), F.col("text").alias("_text")]
     keep = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
-    base = docs.select(*read, *keep)
-    base = base.select("doc_id", domain_of(F.col("_source")).alias("domain"), "lang", F.col("_source").alias("source"),
-                       word_count(F.col("_text")).alias("n_tokens"),
-                       F.md5(F.coalesce(F.col("_text"), F.lit(""))).alias("_digest"), *(["doc"] if carry else []))
-    if not carry:
-        base = stored(base, "mixing-counts")  # the texts are read once
-    leaves = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail"))
+
+    def counted(extra: list[Column]) -> DataFrame:
+        return docs.select(*read, *extra).select(
+            "doc_id", domain_of(F.col("_source")).alias("domain"), "lang", F.col("_source").alias("source"),
+            word_count(F.col("_text")).alias("n_tokens"), F.md5(F.coalesce(F.col("_text"), F.lit(""))).alias("_digest"),
+            *(["doc"] if extra else []))
+
+    counts = stored(counted([]), "mixing-counts")  # the steps before the last read no texts
+    leaves = counts.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail"))
     plan = budgets(leaves, percent, epochs, **weights)
     avail = F.greatest(F.col("avail"), F.lit(1))
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.floor(F.col("budget") / avail).cast("long").alias("epochs_full"),
                        (F.col("budget") % avail).alias("_part"))
     # one row per leaf of the tree, written once: every later step reads these rows
     plan = stored(plan, "mixing")
-    same = None
-    for c in LEVELS:
-        hit = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = hit if same is None else same & hit
-    n_leaves = plan.count()
-    side = F.broadcast(plan) if n_leaves <= 100_000 else plan
-    rows = base.join(side, same, "left").withColumn(
-        "_hash", order_hash(seed, F.col("epochs_full") + 1, F.col("doc_id"), F.col("_digest")))
-    rows = rows.withColumn("_bin", F.shiftright("_hash", 60 - ORDER_BITS).cast("int")).drop("_digest")
-    bins = rows.groupBy(*[f"_{c}" for c in LEVELS], "_part", "_bin").agg(F.sum("n_tokens").alias("_in"))
-    leaf = Window.partitionBy(*[f"_{c}" for c in LEVELS]).orderBy("_bin")
-    start = F.sum("_in").over(leaf.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")
-    # the bin in which the prefix ends: it starts before the end and reaches it
-    ends = (bins.withColumn("_start", start).where((F.col("_start") < F.col("_part")) & (F.col("_start") + F.col("_in") >= F.col("_part")))
-            .groupBy(*[f"_{c}" for c in LEVELS]).agg(F.min(F.struct("_bin", "_start")).alias("_end"))
-            .select(*[F.col(f"_{c}").alias(f"_end_{c}") for c in LEVELS], F.col("_end._bin").alias("_end_bin"), F.col("_end._start").alias("_end_start")))
-    ends = stored(ends, "mixing-ends")
-    same = None
-    for c in LEVELS:
-        hit = F.col(c).eqNullSafe(F.col(f"_end_{c}"))
-        same = hit if same is None else same & hit
-    rows = rows.join(F.broadcast(ends) if n_leaves <= 100_000 else ends, same, "left")
+    few = plan.count() <= MAX_BROADCAST_LEAVES
+    side = F.broadcast(plan) if few else plan
+
+    def placed(base: DataFrame) -> DataFrame:
+        place = order_hash(seed, F.col("epochs_full") + 1, F.col("doc_id"), F.col("_digest"))
+        return base.join(side, _same("_"), "left").withColumn("_hash", place).drop("_digest")
+
+    ends = _prefix_ends(placed(counts), few)
+    rows = placed(counted(keep) if carry else counts).withColumn("_bin", _bin(ORDER_BITS[-1]))
+    rows = rows.join(F.broadcast(ends) if few else ends, _same("_end_"), "left")
     inside = F.col("_bin") == F.col("_end_bin")
     whole = rows.where(~F.coalesce(inside, F.lit(False))).withColumn(
         "part_tokens", F.when(F.col("_bin") < F.col("_end_bin"), F.col("n_tokens")).otherwise(F.lit(0)).cast("long"))
