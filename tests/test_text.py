@@ -1,6 +1,4 @@
-"""Column builders for answer cleaning: edge cases and Python-equivalence properties."""
-
-import re
+"""Column builders for answer cleaning: hand-computed cases and invariants."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,31 +18,6 @@ def col_over(spark, values, build):
     return [r["o"] for r in out]
 
 
-# --- plain-Python models of the reference behaviour (test oracles) ---------
-
-def py_sentence(text, word):
-    for s in text.split("."):
-        if word.lower() in s.lower():
-            return s.strip()
-    return text
-
-
-def py_century(text):
-    return re.sub(r"([0-9]+)(?:st|nd|rd|th) century", lambda m: str((int(m.group(1)) - 1) * 100), text)
-
-
-def py_first_year(text):
-    m = re.findall(r"[0-9]{4}", text)
-    return m[0] if m else "0"
-
-
-AUTHOR = r"\bby [A-Z][a-z]*(?: [A-Z][a-z]*)*(?: [A-Z]*[a-z]{0,3})*(?: [A-Z][a-z]* )* [A-Z][a-z]* \b"
-
-
-def py_remove_author(text):
-    return " ".join(re.sub(AUTHOR, "", text).split())
-
-
 # --- fixed edge cases ------------------------------------------------------
 
 def test_llava_year_chain(spark):
@@ -70,6 +43,14 @@ def test_remove_author(spark):
     assert one(spark, T.remove_author(F.col("s")), "a by Raphael is") == "a by Raphael is"
 
 
+def test_sentences_and_years_by_hand(spark):
+    cases = {"The STYLE is odd. Then more.": "The STYLE is odd", "no such word": "no such word", "": "",
+             "a. b style . c style": "b style", " lifestyle ": "lifestyle"}
+    assert col_over(spark, list(cases), lambda c: T.sentence_with(c, "Style")) == list(cases.values())
+    cases = {"12345": "1234", "in 19051 or 1887": "1905", "99 and 100": "0", "": "0", "x1887y1905": "1887"}
+    assert col_over(spark, list(cases), T.find_year) == list(cases.values())
+
+
 def test_null_to_empty(spark):
     assert one(spark, T.null_to_empty(F.col("s")), None) == ""
 
@@ -105,7 +86,7 @@ def test_normalise(spark):
     assert one(spark, T.report_key_underscore(F.col("s")), "Pop Art") == "pop_art"
 
 
-# --- properties: Spark builders equal the Python definitions -----------------
+# --- invariants on random texts ----------------------------------------------
 
 words = st.sampled_from(["the", "style", "Period", "belongs", "painting", "19th century", "9th century",
                          "1st century", "by", "Pablo", "Picasso", "is", "1905", "12345", ".", " ", "  ", "\t",
@@ -113,13 +94,18 @@ words = st.sampled_from(["the", "style", "Period", "belongs", "painting", "19th
 texts = st.lists(words, min_size=0, max_size=14).map(lambda ws: " ".join(ws))
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(texts, min_size=60, max_size=60))
-def test_properties_match_python(spark, batch):
-    assert col_over(spark, batch, lambda c: T.sentence_with(c, "Style")) == [py_sentence(t, "Style") for t in batch]
-    assert col_over(spark, batch, T.century_to_year) == [py_century(t) for t in batch]
-    assert col_over(spark, batch, T.find_year) == [py_first_year(t) for t in batch]
-    assert col_over(spark, batch, T.remove_author) == [py_remove_author(t) for t in batch]
+def test_invariants(spark, batch):
+    for text, found in zip(batch, col_over(spark, batch, lambda c: T.sentence_with(c, "Style")), strict=True):
+        assert found == text if "style" not in text.lower() else found in text and "style" in found.lower()
+    for text, years in zip(batch, col_over(spark, batch, T.century_to_year), strict=True):
+        assert "century" not in years and years.count("1800") == text.count("19th century")
+    for text, year in zip(batch, col_over(spark, batch, T.find_year), strict=True):
+        assert year == "0" if not {"1905", "12345"} & set(text.split()) else year in ("1905", "1234") and year in text
+    for text, rest in zip(batch, col_over(spark, batch, T.remove_author), strict=True):
+        assert rest.split(" ") == (rest.split() or [""]) and len(rest) <= len(text)
+        assert "by" in text.split() or rest.split() == text.split()
     assert col_over(spark, batch, T.collapse_ws) == [" ".join(t.split()) for t in batch]
     assert col_over(spark, batch, lambda c: T.keep_before(c, " style")) == [t.split(" style")[0] for t in batch]
     assert col_over(spark, batch, lambda c: T.keep_after_last(c, "belongs")) == \
@@ -133,7 +119,7 @@ rule_texts = st.lists(st.sampled_from([
     min_size=0, max_size=12).map("".join)
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(rule_texts, min_size=80, max_size=80))
 def test_sql_text_rules_equal_column_rules(spark, batch):
     """The one-expression SQL form of every rule list equals the Column form."""
