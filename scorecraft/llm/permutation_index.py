@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from scorecraft.llm.common import ragged_index, stored
 from scorecraft.llm.vectors import best_of, pack, packed, search_blocks, valid_vectors
 
-#: Pivots are the vectors of this many ids, the first in hash order.
-PIVOTS, PREFIX = 96, 80
+#: So many pivots, drawn farthest-first among so many distinct vectors, the first in the order of their hash.
+PIVOTS, PREFIX, SAMPLE = 128, 112, 2048
 BLOCK, QUERY_BLOCK = 2048, 1024
 #: Share of a block's distinct vectors, and least number, that are reranked.
-RERANK_SHARE, RERANK_LEAST = 0.2, 100
+RERANK_SHARE, RERANK_LEAST = 0.3, 100
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -32,6 +32,17 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :prefix]
 
 
+def spread_out(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` rows that lie apart: the first, then each time the one farthest from those chosen; no equal ones."""
+    if not len(x):
+        return x
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < count and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
 class InvertedFiles:
     """For each pivot: the place it has in every row's order, m where it is not among a row's first m.
 
@@ -66,16 +77,19 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
 
     Score is the Euclidean distance in double precision, nearest first, ties to
     the smaller vec_id, the query itself excluded; all candidates if there are
-    fewer than ``k``.  Which vectors take part is told in ``valid_vectors`` (no
+    fewer than ``k``.  Pivots are drawn from distinct vectors and apart, so a large
+    group of copies or near copies takes no more of them than its place in space.  Which vectors take part is told in ``valid_vectors`` (no
     zero vectors); equal vectors of a block are searched as one and all count as
     candidates.  A table without valid vectors gives no rows.
     """
     rows, dim = valid_vectors(table, nonzero=True)
     items = stored(pack(rows, max(dim, 1), lambda x: (x, np.sqrt((x * x).sum(axis=1)))), "permutation")
     n = items.count()
-    ids = [r[0] for r in items.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    chosen = items.where(F.col("vec_id").isin(ids)).orderBy("vec_id").collect() if ids else []  # at most ``pivots`` rows
-    base = np.frombuffer(b"".join(r["data"] for r in chosen), np.float64).reshape(len(chosen), max(dim, 1))
+    marked = items.select(F.xxhash64("data").alias("mark"), "data")
+    marks = marked.select("mark").distinct().orderBy("mark").limit(SAMPLE).collect()
+    drawn = (marked.where(F.col("mark") <= marks[-1][0]).groupBy("mark").agg(F.min("data").alias("data"))
+             .orderBy("mark").collect()) if marks else []  # at most ``SAMPLE`` rows
+    base = spread_out(np.frombuffer(b"".join(r["data"] for r in drawn), np.float64).reshape(len(drawn), max(dim, 1)), pivots)
     m = min(prefix, max(1, len(base)))
     n_blocks = max(1, -(-n // block))
     queries = items.where(F.col("vec_id") % every == 0)

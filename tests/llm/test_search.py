@@ -71,3 +71,27 @@ def test_few_and_no_rows(spark, rows):
         assert f(frame(spark, [(0, None)])).count() == 0
         assert f(frame(spark, [(0, [1.0] * 8)])).count() == 0
         assert [(r["query_id"], r["vec_id"]) for r in f(frame(spark, [(0, [1.0] * 8), (1, [1.0] * 8)])).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-3])
+def test_recall_beside_many_copies(spark, noise):
+    """A third of the rows are copies, or near copies, of one vector; queries are the others, over several blocks."""
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in t], np.float32)
+    r = np.random.default_rng(5)
+    copies = np.repeat(x[:1], len(x) // 2, axis=0) + (noise * r.standard_normal((len(x) // 2, x.shape[1]))).astype(np.float32)
+    rows = [(2 * i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2 * i + 1, [float(a) for a in v]) for i, v in enumerate(copies)]
+    everything = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    found = {}
+    for row in nearest(frame(spark, rows), every=20, block=512).collect():
+        found.setdefault(row["query_id"], []).append(row["score"])
+    hits = total = 0
+    for i, q in enumerate(ids[:len(x)]):
+        if q % 20 == 0 and i:
+            d = np.sqrt(((everything - everything[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            hits += sum(s <= np.sort(d)[9] + 1e-9 for s in found[q])
+            total += 10
+    print(f"recall beside copies, noise {noise}: {hits / total:.3f} of {total}")
+    assert hits / total >= 0.95
