@@ -4,37 +4,36 @@ The text is split into units that no merge crosses, and the units are merged as
 ragged arrays: in each round a unit looks at all its candidate merges (its
 agenda), skips each by a keyed hash with probability ``dropout``, and applies
 the best that is left.  A unit whose whole agenda is skipped is done.  The key
-is (seed, variant, unit, place, pair, round) with ``variants`` variants taken
-from the document id, so a segmentation is repeatable anywhere, and the same
-word has up to ``variants`` segmentations in the corpus.  Decoding gives the
-text back exactly: what the vocabulary lacks, and a literal word mark, is coded
+is (seed, document id, number of the unit in the text, place, pair, round), so a
+segmentation is repeatable anywhere, and every occurrence of a word is drawn by
+itself.  Decoding gives the text back exactly: what the vocabulary lacks, and a literal word mark, is coded
 as bytes.  With dropout 0 the ids equal the library's.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scorecraft.llm.common import ragged_index, segment_sums
+from scorecraft.llm.common import ragged_index, segment_sums, slices
 from scorecraft.llm.ragged_bpe import PairTable, merge
 from scorecraft.llm.text_hash import mix, seeded
-from scorecraft.llm.token_counts import Memo, chunks
+from scorecraft.llm.token_counts import chunks
 
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 MARK = "▁"
 STAND_IN = "\udc00"
-MEMO_UNITS = 500_000
+# Units are merged in groups of about this many characters, whatever the length of a text.
+MERGE_CHARS = 1 << 17
 DIGEST_BASE = np.uint64(0x100000001B3)
 
 
 class PieceCoder:
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,13 +53,11 @@ class PieceCoder:
         inner = {c for p in plain for a, c in zip(p, p[1:], strict=False) if c == MARK != a}
         if inner or "\n" in self.chars:
             raise ValueError("this model merges across word marks or line ends")
-        self.units = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         self.dropout = int(dropout * (1 << 32))
-        self.seed, self.variants = seed, max(1, variants)
+        self.seed = seed
         self.code = np.full(0x110000, self.other, np.int32)
         for c, i in self.chars.items():
             self.code[ord(c)] = i
-        self.reset()
         shown = [b""] * n
         for p, i in plain.items():
             shown[i] = p.replace(MARK, " ").encode()
@@ -70,26 +67,11 @@ class PieceCoder:
         self.shown_at = np.cumsum(self.shown_len) - self.shown_len
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
 
-    def reset(self) -> None:
-        self.memo = [Memo() for _ in range(self.variants)]
-        self.flat, self.known = np.zeros(0, np.int64), 0
-        self.starts, self.lens = ([np.zeros(0, np.int64)] * self.variants for _ in range(2))
-
-    def learn(self) -> None:
-        """Segment all new units of all variants together."""
-        fresh = [len(m.new) for m in self.memo]
-        units = [u for m in self.memo for u in m.new]
-        if not units:
-            return
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
+    def _segment(self, points: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge units, given as characters one after the other, each under its own key."""
         symbols = self.code[points].astype(np.int64)
         drop = None
         if self.dropout:
-            place = ragged_index(np.zeros(len(units), np.int64), lengths).astype(np.uint64)
-            owner = segment_sums(mix(points + (place << np.uint64(32))), lengths)
-            owner = mix(owner + np.repeat([seeded(self.seed, v) for v in range(self.variants)], fresh))
-
             def drop(seq, place, pair, turn):
                 h = mix(owner[seq] + (place.astype(np.uint64) << np.uint64(32)) + pair.astype(np.uint64)
                         + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -98,15 +80,7 @@ class PieceCoder:
         ids, counts = merge(self.table, symbols, lengths, drop)
         if (ids == self.other).any():
             ids, counts = self._bytes_for(ids, counts, points[symbols == self.other])
-        starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, ids])
-        at = 0
-        for v, n in enumerate(fresh):
-            self.starts[v] = np.concatenate([self.starts[v], starts[at:at + n]])
-            self.lens[v] = np.concatenate([self.lens[v], counts[at:at + n]])
-            self.memo[v].new = []
-            at += n
-        self.known += len(units)
+        return ids, counts
 
     def _bytes_for(self, ids, counts, points) -> tuple[np.ndarray, np.ndarray]:
         """Replace every symbol without a piece by its UTF-8 bytes."""
@@ -117,23 +91,29 @@ class PieceCoder:
         out[out == self.other] = self.byte_ids[np.frombuffer(b"".join(missing), np.uint8)]
         return out, segment_sums(size, counts)
 
-    def encode(self, texts: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], doc_ids: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if self.known > MEMO_UNITS:
-            self.reset()
-        index = []
-        for t, v in zip(texts, variants, strict=True):
-            # a literal mark is no space: a stand-in that no UTF-8 text can hold keeps it apart
-            marked = (" " + t).replace(MARK, STAND_IN).replace(" ", MARK) if t else ""
-            units = self.units.findall(marked)
-            index.append(np.fromiter(map(self.memo[v].__getitem__, units), np.int64, len(units)))
-        self.learn()
-        starts = [self.starts[v][i] for v, i in zip(variants, index, strict=True)]
-        lens = [self.lens[v][i] for v, i in zip(variants, index, strict=True)]
-        counts = np.array([x.sum() for x in lens], np.int64)
-        if not counts.sum():
-            return np.zeros(0, np.int64), counts
-        return self.flat[ragged_index(np.concatenate(starts), np.concatenate(lens))], counts
+        # a literal mark is no space: a stand-in that no UTF-8 text can hold keeps it apart
+        marked = [(" " + t).replace(MARK, STAND_IN).replace(" ", MARK) if t else "" for t in texts]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not points.size:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(size)
+        # a unit is a line end, or a run of marks with what follows up to the next mark or line end
+        mark, line = points == ord(MARK), points == ord("\n")
+        lead = line | mark
+        lead[1:] = line[1:] | line[:-1] | mark[1:] & ~mark[:-1]
+        lead[(ends - size)[size > 0]] = True
+        at = np.append(np.flatnonzero(lead), points.size)
+        text = np.searchsorted(ends, at[:-1], side="right")
+        of_text = np.bincount(text, minlength=len(texts))
+        place = ragged_index(np.zeros(len(texts), np.int64), of_text).astype(np.uint64)
+        base = mix(np.asarray(doc_ids, np.int64).view(np.uint64) + seeded(self.seed))
+        owner = mix(base[text] + place)
+        done = [self._segment(points[at[a]:at[b]], np.diff(at[a:b + 1]), owner[a:b]) for a, b in slices(at, MERGE_CHARS)]
+        ids, counts = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids, segment_sums(counts, of_text)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of every text: pieces joined, the leading space of the first piece removed."""
@@ -147,43 +127,37 @@ class PieceCoder:
         return out
 
 
-def variant_of(doc_ids: np.ndarray, seed: int, variants: int) -> np.ndarray:
-    return (mix(doc_ids.astype(np.int64).view(np.uint64) + seeded(seed, 99)) % np.uint64(max(1, variants))).astype(np.int64)
-
-
 def _doc_ids(col: pa.Array) -> np.ndarray:
     return col.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
-                  variants: int = VARIANTS) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids array<int>, decoded string, lossless boolean: one row per input row, no shuffle.
 
     ``decoded`` is made from the ids alone.  NULL and empty texts have no ids
-    and decode to the empty text (lossless); a NULL doc_id stays NULL and uses the
-    variant of -1; repeated rows get the same segmentation; an empty table gives
+    and decode to the empty text (lossless); a NULL doc_id stays NULL and is
+    drawn as -1; repeated rows get the same segmentation; an empty table gives
     no rows; other columns are not read.
     """
     return docs.select("doc_id", "text").mapInArrow(
-        _runner(model, dropout, seed, variants, digest=False),
+        _runner(model, dropout, seed, digest=False),
         "doc_id long, ids array<int>, decoded string, lossless boolean")
 
 
-def piece_digest(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
-                 variants: int = VARIANTS) -> DataFrame:
+def piece_digest(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """The same rows with ids and text as digests: doc_id, n_pieces, ids_digest, n_decoded_bytes, lossless."""
     return docs.select("doc_id", "text").mapInArrow(
-        _runner(model, dropout, seed, variants, digest=True),
+        _runner(model, dropout, seed, digest=True),
         "doc_id long, n_pieces long, ids_digest long, n_decoded_bytes long, lossless boolean")
 
 
-def _runner(model: str, dropout: float, seed: int, variants: int, digest: bool):
+def _runner(model: str, dropout: float, seed: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        coder = PieceCoder(public_tokenizers.path(model), dropout, seed, variants)
+        coder = PieceCoder(public_tokenizers.path(model), dropout, seed)
         for batch in batches:
-            which = variant_of(_doc_ids(batch.column("doc_id")), seed, variants).tolist()
+            which = _doc_ids(batch.column("doc_id"))
             at = 0
             for group in chunks(x.as_py() for x in batch.column("text")):
                 ids, counts = coder.encode(group, which[at:at + len(group)])

@@ -47,6 +47,25 @@ def test_dropout_is_lossless_seeded_and_varied():
     assert not np.array_equal(one, other)
 
 
+def test_every_occurrence_is_drawn_by_itself():
+    path = P.path("piece_bpe_32k.model")
+    coder, word, n = PieceCoder(path, 0.1, 1), "representation", 400
+
+    def cuts(doc):
+        ids, _ = coder.encode([f"{word} " * n], [doc])
+        shown = [bytes(coder.shown[a:a + k]) for a, k in zip(coder.shown_at[ids], coder.shown_len[ids], strict=True)]
+        return [tuple(x.split(b"|")) for x in b"|".join(shown).split(b"| ")[:n]]
+
+    docs = [cuts(d) for d in range(40)]
+    assert len(set(docs[0])) > 4 and len({c for d in docs for c in d}) > len(set(docs[0]))  # grows with the data
+    assert len({tuple(d) for d in docs}) == len(docs)
+    # alike in any grouping, and from any place in a group
+    texts = [f"{word} {k} " * 30_000 if k == 1 else f"{word} {k}" for k in range(6)]
+    ids, counts = coder.encode(texts, list(range(6)))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert all(np.array_equal(parts[k], coder.encode([texts[k]], [k])[0]) for k in range(6))
+
+
 @pytest.fixture
 def docs(spark):
     return spark.createDataFrame([(i, t, 0, "clash") for i, t in TABLE], "doc_id long, text string, n_tokens int, ids string")
