@@ -16,9 +16,11 @@ CLOSED_BY = {"p": BLOCK_TAGS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"
              "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 
+#: A raw element's name ends at white space, ``/`` or ``>``; of these elements only svg may be closed in its own tag.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    rf"|<(?P<raw>{'|'.join(RAW_TAGS)})\b[^>]*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
+    rf"|<(?P<raw>{'|'.join(RAW_TAGS)})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S | re.I)

@@ -144,6 +144,16 @@ def test_blocks():
     assert len(blocks_of("<div>" * 3000 + "deep")) == 1
 
 
+def test_raw_elements_end_where_they_do():
+    def texts(page):
+        return [b.text for b in blocks_of(page)]
+
+    assert texts('<p>one<svg class="i"/> two</p><p>three</p>') == ["one two", "three"]
+    assert texts("<p>a<svg/>b<SVG viewBox='0 > 1' />c</p><p>d<svg a=\"/>\"><path d='x'/>no</svg>e</p>") == ["abc", "de"]
+    assert texts("<style-guide><p>kept</p></style-guide><template-card>also</template-card><p>end") == ["kept", "also", "end"]
+    assert texts("<style>p{}</style-x>no</style ><p>end<script/>no</script>") == ["end"]
+
+
 def test_labeller_learns_and_extracts(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").limit(400).collect()]
     labeller = Labeller().fit(*_training(pages[:160]))
