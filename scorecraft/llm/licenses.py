@@ -1,14 +1,20 @@
 """License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-DataFrame operations only.  The sentences of a file that hold an anchor word are
-its licence passages; a passage's TF-IDF vector is compared with the templates'
-by joining on terms.  A file with a match has that licence itself; if
-its passages make up enough of it, it is a licence file and licenses its
+DataFrame operations only.  A file is compared in three ways, each by joining
+TF-IDF vectors on terms: as a whole and by its opening block with full licence
+texts and standard notices, and by single passages, the sentences that hold an
+anchor word, with short notices.  A file with a match has that licence itself; if it matches
+as a whole, or its passages make up enough of it, it is a licence file and licenses its
 directory.  Every other file takes the licence of the nearest directory above.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +42,36 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("all-rights-reserved", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
+SPDX = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-4.0",
+        "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX
+                   for end in (("", "-only", "-or-later") if "GPL" in name else ("",))
+                   if (name, f"SPDX-License-Identifier: {name}{end}") not in TEMPLATES)
+#: Licences whose full text is in license_texts, and the notices that their texts tell to put at the start of a file.
+FULL_TEXTS = ("MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "GPL-1.0", "LGPL-3.0", "LGPL-2.1", "LGPL-2.0",
+              "MPL-2.0", "CC0-1.0")
+_GNU = ("{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by "
+        "the Free Software Foundation, either version {2} of the License, or (at your option) any later version. {0} is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General "
+        "Public License along with {0}. If not, see <https://www.gnu.org/licenses/>.")
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+     "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or "
+     "agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+     "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the "
+     "License."),
+    ("GPL-3.0", _GNU.format("This program", "", "3")), ("GPL-2.0", _GNU.format("This program", "", "2")),
+    ("LGPL-3.0", _GNU.format("This library", "Lesser ", "3")), ("LGPL-2.1", _GNU.format("This library", "Lesser ", "2.1")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|redistribution|permission is hereby"
 SENTENCE = r"[\r\n]+|(?<=[.!?])[ \t]+"
 TERM = r"[^a-z0-9.+-]+"
 MIN_COSINE, FILE_SHARE = 0.6, 0.2
+#: Least cosine of a block with a text; an opening block has a text's number of terms, and a share and number more.
+BLOCK_COSINE, OPENING = 0.75, (1.05, 8)
 
 
 def terms(text: Column) -> Column:
@@ -82,34 +114,100 @@ def match_passages(passages: DataFrame, templates: tuple = TEMPLATES, least: flo
             .join(F.broadcast(listed.select("template", "license")), "template").select("passage", "license", "score"))
 
 
+def _block_templates() -> list[tuple[str, list[str]]]:
+    """(license, terms) of the full texts and notices."""
+    here = package_files("scorecraft.llm").joinpath("license_texts")
+    texts = [(n, here.joinpath(f"{n}.txt").read_text(encoding="utf-8")) for n in FULL_TEXTS] + list(NOTICES)
+    return [(n, [w for w in (t.strip(".+-") for t in re.split(TERM, text.lower())) if w]) for n, text in texts]
+
+
+def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
+    """(file_id, path, license, score, whole) of files that as a whole, or by their opening block, reach ``least`` with a text.
+
+    Weights are (1 + ln tf) x idf, with document frequencies over the texts alone, so that a term that no text has weighs
+    most and a file's result does not hang on other files.  Pairs of a block and a text are left out before the vectors are
+    made only if the block lacks so many of the text's weightiest terms that it cannot reach ``least``: the squared
+    weights of the terms it has are a bound.  Equal blocks are compared once.
+    """
+    spark = files.sparkSession
+    texts = _block_templates()
+    df = Counter(w for _, words in texts for w in set(words))
+    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+    rare = math.log(1 + len(texts)) + 1
+    side, tests = [], []
+    for i, (_, words) in enumerate(texts):
+        raw = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        side += [(i, w, x / norm) for w, x in raw.items()]
+        # the weightiest terms, which hold three quarters of the squared weight: all others give what is left at most
+        order = sorted(raw, key=lambda w: (-raw[w], w))
+        share = [(raw[w] / norm) ** 2 for w in order]
+        top = next(k for k in range(1, len(order) + 1) if sum(share[:k]) >= 0.75)
+        lacking = least * least - sum(share[top:]) - 1e-6
+        need = next(k for k in range(top + 1) if sum(share[:k]) >= lacking)
+        tests.append((i, int(OPENING[0] * len(words)) + OPENING[1], order[:top], need))
+    # bounded by the fixed texts
+    weights = F.broadcast(spark.createDataFrame(side, "template int, term string, _w double"))
+    idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    names = F.broadcast(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(texts)], "template int, license string"))
+    listed = F.split(F.lit(" ".join(sorted({w for _, _, top, _ in tests for w in top}))), " ")
+    pairs = []  # span 0: the whole; an opening as long as the file is the whole
+    for i, span, top, need in tests:
+        some = F.split(F.lit(" ".join(top)), " ")
+        whole = F.size(F.array_intersect("shared", some)) >= need
+        opening = F.size(F.array_intersect(F.slice("terms", 1, span), some)) >= need
+        pairs += [F.when(whole, F.struct(F.lit(i).alias("template"), F.lit(0).alias("span"))),
+                  F.when(whole & (F.size("terms") > span) & opening, F.struct(F.lit(i).alias("template"), F.lit(span).alias("span")))]
+    # explode_outer: for explode the optimizer would work out the terms once more in a filter
+    near = (files.where("text IS NOT NULL").select("file_id", "path", terms(F.col("text")).alias("terms"))
+            .withColumn("shared", F.array_intersect("terms", listed))
+            .select("file_id", "path", "terms", F.explode_outer(F.array_compact(F.array(*pairs))).alias("pair")).where("pair IS NOT NULL")
+            .select("file_id", "path", "pair.*", F.when(F.col("pair.span") == 0, F.col("terms")).otherwise(
+                F.slice("terms", F.lit(1), F.greatest("pair.span", F.lit(1)))).alias("terms")))
+    blocks = stored(near.withColumn("block", F.sha2(F.array_join("terms", " "), 256)), "license-blocks")
+    words = (blocks.groupBy("block").agg(F.first("terms").alias("terms")).select("block", F.explode("terms").alias("term"))
+             .groupBy("block", "term").agg(F.count(F.lit(1)).alias("tf")).join(idfs, "term", "left")
+             .select("block", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(rare))).alias("w")))
+    norms = words.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    cosine = (words.join(weights, "term").groupBy("block", "template").agg(F.sum(F.col("w") * F.col("_w")).alias("dot"))
+              .join(norms, "block").select("block", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+              .where(F.col("score") >= least))
+    found = blocks.select("file_id", "path", "template", "span", "block").join(cosine, ["block", "template"])
+    return found.join(names, "template").select("file_id", "path", "license", "score", (F.col("span") == 0).alias("whole"))
+
+
 def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float = MIN_COSINE, share: float = FILE_SHARE) -> DataFrame:
     """file_id, path, license, score, how, license_dir for every row of ``files`` (file_id, path, text).
 
-    ``how`` is ``file`` (a licence file: its matched passages hold at least ``share``
-    of its words), ``header``, ``inherited`` or NULL.  Of a file's matches the highest score counts, then
-    the first licence by name; of a directory's licence files likewise, then the
+    ``how`` is ``file`` (a licence file: it matches a text as a whole, or its matched passages hold at least ``share``
+    of its words), ``header``, ``inherited`` or NULL.  Of a file's matches those of the whole count before those of
+    its opening block, and these before passages; then the highest score, then the first licence by name; of a directory's licence files likewise, then the
     smallest file_id.  A licence file licenses the directory it lies in and all
     below, the nearest above a file counts; ``license_dir`` names it for inherited licences.
 
     NULL and empty texts have no licence of their own but inherit; a NULL path lies
     in no directory; rows with the same file_id and path share what any of them
     declares; repeated rows stay; an empty table gives no rows; other columns are
-    not read.  Texts are scanned once without a shuffle; only passages are
-    shuffled, and equal ones as one row with a count.
+    not read.  Texts are scanned twice without a shuffle; only passages, and files that
+    share enough terms with a licence text, are shuffled, and equal ones as one row.
     """
     found = F.when(F.col("text").rlike(ANCHOR), F.col("text"))
-    held = files.select("file_id", "path", found.alias("text")).where("text IS NOT NULL").select(
+    anchored = files.select("file_id", "path", found.alias("text")).where("text IS NOT NULL").select(
         "file_id", "path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"),
         F.filter(F.split("text", SENTENCE), lambda s: s.rlike(ANCHOR)).alias("all"))
-    passages = stored(held.select("file_id", "path", "n_words", F.explode("all").alias("passage"))
+    passages = stored(anchored.select("file_id", "path", "n_words", F.explode("all").alias("passage"))
                       .withColumn("passage", F.trim("passage")), "license-passages")
     known = match_passages(passages, templates, least)
     hits = passages.join(known, "passage")
+    held = F.regexp_count("passage", F.lit(r"\S+"))
+    hits = hits.select("file_id", "path", "license", "score", F.lit(2).alias("by"), held.alias("held"), "n_words").unionByName(
+        match_blocks(files).select("file_id", "path", "license", "score", F.when(F.col("whole"), 0).otherwise(1).alias("by")),
+        allowMissingColumns=True)
     own = stored(hits.groupBy("file_id", "path").agg(
-        F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("b"),
-        (F.sum(F.regexp_count("passage", F.lit(r"\S+"))) / F.max("n_words")).alias("covered"))
+        F.min(F.struct("by", (-F.col("score")).alias("low"), "license")).alias("b"),
+        (F.sum("held") / F.max("n_words")).alias("covered"))
         .select("file_id", "path", F.col("b.license").alias("license"), (-F.col("b.low")).alias("score"),
-                (F.col("covered") >= share).alias("is_file")), "license-own")
+                ((F.col("b.by") == 0) | F.coalesce(F.col("covered") >= share, F.lit(False))).alias("is_file")), "license-own")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)  # empty: the root
     dirs = (own.where("is_file AND path IS NOT NULL").withColumn("dir", folder).groupBy("dir").agg(

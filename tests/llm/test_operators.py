@@ -89,6 +89,25 @@ def test_cosine_equals_brute_force(spark):
             assert got[t][0] == best[2] and abs(got[t][1] - best[0]) < 2e-6
 
 
+def test_full_texts_license_their_directories(spark):
+    from pathlib import Path
+
+    code = "\n".join(f"def run_{k}(value_{k}):\n    return value_{k} * {k}" for k in range(300))
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert set(texts) == set(licenses.FULL_TEXTS)
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        rows += [(2 * k, f"{name}/LICENSE", "Copyright (c) 2024 Jane Doe and others.\nAll rights reserved.\n\n" + text),
+                 (2 * k + 1, f"{name}/src/x.py", code)]
+        want |= {2 * k: (name, "file", None), 2 * k + 1: (name, "inherited", name)}
+    commented = "\n".join(f"# {line}" for line in ("Copyright 2024 Jane Doe\n" + texts["MIT"]).splitlines())
+    rows += [(100, "y.py", commented + "\n" + code), (101, "z.py", "// Copyright 2024 Jane Doe\n" + licenses.NOTICES[0][1] + "\n" + code),
+             (102, "s.py", "# SPDX-License-Identifier: MPL-2.0\n" + code), (103, "t.py", code)]
+    want |= {100: ("MIT", "header", None), 101: ("Apache-2.0", "header", None), 102: ("MPL-2.0", "header", None), 103: (None, None, None)}
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    assert {r["file_id"]: (r["license"], r["how"], r["license_dir"]) for r in licenses.scan_licenses(files).collect()} == want
+
+
 # Mixing
 
 def test_budgets_redistribute_among_siblings_first(spark):
