@@ -111,6 +111,93 @@ SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(reach.componen
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN reach USING (doc_id)
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h FROM documents),
+o AS (
+  SELECT doc_id, t, length(t) AS n, row_number() OVER w AS pos, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nxt, count(*) OVER () AS total
+  FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(nxt, 1, n // 2) AS ed FROM o),
+texts AS (SELECT pos, 'own' AS kind, t AS txt FROM e UNION ALL SELECT pos, 'new', ed FROM e),
+words AS (
+  SELECT pos, kind, unnest(list_distinct(list_filter(regexp_split_to_array(
+    translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''))) AS term FROM texts),
+df AS (SELECT term, count(*) AS df FROM words WHERE kind = 'own' GROUP BY term),
+lex AS (SELECT term FROM df, (SELECT count(*) AS n FROM documents) WHERE CASE WHEN n > 1 THEN ln(n / df) / ln(n) ELSE 0 END BETWEEN 0.1 AND 0.9),
+subsets AS (SELECT k, CASE WHEN k < 1 THEN 1 WHEN k < 7 THEN 2 WHEN k < 13 THEN 8 WHEN k < 19 THEN 32 ELSE 128 END AS rate FROM range(25) r(k)),
+held AS (SELECT term, k FROM lex, subsets WHERE rate = 1 OR ('0x' || substr(md5(k || '|' || term), 1, 8))::BIGINT % rate = 0),
+has AS (SELECT pos, kind, bool_or(term IN (SELECT term FROM lex)) AS any_, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS bare FROM words GROUP BY pos, kind),
+hashed AS (SELECT pos, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS x FROM words JOIN held USING (term) GROUP BY pos, kind, k),
+full_ AS (
+  SELECT t.pos, t.kind, list(CASE WHEN has.any_ THEN coalesce(x, '') ELSE coalesce(bare, substr(md5(''), 1, 8)) END ORDER BY s.k) AS fp
+  FROM texts t CROSS JOIN subsets s LEFT JOIN has ON has.pos = t.pos AND has.kind = t.kind
+  LEFT JOIN hashed ON hashed.pos = t.pos AND hashed.kind = t.kind AND hashed.k = s.k GROUP BY t.pos, t.kind),
+m AS (
+  SELECT e.doc_id, e.n, sha256(e.ed) AS edited_sha256, a.fp AS a, b.fp AS b, c.fp AS c
+  FROM e JOIN full_ a ON a.pos = e.pos AND a.kind = 'own' JOIN full_ b ON b.pos = e.pos AND b.kind = 'new'
+  JOIN full_ c ON c.pos = e.pos % e.total + 1 AND c.kind = 'own')
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, array_to_string(a, '-') AS fingerprint, array_to_string(b, '-') AS edited_fingerprint,
+  len(list_filter(list_zip(a, b), lambda z: z[1] = z[2] AND z[1] <> '')) / greatest(len(list_filter(list_zip(a, b), lambda z: z[1] <> '' OR z[2] <> '')), 1)::DOUBLE AS near_edited,
+  len(list_filter(list_zip(a, c), lambda z: z[1] = z[2] AND z[1] <> '')) / greatest(len(list_filter(list_zip(a, c), lambda z: z[1] <> '' OR z[2] <> '')), 1)::DOUBLE AS near_next
+FROM m
+"""
+
+OP12 = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, b) ORDER BY b) AS t
+  FROM range(256) r(b)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(id || ':' || run)) AS x FROM each),
+hashed AS (
+  SELECT id, run, n, xor(4294967295, list_reduce(
+    list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(t[xor(c % 256, b) + 1], c // 256), 4294967295)) AS h FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+v AS (SELECT word, n, length(word) AS l FROM words WHERE length(word) >= 6 AND n >= 5),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(l)) u(i)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word FROM cut a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, a.word FROM cut a JOIN v ON a.rest = v.word),
+best AS (
+  SELECT p.word, v.word AS near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, v.word) AS r
+  FROM pairs p JOIN v ON v.word = p.near),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+         CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND r = 1),
+chain AS (
+  WITH RECURSIVE c(word, tip) AS (
+    SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.tip WHERE f.form IS NOT NULL)
+  SELECT c.word, c.tip AS root FROM c JOIN f ON f.word = c.tip WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain USING (word)
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+         vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 #: Query -> SQL. op5 is approximate, op1 sampled, op2 and op3 library-defined, op10 learned.
 ORACLE_SQL: dict[str, str] = {
-    "op6_source_mixing": OP6, "op7_jaccard_join": OP7, "op8_url_filter": OP8, "op9_exact_topk": OP9}
+    "op6_source_mixing": OP6, "op7_jaccard_join": OP7, "op8_url_filter": OP8, "op9_exact_topk": OP9,
+    "op11_document_fingerprints": OP11, "op12_spelling_variants": OP12, "op13_hard_negatives": OP13}
