@@ -41,7 +41,7 @@ def subset_rates(rates: tuple = RATES) -> list[int]:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple = RATES) -> DataFrame:
-    """(term, subsets): terms within the band, and the numbers of the subsets that hold each.
+    """(term, subsets): terms within the band, and the subsets (63 at most) that hold each, as bits of a number.
 
     Subset k holds one in ``rate`` terms: those whose md5 of ``k|term``, read as a number from its first 8 hex digits, is divisible by the rate.
     """
@@ -50,9 +50,11 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple = RA
     n = total.scalar()
     known = F.when(n > 1, F.log(n / F.col("df")) / F.log(n)).otherwise(F.lit(0.0))
     kept = df.where((known >= band[0]) & (known <= band[1]))
-    draws = [F.when(F.lit(True) if rate == 1 else F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}|"), F.col("term"))), 1, 8), 16, 10).cast("long") % rate == 0,
-                    F.lit(k)) for k, rate in enumerate(subset_rates(rates))]
-    return kept.select("term", F.array_compact(F.array(*draws)).alias("subsets"))
+    mask = F.lit(0).cast("long")
+    for k, rate in enumerate(subset_rates(rates)):
+        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}|"), F.col("term"))), 1, 8), 16, 10).cast("long") % rate == 0
+        mask = mask.bitwiseOR(F.when(F.lit(rate == 1) | drawn, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return kept.select("term", mask.alias("subsets"))
 
 
 def _hashes(held: Column, bare: Column, n_subsets: int) -> Column:
@@ -60,7 +62,7 @@ def _hashes(held: Column, bare: Column, n_subsets: int) -> Column:
 
     A document without a term of the lexicon takes ``bare``, the hash of all its terms, for every subset.
     """
-    some = F.transform(F.sequence(F.lit(0), F.lit(n_subsets - 1)), lambda k: F.filter(held, lambda t: F.array_contains(t["subsets"], k)))
+    some = F.transform(F.sequence(F.lit(0), F.lit(n_subsets - 1)), lambda k: F.filter(held, lambda t: F.getbit(t["subsets"], k) == 1))
     of = F.transform(some, lambda s: F.when(F.size(s) > 0, F.substring(F.md5(F.array_join(F.transform(s, lambda t: t["term"]), " ")), 1, 8)).otherwise(""))
     return F.when(F.size(held) > 0, of).otherwise(F.array_repeat(bare, n_subsets))
 
@@ -145,12 +147,14 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     both = F.concat(F.transform(F.array_intersect("own", "new"), lambda t: F.struct(t.alias("term"), F.lit(3).alias("in"))),
                     F.transform(F.array_except("own", "new"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("in"))),
                     F.transform(F.array_except("new", "own"), lambda t: F.struct(t.alias("term"), F.lit(2).alias("in"))))
-    each = rows.select("bucket", "place", "turn", "times", "tail", "doc_id", "n_chars", "edited_sha256", bare("own").alias("own_bare"),
-                       bare("new").alias("new_bare"), F.explode_outer(both).alias("b")).select("*", "b.term", "b.in").drop("b")
+    # hashed in a step of its own: beside the explode it would be worked out for every term
+    carried = ["bucket", "place", "turn", "times", "tail", "doc_id", "n_chars", "edited_sha256", "own_bare", "new_bare"]
+    each = (rows.select(*carried[:-2], bare("own").alias("own_bare"), bare("new").alias("new_bare"), both.alias("both"))
+            .select(*carried, F.explode_outer("both").alias("b")).select(*carried, "b.term", "b.in"))
     held = F.struct("term", "subsets")
     known = F.col("subsets").isNotNull()
     kept = each.join(listed, "term", "left").groupBy("bucket", "place", "turn").agg(
-        *[F.first(c).alias(c) for c in ("times", "tail", "doc_id", "n_chars", "edited_sha256", "own_bare", "new_bare")],
+        *[F.first(c).alias(c) for c in carried[3:]],
         F.sort_array(F.collect_list(F.when(known & F.col("in").isin(1, 3), held))).alias("own"),
         F.sort_array(F.collect_list(F.when(known & F.col("in").isin(2, 3), held))).alias("new"))
     made = kept.select("bucket", "place", "turn", "times", "tail", "doc_id", "n_chars", "edited_sha256",
