@@ -40,7 +40,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[:n - k] |= codes[k:].astype(np.int64)
+        key[:max(0, n - k)] |= codes[k:].astype(np.int64)
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
