@@ -1,33 +1,44 @@
 """Nearest class in embedding space (cosine), class softmax, zero-shot classify.
 
-The class side (one vector per class) is a bounded domain.  Its size is
-checked, then it is packed into one array value with a scalar subquery that
-Spark evaluates once and ships with the tasks.  Each item row then scores all
-classes inside one expression: the scan stays a narrow, shuffle-free stage
-and no item x class rows are materialised unless the caller asks for the
-full similarity matrix.
-
-The shipped value is bounded by ``MAX_CLASS_CELLS`` (classes x dimension).
-A larger class side is cut into blocks of that size; items are written once
-to the shared checkpoint folder, scored block by block, and the per-block
-winners (or softmax partial sums) are merged per item -- exact, just more
-passes.
+One route at every size.  The class side is cut into blocks of a bounded number of
+cells; a block is read by the driver, shipped as a broadcast variable and
+multiplied, tile by tile, with Arrow batches of item vectors.  Only the vector
+column crosses to Python; the other columns stay where they are, and the item side is neither
+shuffled nor keyed.  Per item a running state goes from tile to tile and from
+block to block: the best class so far, its similarity, and the sum of the
+softmax terms relative to it, which is rescaled when a better class comes.
+
+With one block the whole search is one lazy projection.  With more, the items with
+their state are written to the shared checkpoint folder after each block, so that a worker
+holds one block at a time.
+
+What holds everywhere: classes with a NULL index take no part; a class vector of
+another length than the item's, a zero vector, and one that is NULL or holds a NULL or non-finite component
+have no similarity (NULL).  Similarities closer than ``TIE`` count as equal, and the lowest class
+index wins.  An item without any similarity gets the lowest class, ``sim`` NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.functions.text import let
-from scorecraft.functions.vectors import as_double, best_of, cosine, l2_norm
-from functools import reduce
-
+from scorecraft.functions.vectors import as_double
 from scorecraft.session import cut_lineage
 
-# Classes x dimension shipped with every task (32 MB of doubles).
+# Classes x dimension shipped at once (32 MB of doubles), and multiplied at once.
 MAX_CLASS_CELLS = 4_000_000
+TILE_CELLS = 1 << 18
+# Items x classes of one product.
+PRODUCT_CELLS = 1 << 21
+TIE = 1e-12
 
 
 def class_centroids(df: DataFrame, label_col: str, vec_col: str,
@@ -44,22 +55,6 @@ def class_centroids(df: DataFrame, label_col: str, vec_col: str,
                  .select(label_col, F.transform("_cells", lambda s: s["x"]).alias(out_vec)))
 
 
-def index_classes(classes: DataFrame, label_col: str, idx_col: str = "class_idx") -> DataFrame:
-    """Stable 0-based class index in label order (sorted domain)."""
-    from pyspark.sql import Window
-    return classes.withColumn(idx_col, F.row_number().over(Window.orderBy(label_col)) - 1)
-
-
-def _packed_classes(classes: DataFrame, idx_col: str, label_col: str, vec_col: str) -> Column:
-    packed = classes.select(F.array_sort(F.collect_list(F.struct(
-        F.col(idx_col).cast("int").alias("class_idx"),
-        F.col(label_col).cast("string").alias("class_label"),
-        as_double(vec_col).alias("vec"),
-        l2_norm(vec_col).alias("norm"),
-    ))).alias("classes"))
-    return packed.scalar()
-
-
 def _kept(classes: DataFrame) -> DataFrame:
     """Keep the class side after its first computation.
 
@@ -74,255 +69,249 @@ def _kept(classes: DataFrame) -> DataFrame:
 
 def class_blocks(classes: DataFrame, idx_col: str, vec_col: str,
                  max_cells: int | None = None) -> list[DataFrame]:
-    """Split the class side into index ranges of at most ``max_cells`` cells each.
+    """Split the class side, without NULL indexes, into index ranges of at most ``max_cells`` cells each.
 
-    One small aggregate (count, index range, dimension) decides the split.
+    One small aggregate (count, dimension) decides; if there is more than one
+    block, the sorted indexes alone are streamed to find the edges.
     """
     max_cells = max_cells or MAX_CLASS_CELLS
-    st = classes.agg(F.count(F.lit(1)).alias("n"), F.min(idx_col).alias("lo"), F.max(idx_col).alias("hi"),
-                     F.max(F.size(vec_col)).alias("d")).first()
-    if not st["n"]:
-        return [classes]
+    classes = classes.where(F.col(idx_col).isNotNull())
+    st = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     per_block = max(1, max_cells // max(int(st["d"] or 1), 1))
     if st["n"] <= per_block:
         return [classes]
-    lo, hi = int(st["lo"]), int(st["hi"])
-    return [classes.where((F.col(idx_col) >= b) & (F.col(idx_col) < b + per_block))
-            for b in range(lo, hi + 1, per_block)]
-
-
-def _scored(vec: Column, norm: Column, packed: Column) -> Column:
-    return F.transform(packed, lambda k: F.struct(
-        cosine(vec, k["vec"], norm, k["norm"]).alias("sim"),
-        k["class_idx"].alias("class_idx"),
-        k["class_label"].alias("class_label"),
-    ))
-
-
-def _best_in(items: DataFrame, vec_col: str, packed: Column) -> DataFrame:
-    best = best_of(_scored(F.col("_v"), F.col("_n"), F.col("_cls")))
-    return (items.withColumn("_cls", packed)
-                 .withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
-                 .withColumn("_best", best).drop("_cls", "_v"))
-
-
-def _finish_nearest(df: DataFrame) -> DataFrame:
-    return (df.withColumn("predicted_idx", F.col("_best.class_idx"))
-              .withColumn("predicted_label", F.col("_best.class_label"))
-              .withColumn("sim", F.col("_best.sim"))
-              .withColumn("zero_norm", F.coalesce(F.col("_n") == 0, F.lit(True)))
-              .drop("_n", "_best"))
-
-
-def _merge_best(parts: list[DataFrame]) -> DataFrame:
-    """Per-item winner over per-block winners (NULL similarity never wins; lowest index on ties)."""
-    u = reduce(lambda a, b: a.unionByName(b), [p.select("_row", "_n", "_best") for p in parts])
-    rank = F.struct(F.col("_best.sim").isNotNull().alias("has"), F.col("_best.sim").alias("sim"),
-                    (-F.col("_best.class_idx")).alias("neg"), F.col("_best").alias("best"))
-    return u.groupBy("_row").agg(F.first("_n").alias("_n"), F.max(rank)["best"].alias("_best"))
+    edges = [r[0] for k, r in enumerate(classes.select(idx_col).orderBy(idx_col).toLocalIterator()) if k % per_block == 0]
+    edges = sorted(set(edges))
+    return [classes.where((F.col(idx_col) >= a) & ((F.col(idx_col) < b) if b is not None else F.lit(True)))
+            for a, b in zip(edges, [*edges[1:], None], strict=True)]
+
+
+# ---- inside the tasks --------------------------------------------------------------------
+
+def unit_rows(col: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Which vectors have a direction; and, per length, their places and unit vectors."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.asarray(pc.fill_null(col.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False))
+    start = np.cumsum(size) - size
+    ok, by_length = np.zeros(n, bool), {}
+    for d in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == d)
+        x = flat.reshape(n, d) if len(at) == n else flat[start[at][:, None] + np.arange(d)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        ok[at[good]] = True
+        by_length[int(d)] = at[good], x[good] / norm[good][:, None]
+    return ok, by_length
+
+
+class ClassBlock:
+    """A block of classes in index order, with unit vectors in tiles per length."""
+
+    def __init__(self, idx: list, labels: list, vecs: list):
+        self.idx, self.labels = idx, labels
+        _, by_length = unit_rows(pa.array(vecs, pa.list_(pa.float64())))
+        self.tiles: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for d, (at, unit) in by_length.items():
+            step = max(1, TILE_CELLS // d)
+            self.tiles[d] = [(at[k:k + step], unit[k:k + step]) for k in range(0, len(at), step)]
+
+    def products(self, by_length: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item places, class places, similarities) for slices of the items against every tile, classes in order."""
+        for d, (at, x) in by_length.items():
+            for who, unit in self.tiles.get(d, []):
+                step = max(1, PRODUCT_CELLS // len(who))
+                for k in range(0, len(at), step):
+                    yield at[k:k + step], who, x[k:k + step] @ unit.T
+
+
+class State:
+    """Best class, its similarity and the softmax sum relative to it, per item of a batch."""
+
+    def __init__(self, n: int, scale: float, before: pa.Array | None = None):
+        self.scale, self.kept = scale, before
+        self.best = np.full(n, -1)  # place in this block; -1: none better than before
+        self.sim, self.z = (np.full(n, np.nan), np.zeros(n)) if before is None else (
+            before.field(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in ("sim", "z"))
+
+    def add(self, at: np.ndarray, who: np.ndarray, sims: np.ndarray) -> None:
+        top = sims.max(axis=1)
+        first = (sims >= top[:, None] - TIE).argmax(axis=1)
+        old = self.sim[at]
+        new = np.isnan(old) | (top > old + TIE)
+        # the sum is kept relative to the winner's similarity
+        base = np.where(new, sims[np.arange(len(at)), first], old)
+        with np.errstate(invalid="ignore"):
+            rescaled = np.where(np.isnan(old), 0.0, self.z[at] * np.exp(self.scale * (np.nan_to_num(old) - base)))
+        self.z[at] = rescaled + np.exp(self.scale * (sims - base[:, None])).sum(axis=1)
+        self.sim[at] = base
+        self.best[at[new]] = who[first[new]]
+
+    def result(self, block: ClassBlock, idx_type: pa.DataType, ok: np.ndarray) -> pa.Array:
+        fresh = self.best >= 0
+        place = pa.array(np.where(fresh, self.best, 0), pa.int64())
+        some = len(block.idx) > 0
+        idx = pa.array(block.idx, idx_type).take(place) if some else pa.nulls(len(fresh), idx_type)
+        label = pa.array(block.labels, pa.string()).take(place) if some else pa.nulls(len(fresh), pa.string())
+        if self.kept is not None:
+            idx = pc.if_else(pa.array(fresh), idx, self.kept.field("class_idx").cast(idx_type))
+            label = pc.if_else(pa.array(fresh), label, self.kept.field("class_label").cast(pa.string()))
+        none = pa.array(np.isnan(self.sim))
+        return pa.StructArray.from_arrays(
+            [idx, label, pa.array(self.sim, mask=np.isnan(self.sim)), pc.if_else(none, pa.scalar(None, pa.float64()), pa.array(self.z)), pa.array(ok)],
+            names=["class_idx", "class_label", "sim", "z", "has_vector"])
+
+
+# ---- one pass per block ------------------------------------------------------------------
+
+def _shipped(block: DataFrame, class_idx: str, class_label: str, class_vec: str):
+    """Broadcast variable of one block (bounded by ``class_blocks``)."""
+    rows = block.select(F.col(class_idx).alias("i"), F.col(class_label).cast("string").alias("l"), as_double(class_vec).alias("v")).collect()
+    rows = sorted(rows, key=lambda r: (r["i"], r["l"] or ""))
+    return block.sparkSession.sparkContext.broadcast(ClassBlock([r["i"] for r in rows], [r["l"] for r in rows], [r["v"] for r in rows]))
+
+
+def _scan(vec: Column, state: Column | None, shipped, idx_type: str, scale: float) -> Column:
+    """The running state after one block, a struct column."""
+    arrow_type = pa.int32() if idx_type == "int" else pa.int64() if idx_type == "bigint" else pa.string()
+    schema = f"struct<class_idx:{idx_type},class_label:string,sim:double,z:double,has_vector:boolean>"
+
+    def run(col: pa.Array, before: pa.Array | None) -> pa.Array:
+        block = shipped.value
+        ok, vectors = unit_rows(col)
+        held = State(len(col), scale, before)
+        for at, who, sims in block.products(vectors):
+            held.add(at, who, sims)
+        return held.result(block, arrow_type, ok)
+
+    if state is None:
+        def first(v: pa.Array) -> pa.Array:
+            return run(v, None)
+        return F.arrow_udf(first, schema)(vec)
+
+    def further(v: pa.Array, before: pa.Array) -> pa.Array:
+        return run(v, before)
+    return F.arrow_udf(further, schema)(vec, state)
+
+
+def _best_class(items: DataFrame, vec_col: str, blocks: list[DataFrame], names: tuple[str, str, str], scale: float) -> DataFrame:
+    """``items`` with the struct ``_best``."""
+    idx_type = blocks[0].schema[names[0]].dataType.simpleString()
+    idx_type = idx_type if idx_type in ("int", "bigint", "string") else "bigint"
+    out = items
+    for k, block in enumerate(blocks):
+        shipped = _shipped(block.withColumn(names[0], F.col(names[0]).cast(idx_type)), *names)
+        out = out.withColumn("_best", _scan(F.col(vec_col), F.col("_best") if k else None, shipped, idx_type, scale))
+        if len(blocks) > 1:
+            out = cut_lineage(out)
+            shipped.unpersist()
+    return out
 
 
 def nearest_class(items: DataFrame, vec_col: str, classes: DataFrame,
                   class_idx: str = "class_idx", class_label: str = "class_label",
-                  class_vec: str = "class_vec") -> DataFrame:
-    """Adds ``predicted_idx``, ``predicted_label``, ``sim`` (cosine of the winner).
+                  class_vec: str = "class_vec", logit_scale: float | None = None) -> DataFrame:
+    """Adds ``predicted_idx``, ``predicted_label``, ``sim`` (cosine of the winner) and ``zero_norm``.
 
-    Ties go to the lowest class index; zero vectors get NULL similarity and
-    ``zero_norm = true`` (never silently NaN).
+    ``zero_norm`` is true for an item vector without a direction (zero, NULL, or with a
+    NULL or non-finite component).  With ``logit_scale`` the winner's softmax
+    probability is added as ``prob``.  An empty class side gives NULL predictions.
     """
     classes = _kept(classes)
     blocks = class_blocks(classes, class_idx, class_vec)
-    if len(blocks) == 1:
-        return _finish_nearest(_best_in(items, vec_col, _packed_classes(classes, class_idx, class_label, class_vec)))
-    keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_best_in(keyed, vec_col, _packed_classes(b, class_idx, class_label, class_vec)) for b in blocks]
-    merged = _merge_best(parts)
-    return _finish_nearest(keyed.join(merged, "_row").drop("_row"))
+    out = _best_class(items, vec_col, blocks, (class_idx, class_label, class_vec), logit_scale or 1.0)
+    best = F.col("_best")
+    out = (out.withColumn("predicted_idx", best["class_idx"]).withColumn("predicted_label", best["class_label"])
+              .withColumn("sim", best["sim"]).withColumn("zero_norm", ~best["has_vector"]))
+    if logit_scale is not None:
+        out = out.withColumn("prob", 1 / best["z"])
+    return out.drop("_best")
 
 
-def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
-                  class_idx: str = "class_idx", class_label: str = "class_label",
-                  class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
-    """Long similarity matrix: one row per (item, class)."""
-    classes = _kept(classes)
-    keep = keep or [c for c in items.columns if c != vec_col]
-    v = as_double(vec_col)
+def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
+              logit_scale: float = 100.0, class_idx: str = "class_idx",
+              class_label: str = "class_label", class_vec: str = "class_vec") -> DataFrame:
+    """Classify each item: winner by cosine, its softmax probability, correct flag."""
+    out = nearest_class(items, vec_col, classes, class_idx, class_label, class_vec, logit_scale)
+    correct = F.col("sim").isNotNull() & (F.col(gt_col).cast("string") == F.col("predicted_label"))
+    return out.drop("zero_norm").withColumn("correct", F.coalesce(correct, F.lit(False)))
+
+
+# ---- one row per item and class ----------------------------------------------------------
+
+def _each_class(vec: Column, state: Column | None, shipped, scale: float) -> Column:
+    """Array of (place in the block, sim, prob) of every class of a block; ``prob`` is relative to ``state``."""
+    def run(col: pa.Array, before: pa.Array | None) -> pa.Array:
+        block = shipped.value
+        n, c = len(col), len(block.idx)
+        sims = np.full((n, c), np.nan)
+        for at, who, part in block.products(unit_rows(col)[1]):
+            sims[at[:, None], who[None, :]] = part
+        if before is None:
+            prob = np.full((n, c), np.nan)
+        else:
+            top = before.field("sim").to_numpy(zero_copy_only=False).astype(np.float64)
+            z = before.field("z").to_numpy(zero_copy_only=False).astype(np.float64)
+            prob = np.exp(scale * (sims - top[:, None])) / z[:, None]
+        flat = pa.StructArray.from_arrays(
+            [pa.array(np.tile(np.arange(c, dtype=np.int32), n)), pa.array(sims.ravel(), mask=np.isnan(sims.ravel())),
+             pa.array(prob.ravel(), mask=np.isnan(prob.ravel()))], names=["place", "sim", "prob"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c), flat)
+
+    schema = "array<struct<place:int,sim:double,prob:double>>"
+    if state is None:
+        def alone(v: pa.Array) -> pa.Array:
+            return run(v, None)
+        return F.arrow_udf(alone, schema)(vec)
+
+    def relative(v: pa.Array, before: pa.Array) -> pa.Array:
+        return run(v, before)
+    return F.arrow_udf(relative, schema)(vec, state)
+
+
+def _long(items: DataFrame, vec_col: str, blocks: list[DataFrame], names: tuple[str, str, str], keep: list[str],
+          state: str | None, scale: float) -> DataFrame:
     parts = []
-    for block in class_blocks(classes, class_idx, class_vec):
-        packed = _packed_classes(block, class_idx, class_label, class_vec)
-        parts.append(items.withColumn("_cls", packed)
-                     .select(*keep, F.explode(_scored(v, l2_norm(v), F.col("_cls"))).alias("_s"))
-                     .select(*keep, "_s.class_idx", "_s.class_label", "_s.sim"))
+    for block in blocks:
+        shipped = _shipped(block, *names)
+        listed = F.array(*[F.struct(F.lit(i).alias("class_idx"), F.lit(label).alias("class_label"))
+                           for i, label in zip(shipped.value.idx, shipped.value.labels, strict=True)])
+        if not shipped.value.idx:
+            listed = F.lit(None).cast("array<struct<class_idx:int,class_label:string>>")
+        each = items.select(*keep, F.explode(_each_class(F.col(vec_col), F.col(state) if state else None, shipped, scale)).alias("_s"))
+        parts.append(each.withColumn("_c", F.element_at(listed, F.col("_s.place") + 1))
+                     .select(*keep, "_c.class_idx", "_c.class_label", "_s.sim", "_s.prob"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _logit_stats(s: Column, logit_scale: float) -> tuple[Column, Column]:
-    """(max logit, sum exp(logit - max)) of an array of scored classes."""
-    logits = F.transform(s, lambda e: e["sim"] * F.lit(logit_scale))
-    top = F.array_max(logits)
-    z = F.aggregate(logits, F.lit(0.0).cast("double"), lambda acc, l: acc + F.exp(l - top))
-    return top, z
+# Classes x dimension of one block where every class gives a row: at most some hundreds of classes meet a batch of items.
+LONG_CELLS = 32_768
 
 
-def _block_partials(items: DataFrame, vec_col: str, packed: Column, logit_scale: float) -> DataFrame:
-    """Per item and block: winner, max logit, partial softmax denominator."""
-    def summarise(s: Column) -> Column:
-        top, z = _logit_stats(s, logit_scale)
-        return F.struct(best_of(s).alias("best"), top.alias("top"), z.alias("z"))
-    scored = _scored(F.col("_v"), F.col("_n"), F.col("_cls"))
-    return (items.withColumn("_cls", packed).withColumn("_v", as_double(vec_col)).withColumn("_n", l2_norm("_v"))
-                 .withColumn("_p", let(scored, summarise)).drop("_cls", "_v"))
-
-
-def _merge_partials(parts: list[DataFrame]) -> DataFrame:
-    """Exact merge of per-block partials: best overall, global max, rescaled denominator."""
-    u = reduce(lambda a, b: a.unionByName(b), [p.select("_row", "_n", "_p") for p in parts])
-    rank = F.struct(F.col("_p.best.sim").isNotNull().alias("has"), F.col("_p.best.sim").alias("sim"),
-                    (-F.col("_p.best.class_idx")).alias("neg"), F.col("_p.best").alias("best"))
-    g = u.groupBy("_row").agg(F.first("_n").alias("_n"), F.max(rank)["best"].alias("best"),
-                              F.max("_p.top").alias("top"),
-                              F.collect_list(F.struct(F.col("_p.top").alias("t"), F.col("_p.z").alias("z"))).alias("_tz"))
-    z = F.aggregate("_tz", F.lit(0.0).cast("double"), lambda acc, e: acc + e["z"] * F.exp(e["t"] - F.col("top")))
-    return g.select("_row", "_n", F.struct("best", "top", z.alias("z")).alias("_p"))
+def cosine_matrix(items: DataFrame, vec_col: str, classes: DataFrame,
+                  class_idx: str = "class_idx", class_label: str = "class_label",
+                  class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
+    """Long similarity matrix: one row per (item, class), ``sim`` NULL where there is none."""
+    classes = _kept(classes)
+    keep = keep or [c for c in items.columns if c != vec_col]
+    blocks = class_blocks(classes, class_idx, class_vec, min(MAX_CLASS_CELLS, LONG_CELLS))
+    return _long(items, vec_col, blocks, (class_idx, class_label, class_vec), keep, None, 1.0).drop("prob")
 
 
 def class_softmax(items: DataFrame, vec_col: str, classes: DataFrame, logit_scale: float = 100.0,
                   class_idx: str = "class_idx", class_label: str = "class_label",
                   class_vec: str = "class_vec", keep: list[str] | None = None) -> DataFrame:
-    """Softmax over scaled cosine logits per item, computed inside the row.
+    """Softmax over scaled cosine logits, one row per item and class.
 
-    ``exp(l - max l) / sum exp(l - max l)``: no window, no shuffle (one
-    block); with several class blocks the max and the denominator are merged
-    exactly per item first.
+    The winner and the sum come from the running state of ``nearest_class``; a second step
+    gives every class its share.  Classes without a similarity are in neither: ``prob`` NULL.
     """
     classes = _kept(classes)
     keep = keep or [c for c in items.columns if c != vec_col]
-    blocks = class_blocks(classes, class_idx, class_vec)
-    v = as_double(vec_col)
-
-    def emit(df: DataFrame, packed: Column, top: Column | None, z: Column | None) -> DataFrame:
-        scored = _scored(v, l2_norm(v), F.col("_cls"))
-
-        def probs(s: Column) -> Column:
-            t, zz = _logit_stats(s, logit_scale) if top is None else (top, z)
-            return F.transform(s, lambda e: F.struct(
-                e["class_idx"].alias("class_idx"), e["class_label"].alias("class_label"), e["sim"].alias("sim"),
-                (F.exp(e["sim"] * F.lit(logit_scale) - t) / zz).alias("prob")))
-        return (df.withColumn("_cls", packed).select(*keep, F.explode(let(scored, probs)).alias("_p"))
-                  .select(*keep, "_p.class_idx", "_p.class_label", "_p.sim", "_p.prob"))
-
-    if len(blocks) == 1:
-        return emit(items, _packed_classes(classes, class_idx, class_label, class_vec), None, None)
-    keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
-    packs = [_packed_classes(b, class_idx, class_label, class_vec) for b in blocks]
-    stats = _merge_partials([_block_partials(keyed, vec_col, p, logit_scale) for p in packs])
-    with_stats = keyed.join(stats.select("_row", F.col("_p.top").alias("_top"), F.col("_p.z").alias("_z")), "_row")
-    keep = keep + ["_top", "_z"]
-    out = reduce(lambda a, b: a.unionByName(b),
-                 [emit(with_stats, p, F.col("_top"), F.col("_z")) for p in packs])
-    return out.drop("_top", "_z")
-
-
-def zero_shot(items: DataFrame, vec_col: str, gt_col: str, classes: DataFrame,
-              logit_scale: float = 100.0, class_idx: str = "class_idx",
-              class_label: str = "class_label", class_vec: str = "class_vec") -> DataFrame:
-    """Classify each item: winner by cosine, its softmax probability, correct flag."""
-    classes = _kept(classes)
-    blocks = class_blocks(classes, class_idx, class_vec)
-    packs = [_packed_classes(b, class_idx, class_label, class_vec) for b in blocks]
-    if len(blocks) == 1:
-        out = _block_partials(items, vec_col, packs[0], logit_scale)
-    else:
-        keyed = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
-        merged = _merge_partials([_block_partials(keyed, vec_col, p, logit_scale) for p in packs])
-        out = keyed.join(merged, "_row").drop("_row")
-    best = F.col("_p.best")
-    return (out.withColumn("predicted_idx", best["class_idx"])
-               .withColumn("predicted_label", best["class_label"])
-               .withColumn("sim", best["sim"])
-               .withColumn("prob", F.exp(best["sim"] * F.lit(logit_scale) - F.col("_p.top")) / F.col("_p.z"))
-               .withColumn("correct", F.coalesce(F.col(gt_col).cast("string") == best["class_label"], F.lit(False)))
-               .drop("_n", "_p"))
-
-
-# Above this many class cells (classes x dimension) the per-row expression is
-# replaced by a vectorised NumPy product over Arrow batches.
-ARROW_CELLS = 50_000
-
-
-def nearest_class_arrow(items: DataFrame, vec_col: str, classes: DataFrame,
-                        class_idx: str = "class_idx", class_label: str = "class_label",
-                        class_vec: str = "class_vec", logit_scale: float | None = None) -> DataFrame:
-    """Same result as :func:`nearest_class`, computed as a matrix product per Arrow batch.
-
-    The class side (bounded by ``MAX_CLASS_CELLS``, checked) is shipped to the
-    Python workers once as a broadcast variable; every task multiplies its
-    batch of item vectors with it (BLAS), takes the row-wise arg-max (first
-    index wins ties) and never materialises item x class rows.  With
-    ``logit_scale`` the winner's softmax probability is added as ``prob``.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
-
-    classes = _kept(classes)
-    if len(class_blocks(classes, class_idx, class_vec)) > 1:
-        return nearest_class(items, vec_col, classes, class_idx, class_label, class_vec)
-    rows = classes.select(F.col(class_idx).cast("int").alias("i"), F.col(class_label).cast("string").alias("l"),
-                          as_double(class_vec).alias("v")).orderBy("i").collect()
-    if not rows:
-        raise ValueError("empty class domain")
-    mat = np.asarray([r["v"] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(mat, axis=1)
-    unit = np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
-    bc = items.sparkSession.sparkContext.broadcast(
-        (unit, norms > 0, [r["i"] for r in rows], [r["l"] for r in rows]))
-
-    schema = StructType(list(items.schema.fields) + [
-        StructField("predicted_idx", IntegerType()), StructField("predicted_label", StringType()),
-        StructField("sim", DoubleType()), StructField("zero_norm", BooleanType())]
-        + ([StructField("prob", DoubleType())] if logit_scale is not None else []))
-
-    def score(batches):
-        cu, cok, idx, lab = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            vecs = pdf[vec_col]
-            dim = cu.shape[1]
-            x = np.zeros((len(pdf), dim), dtype=np.float64)
-            ok = np.zeros(len(pdf), dtype=bool)
-            for r, v in enumerate(vecs):
-                if v is not None and len(v) == dim:
-                    x[r] = np.asarray(v, dtype=np.float64)
-                    ok[r] = True
-            xn = np.linalg.norm(x, axis=1)
-            sims = (x @ cu.T) / np.where(xn > 0, xn, 1.0)[:, None]
-            sims[:, ~cok] = -np.inf                  # zero-norm classes are never chosen
-            best = np.argmax(sims, axis=1)
-            zero = ~ok | (xn == 0)
-            best[zero] = 0
-            out = pdf.copy()
-            out["predicted_idx"] = np.asarray(idx, dtype=np.int32)[best]
-            out["predicted_label"] = [lab[b] for b in best]
-            out["sim"] = np.where(zero, np.nan, sims[np.arange(len(pdf)), best])
-            out["sim"] = out["sim"].astype("float64").where(~zero, None)
-            out["zero_norm"] = zero
-            if logit_scale is not None:
-                logits = np.where(np.isfinite(sims), sims * logit_scale, -np.inf)
-                top = logits.max(axis=1, keepdims=True)
-                z = np.exp(logits - top).sum(axis=1)
-                p = np.exp(logits[np.arange(len(pdf)), best] - top[:, 0]) / z
-                out["prob"] = pd.Series(p, index=pdf.index).where(~zero, None)
-            yield out
-
-    return items.mapInPandas(score, schema)
-
-
-def nearest_class_auto(items: DataFrame, vec_col: str, classes: DataFrame, **kw) -> DataFrame:
-    """Expression route for small class sides, Arrow/NumPy route above ``ARROW_CELLS``."""
-    classes = _kept(classes)
-    c = kw.get("class_vec", "class_vec")
-    st = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(c)).alias("d")).first()
-    cells = (st["n"] or 0) * (st["d"] or 0)
-    return (nearest_class_arrow if cells > ARROW_CELLS else nearest_class)(items, vec_col, classes, **kw)
+    names = (class_idx, class_label, class_vec)
+    stats = _best_class(items, vec_col, class_blocks(classes, class_idx, class_vec), names, logit_scale)
+    blocks = class_blocks(classes, class_idx, class_vec, min(MAX_CLASS_CELLS, LONG_CELLS))
+    return _long(stats, vec_col, blocks, names, keep, "_best", logit_scale)

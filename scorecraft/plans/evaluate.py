@@ -187,13 +187,6 @@ def classify_features(annotations: DataFrame, features: DataFrame, classes: Data
     if n >= 0:
         ann = ann.orderBy("file").limit(n)
     items = ann.join(features.select("file", "features"), "file")
-    from scorecraft.operators import nearest as N
-    classes = N._kept(classes)
-    st = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("class_vec")).alias("d")).first()
-    if (st["n"] or 0) * (st["d"] or 0) > N.ARROW_CELLS:
-        # Large class sides: one NumPy product per Arrow batch instead of per-row expressions.
-        out = N.nearest_class_arrow(items, "features", classes, logit_scale=logit_scale)
-        return out.withColumn("correct", F.coalesce(F.col("gt") == F.col("predicted_label"), F.lit(False)))
     return zero_shot(items, "features", "gt", classes, logit_scale)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scorecraft.functions.vectors import l2_norm
 from scorecraft.operators import metrics as M
 from scorecraft.operators import nearest as N
+from scorecraft.plans.evaluate import classify_features
 from scorecraft.plans.registry import register, table
 from scorecraft.sources.sinks import feature_file_name
 
@@ -127,6 +128,26 @@ def zero_shot(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", "label", "predicted_idx", F.round("prob", 6).alias("prob"), "correct")
 
 
+@register("classify_features", "VEC8 JN1 VEC5 VEC7", sql=f"""
+WITH {_SIMS_SQL},
+m AS (SELECT vec_id, max(sim) AS top FROM sims GROUP BY vec_id),
+z AS (SELECT s.vec_id, sum(exp({LOGIT_SCALE} * s.sim - {LOGIT_SCALE} * m.top)) AS z FROM sims s JOIN m USING (vec_id)
+      GROUP BY s.vec_id)
+SELECT 'images/emb_' || CAST(vec_id AS VARCHAR) || '.jpg' AS file, 'class ' || CAST(b.label AS VARCHAR) AS gt,
+       'class ' || CAST(b.class_idx AS VARCHAR) AS predicted_label, round(b.sim, 6) AS sim, round(1 / z.z, 6) AS prob,
+       b.class_idx = b.label AS correct
+FROM best b JOIN z USING (vec_id)""")
+def classify_features_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations joined to the feature table on the file key, then the direct zero-shot route."""
+    file = F.concat(F.lit("images/emb_"), F.col("vec_id").cast("string"), F.lit(".jpg"))
+    emb = _emb(spark, sf)
+    annotations = emb.select(file.alias("file"), F.concat(F.lit("Class_"), F.col("label").cast("string")).alias("style"))
+    features = emb.select(file.alias("file"), F.col("embedding").alias("features"))
+    classes = _classes(emb).withColumn("class_label", F.concat(F.lit("class "), "class_label"))
+    out = classify_features(annotations, features, classes, "style", LOGIT_SCALE)
+    return out.select("file", "gt", "predicted_label", F.round("sim", 6).alias("sim"), F.round("prob", 6).alias("prob"), "correct")
+
+
 @register("feature_table", "SNK4", sql="""
 SELECT 'images/emb_' || CAST(vec_id AS VARCHAR) || '.jpg' AS file, 'emb_' || CAST(vec_id AS VARCHAR) || '.pt' AS feature_file,
        CAST(len(embedding) AS INTEGER) AS dim,

@@ -86,7 +86,7 @@ def test_image_requests_join_annotations_to_bytes(spark):
     assert req["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/jpeg;base64,")
 
 
-def test_classify_features_arrow_route(spark, monkeypatch):
+def test_classify_features_is_alike_at_every_block_size(spark, monkeypatch):
     from scorecraft.operators import nearest as N
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     file = F.concat(F.lit("img/"), F.col("vec_id").cast("string"), F.lit(".jpg"))
@@ -94,9 +94,9 @@ def test_classify_features_arrow_route(spark, monkeypatch):
     ann = emb.select(file.alias("file"), F.col("label").cast("string").alias("label"))
     classes = class_centroids(emb, "label", "embedding").select(
         F.col("label").alias("class_idx"), F.col("label").cast("string").alias("class_label"), "class_vec")
-    a = {r["file"]: (r["predicted_idx"], r["correct"], round(r["prob"], 9))
-         for r in classify_features(ann, feats, classes, "label").collect()}
-    monkeypatch.setattr(N, "ARROW_CELLS", 10)
-    b = {r["file"]: (r["predicted_idx"], r["correct"], round(r["prob"], 9))
-         for r in classify_features(ann, feats, classes, "label").collect()}
-    assert a == b
+    one = classify_features(ann, feats, classes, "label")
+    a = {r["file"]: (r["predicted_idx"], r["correct"], round(r["prob"], 9)) for r in one.collect()}
+    monkeypatch.setattr(N, "MAX_CLASS_CELLS", 64 * 3)
+    many = classify_features(ann, feats, classes, "label")
+    assert many.schema == one.schema
+    assert a == {r["file"]: (r["predicted_idx"], r["correct"], round(r["prob"], 9)) for r in many.collect()}
