@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.operators.rules import canonical_attribute, canonical_model
+from scorecraft.sources.records import parse_records, read_records
 
 ANNOTATION_SCHEMA = "art_style string, author string, title string, year int, link string, file string"
 PREDICTION_SCHEMA = "row_idx bigint, images string, gt string, preds string"
+# A row without one of these cannot be scored; it is a reject.
+PREDICTION_KEYS, ANNOTATION_KEYS = ("row_idx", "images"), ("file",)
 PROCESSED_SCHEMA = ("row_idx0 bigint, row_idx bigint, images string, gt string, preds string, "
                     "predicted_class string")
 MANIFEST_SCHEMA = (
@@ -23,11 +26,30 @@ MANIFEST_SCHEMA = (
     "random_seed bigint, lr double, lr_scheduler_gamma double, results_dir string, "
     "year_precision bigint, image_folder_path string, annotation_file string, features_dir string")
 
+
+# Only for streams, which read small files as they land; a file is one task there.
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
+def read_rows(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of quoted CSV files with a header, each file read by many tasks.
+
+    Rows have ``source_file`` and ``pos`` (the row's number in its file, from 0) beside the columns
+    of ``schema``.  Rejects (source_file, pos, record) are records that do not fit the schema, and rows
+    without one of the ``keys``; their ``record`` is the text, or the values joined by commas.
+    """
+    parsed = parse_records(read_records(spark, path), schema)
+    fields = [f for f in parsed.columns if f not in ("source_file", "pos", "_bad")]
+    good = F.col("_bad").isNull()
+    for k in keys:
+        good = good & F.col(k).isNotNull()
+    text = F.coalesce("_bad", F.array_join(F.array(*[F.col(f).cast("string") for f in fields]), ",", ""))
+    return parsed.where(good).drop("_bad"), parsed.where(~good).select("source_file", "pos", text.alias("record"))
+
+
 def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION_SCHEMA) -> DataFrame:
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+    """Annotation rows, with their place in the file as ``pos``; ``rejected_rows`` gives what does not fit."""
+    return read_rows(spark, path, schema, ANNOTATION_KEYS)[0].drop("source_file")
 
 
 def _folder(path_col: Column) -> Column:
@@ -58,20 +80,24 @@ def run_identity(folder: ColumnOrStr) -> dict[str, Column]:
 ColumnOrStr = Column | str
 
 
-def with_run(df: DataFrame) -> DataFrame:
-    ident = run_identity(_folder(F.col("_metadata.file_path")))
+def with_run(df: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
+    ident = run_identity(_folder(F.col(path)))
     return df.select("*", *[v.alias(k) for k, v in ident.items()])
 
 
 def read_predictions(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Raw prediction files (multi-line quoted answers) with run columns."""
-    df = spark.read.options(**_CSV).schema(PREDICTION_SCHEMA).csv(path_glob)
-    return with_run(df)
+    """Raw prediction files (multi-line quoted answers) with run columns and ``pos``."""
+    return with_run(read_rows(spark, path_glob, PREDICTION_SCHEMA, PREDICTION_KEYS)[0], "source_file").drop("source_file")
 
 
 def read_processed(spark: SparkSession, path_glob: str) -> DataFrame:
-    df = spark.read.options(**_CSV).schema(PROCESSED_SCHEMA).csv(path_glob)
-    return with_run(df).drop("row_idx0")
+    rows = read_rows(spark, path_glob, PROCESSED_SCHEMA, PREDICTION_KEYS)[0]
+    return with_run(rows, "source_file").drop("row_idx0", "source_file")
+
+
+def rejected_rows(spark: SparkSession, path_glob: str, schema: str = PREDICTION_SCHEMA, keys: tuple[str, ...] = PREDICTION_KEYS) -> DataFrame:
+    """Records of the files that the readers leave out: run columns, source_file, pos, record."""
+    return with_run(read_rows(spark, path_glob, schema, keys)[1], "source_file")
 
 
 def read_manifests(spark: SparkSession, path_glob: str) -> DataFrame:
