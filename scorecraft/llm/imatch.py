@@ -26,7 +26,10 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BAND = (0.1, 0.9)
 #: (number of subsets, one in how many terms).  The first is the whole lexicon.
 RATES = ((1, 1), (6, 2), (6, 8), (6, 32), (6, 128))
-MAX_LEXICON = 500_000
+# A lexicon of up to so many terms is broadcast, as pairs of numbers (about 32 bytes each, so 64 MB).
+MAX_LEXICON = 2_000_000
+# So many of the terms below the band are taken out of a text before its terms are looked up; the look-up would drop them too.
+EVERYDAY = 1_000
 # From so many equal rows (doc_id and text) on, a group is collapsed before the texts are shuffled.
 HOT_ROWS = 10_000
 
@@ -40,25 +43,30 @@ def subset_rates(rates: tuple = RATES) -> list[int]:
     return [rate for n, rate in rates for _ in range(n)]
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple = RATES) -> DataFrame:
-    """(term, subsets): terms within the band, and the subsets (63 at most) that hold each, as bits of a number.
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df, known): documents that hold each term, and its inverse document frequency from 0 (all) to 1 (one)."""
+    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # explode_outer: for explode the optimizer would work out the terms once more in a filter
+    df = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = total.scalar()
+    return df.where("term IS NOT NULL").withColumn("known", F.when(n > 1, F.log(n / F.col("df")) / F.log(n)).otherwise(F.lit(0.0)))
+
+
+def lexicon(frequencies: DataFrame, band: tuple[float, float] = BAND, rates: tuple = RATES) -> DataFrame:
+    """(code, subsets): terms within the band by their 64-bit hash, and the subsets (63 at most) that hold each, as bits of a number.
 
     Subset k holds one in ``rate`` terms: those whose md5 of ``k|term``, read as a number from its first 8 hex digits, is divisible by the rate.
     """
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = total.scalar()
-    known = F.when(n > 1, F.log(n / F.col("df")) / F.log(n)).otherwise(F.lit(0.0))
-    kept = df.where((known >= band[0]) & (known <= band[1]))
+    kept = frequencies.where((F.col("known") >= band[0]) & (F.col("known") <= band[1]))
     mask = F.lit(0).cast("long")
     for k, rate in enumerate(subset_rates(rates)):
         drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}|"), F.col("term"))), 1, 8), 16, 10).cast("long") % rate == 0
         mask = mask.bitwiseOR(F.when(F.lit(rate == 1) | drawn, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return kept.select("term", mask.alias("subsets"))
+    return kept.select(F.xxhash64("term").alias("code"), mask.alias("subsets"))
 
 
 def _hashes(held: Column, bare: Column, n_subsets: int) -> Column:
-    """One hash per subset of the sorted (term, subsets) in ``held``; empty where a subset holds none of them.
+    """One hash per subset of the sorted (term, subsets, in) in ``held``; empty where a subset holds none of them.
 
     A document without a term of the lexicon takes ``bare``, the hash of all its terms, for every subset.
     """
@@ -128,7 +136,9 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     a single row is followed by itself.  Repeated rows stay, an empty table gives no rows, other columns are not read.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    listed, _ = bounded_broadcast(stored(lexicon(whole, band, rates), "imatch-lexicon"), max_lexicon)
+    frequencies = stored(term_frequencies(whole), "imatch-terms")
+    listed, _ = bounded_broadcast(stored(lexicon(frequencies, band, rates), "imatch-lexicon"), max_lexicon)
+    below = frequencies.where(F.col("known") < band[0]).orderBy(F.desc("df"), "term").limit(EVERYDAY).agg(F.collect_list("term").alias("t")).scalar()
     n_subsets = len(subset_rates(rates))
 
     order = Window.partitionBy("bucket").orderBy("tail", F.asc_nulls_first("doc_id"), "h")
@@ -137,27 +147,35 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     turns = F.when((F.col("m") > 1) & ~F.col("tail"), F.array(F.struct(F.lit(0).alias("turn"), (F.col("m") - 1).alias("times"), F.col("text").alias("next")),
                                                             F.struct(F.lit(1).alias("turn"), F.lit(1).cast("long").alias("times"), F.col("next").alias("next"))))
     one = F.array(F.struct(F.lit(1).alias("turn"), F.lit(1).cast("long").alias("times"), F.col("next").alias("next")))
-    rows = rows.withColumn("t", F.explode(F.coalesce(turns, one))).select("bucket", "place", "tail", "doc_id", "text", "t.*")
+    rows = rows.withColumn("t", F.explode_outer(F.coalesce(turns, one))).select("bucket", "place", "tail", "doc_id", "text", "t.*")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
     rows = rows.select("bucket", "place", "turn", "times", "tail", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        terms(F.col("text")).alias("own"), F.when(~F.col("tail"), terms(F.col("edited"))).otherwise(F.array().cast("array<string>")).alias("new"))
     bare = lambda c: F.substring(F.md5(F.array_join(F.sort_array(c), " ")), 1, 8)
-    both = F.concat(F.transform(F.array_intersect("own", "new"), lambda t: F.struct(t.alias("term"), F.lit(3).alias("in"))),
-                    F.transform(F.array_except("own", "new"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("in"))),
-                    F.transform(F.array_except("new", "own"), lambda t: F.struct(t.alias("term"), F.lit(2).alias("in"))))
-    # hashed in a step of its own: beside the explode it would be worked out for every term
-    carried = ["bucket", "place", "turn", "times", "tail", "doc_id", "n_chars", "edited_sha256", "own_bare", "new_bare"]
-    each = (rows.select(*carried[:-2], bare("own").alias("own_bare"), bare("new").alias("new_bare"), both.alias("both"))
-            .select(*carried, F.explode_outer("both").alias("b")).select(*carried, "b.term", "b.in"))
-    held = F.struct("term", "subsets")
-    known = F.col("subsets").isNotNull()
-    kept = each.join(listed, "term", "left").groupBy("bucket", "place", "turn").agg(
-        *[F.first(c).alias(c) for c in carried[3:]],
-        F.sort_array(F.collect_list(F.when(known & F.col("in").isin(1, 3), held))).alias("own"),
-        F.sort_array(F.collect_list(F.when(known & F.col("in").isin(2, 3), held))).alias("new"))
-    made = kept.select("bucket", "place", "turn", "times", "tail", "doc_id", "n_chars", "edited_sha256",
+    rest = lambda c: F.array_except(c, F.coalesce(below, F.array().cast("array<string>")))
+    key = ["bucket", "place", "turn"]
+    # all else a text's row says, in one string: it goes along as the entry of a term, marked 0
+    said = ("times", "tail", "doc_id", "n_chars", "edited_sha256", "own_bare", "new_bare")
+    rows = rows.withColumn("own_bare", bare("own")).withColumn("new_bare", bare("new")).select(
+        *key, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in said]).alias("said"), rest("own").alias("own"), rest("new").alias("new"))
+    # 1 marks a term of the own text, 2 of the edited one, 3 of both
+    entry = lambda t, where: F.struct(t.alias("term"), F.lit(where).alias("in"))
+    both = F.concat(F.array(entry(F.col("said"), 0)), F.transform(F.array_intersect("own", "new"), lambda t: entry(t, 3)),
+                    F.transform(F.array_except("own", "new"), lambda t: entry(t, 1)),
+                    F.transform(F.array_except("new", "own"), lambda t: entry(t, 2)))
+    # worked out in a step of its own: beside the explode it would be for every term; for a plain explode also once more in a filter
+    each = rows.select(*key, both.alias("both")).select(*key, F.explode_outer("both").alias("b")).select(
+        *key, "b.term", "b.in", F.when(F.col("b.in") > 0, F.xxhash64("b.term")).alias("code"))
+    kept = each.join(listed, "code", "left").groupBy(*key).agg(
+        F.split(F.max(F.when(F.col("in") == 0, F.col("term"))), r"\|").alias("s"),
+        F.sort_array(F.collect_list(F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets", "in")))).alias("held"))
+    types = {"times": "long", "tail": "boolean", "n_chars": "long"}
+    kept = kept.select(*key, *[(F.nullif(F.col("s")[i], F.lit("")).cast("long") if c == "doc_id" else F.col("s")[i].cast(types.get(c, "string"))).alias(c)
+                               for i, c in enumerate(said)],
+                       F.filter("held", lambda t: t["in"] != 2).alias("own"), F.filter("held", lambda t: t["in"] != 1).alias("new"))
+    made = kept.select(*key, "times", "tail", "doc_id", "n_chars", "edited_sha256",
                        _hashes(F.col("own"), F.col("own_bare"), n_subsets).alias("own"), _hashes(F.col("new"), F.col("new_bare"), n_subsets).alias("new"))
     follow = Window.partitionBy("bucket").orderBy("place", "turn")
     out = made.withColumn("after", F.when(F.col("turn") == 0, F.col("own")).otherwise(F.lead("own").over(follow))).where(~F.col("tail"))
