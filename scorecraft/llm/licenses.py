@@ -25,15 +25,16 @@ from scorecraft.session import bounded_broadcast
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See the LICENSE file for details."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
+    ("Zlib", "Released under the zlib License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -42,14 +43,9 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("all-rights-reserved", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
-SPDX = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-4.0",
-        "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
-TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX
-                   for end in (("", "-only", "-or-later") if "GPL" in name else ("",))
-                   if (name, f"SPDX-License-Identifier: {name}{end}") not in TEMPLATES)
 #: Licences whose full text is in license_texts, and the notices that their texts tell to put at the start of a file.
 FULL_TEXTS = ("MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "GPL-1.0", "LGPL-3.0", "LGPL-2.1", "LGPL-2.0",
-              "MPL-2.0", "CC0-1.0")
+              "MPL-2.0", "CC0-1.0", "ISC", "Zlib", "Unlicense")
 _GNU = ("{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by "
         "the Free Software Foundation, either version {2} of the License, or (at your option) any later version. {0} is distributed in the "
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
@@ -63,12 +59,17 @@ NOTICES = (
      "License."),
     ("GPL-3.0", _GNU.format("This program", "", "3")), ("GPL-2.0", _GNU.format("This program", "", "2")),
     ("LGPL-3.0", _GNU.format("This library", "Lesser ", "3")), ("LGPL-2.1", _GNU.format("This library", "Lesser ", "2.1")),
+    ("AGPL-3.0", _GNU.format("This program", "Affero ", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
      "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|redistribution|permission is hereby"
 SENTENCE = r"[\r\n]+|(?<=[.!?])[ \t]+"
 TERM = r"[^a-z0-9.+-]+"
+#: An identifier line, its expression (group 1), and a notice that denies what it names.
+IDENTIFIER = (r"(?i)SPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)")
+DENIED = (r"(?i)\b(?:not|never|no longer)\s+(?:[a-z]+\s+){0,2}(?:licen[sc]ed|released|distributed|available|provided|published|covered|redistributed)\s+"
+          r"(?:[a-z]+\s+){0,2}under\b")
 MIN_COSINE, FILE_SHARE = 0.6, 0.2
 #: Least cosine of a block with a text; an opening block has a text's number of terms, and a share and number more.
 BLOCK_COSINE, OPENING = 0.75, (1.05, 8)
@@ -76,7 +77,7 @@ BLOCK_COSINE, OPENING = 0.75, (1.05, 8)
 
 def terms(text: Column) -> Column:
     """Lower-case terms: runs of letters, digits, ``.``, ``+`` and ``-``, without dots or dashes at the ends."""
-    bare = F.transform(F.split(F.lower(text), TERM), lambda t: F.regexp_replace(t, r"^[.+-]+|[.+-]+$", ""))
+    bare = F.transform(F.split(F.lower(text), TERM), lambda t: F.btrim(t, F.lit(".+-")))
     return F.filter(bare, lambda t: t != "")
 
 
@@ -121,34 +122,43 @@ def _block_templates() -> list[tuple[str, list[str]]]:
     return [(n, [w for w in (t.strip(".+-") for t in re.split(TERM, text.lower())) if w]) for n, text in texts]
 
 
+def _corpus_idf(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
+    """Inverse document frequency over all files of each term of the texts, and that of a term no file has."""
+    spark = files.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
+    # explode_outer: for explode the optimizer would work out the terms once more in a filter
+    seen = files.select(F.explode_outer(F.array_distinct(terms(F.col("text")))).alias("term"))
+    df = {r["term"]: r["df"] for r in seen.join(listed, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # as many as the texts have
+    n = files.count()
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
+
+
 def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
     """(file_id, path, license, score, whole) of files that as a whole, or by their opening block, reach ``least`` with a text.
 
-    Weights are (1 + ln tf) x idf, with document frequencies over the texts alone, so that a term that no text has weighs
-    most and a file's result does not hang on other files.  Pairs of a block and a text are left out before the vectors are
-    made only if the block lacks so many of the text's weightiest terms that it cannot reach ``least``: the squared
-    weights of the terms it has are a bound.  Equal blocks are compared once.
+    Weights are (1 + ln tf) x idf, with document frequencies over all files for the terms of the texts; a term that no text has
+    weighs like one that no file has, so it always counts against a match.  Pairs of a block and a text are left out
+    only if the block lacks so many of the text's weightiest terms that it cannot reach ``least``: the squared
+    weights of the terms it has are a bound.  What is left is a row per file, text, span and term; no texts are stored.
     """
     spark = files.sparkSession
     texts = _block_templates()
-    df = Counter(w for _, words in texts for w in set(words))
-    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
-    rare = math.log(1 + len(texts)) + 1
+    idf, rare = _corpus_idf(files, sorted({w for _, words in texts for w in words}))
     side, tests = [], []
     for i, (_, words) in enumerate(texts):
         raw = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        side += [(i, w, x / norm) for w, x in raw.items()]
         # the weightiest terms, which hold three quarters of the squared weight: all others give what is left at most
         order = sorted(raw, key=lambda w: (-raw[w], w))
         share = [(raw[w] / norm) ** 2 for w in order]
         top = next(k for k in range(1, len(order) + 1) if sum(share[:k]) >= 0.75)
         lacking = least * least - sum(share[top:]) - 1e-6
         need = next(k for k in range(top + 1) if sum(share[:k]) >= lacking)
+        side += [(i, w, idf[w], x / norm) for w, x in raw.items()]
         tests.append((i, int(OPENING[0] * len(words)) + OPENING[1], order[:top], need))
     # bounded by the fixed texts
-    weights = F.broadcast(spark.createDataFrame(side, "template int, term string, _w double"))
-    idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    weights = F.broadcast(spark.createDataFrame(side, "template int, term string, idf double, _w double"))
+    idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, _idf double"))
     names = F.broadcast(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(texts)], "template int, license string"))
     listed = F.split(F.lit(" ".join(sorted({w for _, _, top, _ in tests for w in top}))), " ")
     pairs = []  # span 0: the whole; an opening as long as the file is the whole
@@ -158,26 +168,46 @@ def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
         opening = F.size(F.array_intersect(F.slice("terms", 1, span), some)) >= need
         pairs += [F.when(whole, F.struct(F.lit(i).alias("template"), F.lit(0).alias("span"))),
                   F.when(whole & (F.size("terms") > span) & opening, F.struct(F.lit(i).alias("template"), F.lit(span).alias("span")))]
-    # explode_outer: for explode the optimizer would work out the terms once more in a filter
+    # most files lack even the fewest terms that any text needs
+    some = F.when(F.size("shared") >= min(need for *_, need in tests), F.array_compact(F.array(*pairs)))
     near = (files.where("text IS NOT NULL").select("file_id", "path", terms(F.col("text")).alias("terms"))
             .withColumn("shared", F.array_intersect("terms", listed))
-            .select("file_id", "path", "terms", F.explode_outer(F.array_compact(F.array(*pairs))).alias("pair")).where("pair IS NOT NULL")
+            .select("file_id", "path", "terms", F.explode_outer(some).alias("pair")).where("pair IS NOT NULL")
             .select("file_id", "path", "pair.*", F.when(F.col("pair.span") == 0, F.col("terms")).otherwise(
                 F.slice("terms", F.lit(1), F.greatest("pair.span", F.lit(1)))).alias("terms")))
-    blocks = stored(near.withColumn("block", F.sha2(F.array_join("terms", " "), 256)), "license-blocks")
-    words = (blocks.groupBy("block").agg(F.first("terms").alias("terms")).select("block", F.explode("terms").alias("term"))
-             .groupBy("block", "term").agg(F.count(F.lit(1)).alias("tf")).join(idfs, "term", "left")
-             .select("block", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(rare))).alias("w")))
-    norms = words.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cosine = (words.join(weights, "term").groupBy("block", "template").agg(F.sum(F.col("w") * F.col("_w")).alias("dot"))
-              .join(norms, "block").select("block", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-              .where(F.col("score") >= least))
-    found = blocks.select("file_id", "path", "template", "span", "block").join(cosine, ["block", "template"])
-    return found.join(names, "template").select("file_id", "path", "license", "score", (F.col("span") == 0).alias("whole"))
+    pair = ["file_id", "path", "template", "span"]
+    counted = near.select(*pair, F.explode_outer("terms").alias("term")).groupBy(*pair, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = (1 + F.log("tf")) * F.coalesce("_idf", F.lit(rare))
+    scored = (counted.join(idfs, "term", "left").join(weights.select("template", "term", "_w"), ["template", "term"], "left").withColumn("w", w)
+              .groupBy(*pair).agg(F.round(F.sum(F.col("w") * F.coalesce("_w", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score")))
+    return scored.where(F.col("score") >= least).join(names, "template").select("file_id", "path", "license", "score", (F.col("span") == 0).alias("whole"))
+
+
+def family(name: Column) -> Column:
+    """Licences of one family share most of their wording: the GNU ones, BSD, CC; else the name itself."""
+    first = F.split_part(name, F.lit("-"), F.lit(1))
+    return F.when(first.isin("GPL", "LGPL", "AGPL"), "GNU").when(first.isin("BSD", "CC"), first).otherwise(name)
+
+
+def identifiers(files: DataFrame) -> DataFrame:
+    """(file_id, path, expression, licenses): the SPDX expressions of each file that has one, joined by AND, and the licences they name.
+
+    Names lose a trailing ``+``, ``-only`` or ``-or-later``; exceptions after WITH are in the expression alone.
+    """
+    found = files.where(F.col("text").rlike(IDENTIFIER)).select("file_id", "path", F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(1)), lambda e: F.regexp_replace(e, r"[ \t]+", " "))).alias("all"))
+    bare = F.flatten(F.transform("all", lambda e: F.split(F.regexp_replace(F.regexp_replace(e, r"(?i) WITH [^ )]+", ""), "[()]", ""), "(?i) (?:AND|OR) ")))
+    names = F.transform(bare, lambda x: F.regexp_replace(x, r"(?i)(?:\+|-only|-or-later)$", ""))
+    return found.select("file_id", "path", F.array_join("all", " AND ").alias("expression"), F.array_distinct(names).alias("names"))
 
 
 def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float = MIN_COSINE, share: float = FILE_SHARE) -> DataFrame:
-    """file_id, path, license, score, how, license_dir for every row of ``files`` (file_id, path, text).
+    """file_id, path, license, score, how, license_dir, licenses, expression for every row of ``files`` (file_id, path, text).
+
+    ``licenses`` are all licences that a file itself names, sorted: those of its SPDX expressions (``expression``), the best of the whole file
+    or else of its opening block, and the best of each passage; of a whole file's passages only those of another family, since
+    a full text names its relatives.  ``license`` is one of them: of a file with an expression the first name in it.
+    A passage that denies a licence ("not released under ...") does not count.
 
     ``how`` is ``file`` (a licence file: it matches a text as a whole, or its matched passages hold at least ``share``
     of its words), ``header``, ``inherited`` or NULL.  Of a file's matches those of the whole count before those of
@@ -194,7 +224,7 @@ def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float =
     found = F.when(F.col("text").rlike(ANCHOR), F.col("text"))
     anchored = files.select("file_id", "path", found.alias("text")).where("text IS NOT NULL").select(
         "file_id", "path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"),
-        F.filter(F.split("text", SENTENCE), lambda s: s.rlike(ANCHOR)).alias("all"))
+        F.filter(F.split("text", SENTENCE), lambda s: s.rlike(ANCHOR) & ~s.rlike(IDENTIFIER) & ~s.rlike(DENIED)).alias("all"))
     passages = stored(anchored.select("file_id", "path", "n_words", F.explode("all").alias("passage"))
                       .withColumn("passage", F.trim("passage")), "license-passages")
     known = match_passages(passages, templates, least)
@@ -203,11 +233,25 @@ def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float =
     hits = hits.select("file_id", "path", "license", "score", F.lit(2).alias("by"), held.alias("held"), "n_words").unionByName(
         match_blocks(files).select("file_id", "path", "license", "score", F.when(F.col("whole"), 0).otherwise(1).alias("by")),
         allowMissingColumns=True)
-    own = stored(hits.groupBy("file_id", "path").agg(
+    said = identifiers(files)
+    hits = hits.unionByName(said.select("file_id", "path", F.posexplode("names").alias("place", "license")).select(
+        "file_id", "path", "license", (1 - F.col("place") * 1e-6).alias("score"), F.lit(-1).alias("by"), F.lit(0).cast("int").alias("held"),
+        F.lit(1).cast("int").alias("n_words")))
+    said = said.select("file_id", "path", "expression")
+    grouped = hits.groupBy("file_id", "path").agg(
         F.min(F.struct("by", (-F.col("score")).alias("low"), "license")).alias("b"),
-        (F.sum("held") / F.max("n_words")).alias("covered"))
-        .select("file_id", "path", F.col("b.license").alias("license"), (-F.col("b.low")).alias("score"),
-                ((F.col("b.by") == 0) | F.coalesce(F.col("covered") >= share, F.lit(False))).alias("is_file")), "license-own")
+        F.min(F.when(F.col("by").isin(0, 1), F.struct("by", (-F.col("score")).alias("low"), "license"))).alias("block"),
+        F.collect_set(F.when(F.col("by").isin(-1, 2), F.struct("by", "license"))).alias("named"),  # as many as there are licences
+        (F.sum(F.when(F.col("by") == 2, F.col("held"))) / F.max(F.when(F.col("by") == 2, F.col("n_words")))).alias("covered"))
+    other = F.filter("named", lambda x: (x["by"] == -1) | (F.col("block.by") != 0) | F.col("block").isNull() | (family(x["license"]) != family(F.col("block.license"))))
+    every = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(F.col("block.license")), F.transform(other, lambda x: x["license"])))))
+    # two rows of one file and path share what any of them declares
+    said = said.groupBy("file_id", "path").agg(F.min("expression").alias("expression"))
+    ids = [F.col(f"g.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("file_id", "path")]
+    own = stored(grouped.alias("g").join(said.alias("x"), ids[0] & ids[1], "left").select(
+        F.col("g.file_id").alias("file_id"), F.col("g.path").alias("path"), F.col("b.license").alias("license"),
+        F.when(F.col("b.by") == -1, F.lit(1.0)).otherwise(-F.col("b.low")).alias("score"), every.alias("licenses"), "expression",
+        (F.coalesce(F.col("block.by") == 0, F.lit(False)) | F.coalesce(F.col("covered") >= share, F.lit(False))).alias("is_file")), "license-own")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)  # empty: the root
     dirs = (own.where("is_file AND path IS NOT NULL").withColumn("dir", folder).groupBy("dir").agg(
@@ -221,14 +265,15 @@ def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float =
             .groupBy("dir").agg(F.max(F.struct(F.length("license_dir").alias("depth"), "license_dir", "_license", "_score")).alias("n"))
             .select(F.col("dir").alias("_dir"), "n.license_dir", "n._license", "n._score"))
     near, _ = bounded_broadcast(stored(near, "license-dirs"), 100_000)
-    mine = own.select(F.col("file_id").alias("_id"), F.col("path").alias("_path"), "license", "score", "is_file")
+    mine = own.select(F.col("file_id").alias("_id"), F.col("path").alias("_path"), "license", "score", "licenses", "expression", "is_file")
     rows = files.select("file_id", "path").join(mine, F.col("file_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left")
     rows = rows.withColumn("dir", folder).join(near, F.col("dir") == F.col("_dir"), "left")
     has = F.col("license").isNotNull()
     how = F.when(has & F.col("is_file"), "file").when(has, "header").when(F.col("_license").isNotNull(), "inherited")
     return rows.select("file_id", "path", F.coalesce("license", "_license").alias("license"),
                        F.when(has, F.col("score")).otherwise(F.col("_score")).alias("score"), how.alias("how"),
-                       F.when(~has, F.col("license_dir")).alias("license_dir"))
+                       F.when(~has, F.col("license_dir")).alias("license_dir"),
+                       F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "expression")
 
 
 def files_of(docs: DataFrame) -> DataFrame:
