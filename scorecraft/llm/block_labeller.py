@@ -5,22 +5,27 @@ vector per block - the hashed names on its tag path, its hashed words, and its
 length, links and place - and labels every block as main text or not, so that each
 label depends on the whole page.
 
-The network is trained here, from a bounded sample of the pages.  Its teacher is the
-markup where that names its part (``article``, ``nav``, ``class="ad"``).  Copies of the
-sample pages get further parts (sidebars, notices, forms, comments)
-made of other pages' words, under varied names; in some copies the names are
-hidden, so that length, links, words and neighbours have to tell.
+The weights were trained here (``python -m scorecraft.llm.block_labeller PAGES.parquet``) and come
+with the package, so a page's text hangs on no other page and on no table's size.  Their teacher
+was the markup of sample pages where that names its part (``article``, ``nav``,
+``class="ad"``).  The network learnt from copies that keep the labels but not the
+markup: with further parts (sidebars, notices, forms, comments) made of other pages'
+words, under varied names; with every paragraph, heading and article a plain ``div``; with names
+hidden, so that length, links, words and neighbours have to tell; with very many, very long or very few
+blocks.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
+from importlib.resources import files as package_files
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from scorecraft.llm.common import ragged_index, segment_sums
 from scorecraft.llm.html_blocks import Block, blocks_of
@@ -28,9 +33,10 @@ from scorecraft.llm.text_hash import SPACE_CLASSES, words
 
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 24, 10, 24
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
-#: The training sample: so many pages, the first in hash order, of at most so many characters each.
-TRAIN_PAGES, TRAIN_CHARS = 240, 100_000
-COPIES, EPOCHS, BATCH, RATE, SEED = 3, 8, 32, 0.01, 5
+#: Training: so many sample pages, copies of each, and blocks of a page that count at once (a run of a longer page).
+TRAIN_PAGES, COPIES, TRAIN_BLOCKS = 400, 6, 300
+EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 5
+WEIGHTS = "block_weights.npz"
 #: Names that tell a part that is not main text, and names that tell main text.
 ASIDE_NAMES = frozenset("""ad ads advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent
 cookie cookies copyright disclaimer discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager
@@ -39,6 +45,10 @@ sponsored subscribe subscription tags toolbar tracking widget""".split())
 STOPS = np.frombuffer(b",.;:!?", np.uint8)
 ASIDE_TAGS = frozenset("nav footer aside form header menu dialog search fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+#: What stands for article and main in copies.
+AROUND = (("div",), ("section",), (), ("div", ".post"), ("div", ".content"), ("section", ".entry"), ("td",), ("div", ".story", ".body"))
+#: What becomes a div in copies without telling markup.
+PLAIN_TAGS = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote".split())
 #: Parts that training copies get: element, names, number of blocks, whether their blocks are links.
 PARTS = (
     ("aside", "sidebar", 4, True), ("div", "sidebar widget", 3, False), ("div", "related", 4, True), ("div", "cookie notice", 1, False),
@@ -94,7 +104,7 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
         1 / (size - place), np.minimum(1.0, np.array([len(b.path) for b in blocks]) / 10),
         np.array([b.text[-1] in ".!?" for b in blocks]), stops / lengths * 10, np.array([x == "p" for x in leaf]),
         np.array([x[:1] == "h" and x[1:].isdigit() for x in leaf])], axis=1)
-    x = np.concatenate([np.stack([_path_vector(b.path) for b in blocks]), bag / np.sqrt(np.maximum(1, n_words))[:, None], shape], axis=1)
+    x = np.concatenate([np.stack([_path_vector(b.path) for b in blocks]), np.clip(bag / np.sqrt(np.maximum(1, n_words))[:, None], -3, 3), shape], axis=1)
     return np.split(x.astype(np.float32), np.cumsum(sizes)[:-1])
 
 
@@ -233,37 +243,74 @@ def _training(samples: list[str], seed: int = SEED) -> tuple[list[np.ndarray], l
             out.append((Block(text, here + inner, len(text) if linked or rng.random() < 0.1 else 0), False))
         return out
 
+    def article(rows: list[tuple[Block, bool]]) -> list[tuple[Block, bool]]:
+        """The page with a much longer, or a much shorter, main text."""
+        main = [b for b, y in rows if y]
+        kind = rng.random()
+        if not main or kind < 0.5:
+            return rows
+        first = next(k for k, (_, y) in enumerate(rows) if y)
+        if kind < 0.65:  # a block or two
+            keep = {id(b) for b in main[:int(rng.integers(1, 3))]}
+            return [(b, y) for b, y in rows if not y or id(b) in keep]
+        if kind < 0.85:  # some blocks of up to a hundred sentences
+            same = rng.random() < 0.3
+            return [(Block(" ".join([b.text, *(b.text if same else some(40) for _ in range(int(rng.integers(1, 100))))]), b.path, b.link_chars)
+                     if y and rng.random() < 0.4 else b, y) for b, y in rows]
+        more = [(Block(some(int(rng.integers(5, 60))) + ".", main[rng.integers(len(main))].path, 0), True) for _ in range(int(rng.integers(20, 400)))]
+        return rows[:first + 1] + more + rows[first + 1:]
+
+    def plain_markup(rows: list[tuple[Block, bool]], tags: frozenset) -> list[tuple[Block, bool]]:
+        """Other elements for ``tags``: article and main become one of several, the rest div."""
+        around = AROUND[rng.integers(len(AROUND))]
+        return [(Block(b.text, tuple(x for n in b.path for x in (around if n in MAIN_TAGS else ("div",) if n in tags else (n,))), b.link_chars), y)
+                for b, y in rows]
+
     xs, ys = [], []
     for sample in samples:
-        plain = [(b, teacher(b.path)) for b in blocks_of(sample)]
+        taught = [(b, teacher(b.path)) for b in blocks_of(sample)]
         for copy in range(1 + COPIES):
-            rows = list(plain)
-            for _ in range(int(rng.integers(1, 6)) if copy else 0):
+            rows = article(taught) if copy else list(taught)
+            for _ in range(int(rng.integers(0, 6)) if copy else 0):
                 at = int(rng.integers(len(rows) + 1))
-                rows[at:at] = part()
+                rows = rows[:at] + part() + rows[at:]
             if not rows:
                 continue
+            way = rng.random() if copy else 1.0
+            if way < 0.25:
+                rows = plain_markup(rows, MAIN_TAGS)
+            elif way < 0.55:
+                rows = plain_markup(rows, PLAIN_TAGS)
             x = features([[b for b, _ in rows]])[0]
-            if copy and rng.random() < 0.25:  # names hidden
+            if copy and rng.random() < 0.2:  # names hidden
                 x[:, :PATH_DIM] = 0
-            elif copy and rng.random() < 0.3:  # no article element
-                rows = [(Block(b.text, tuple("div" if n in MAIN_TAGS else n for n in b.path), b.link_chars), y) for b, y in rows]
-                x = features([[b for b, _ in rows]])[0]
-            xs.append(x)
-            ys.append(np.array([y for _, y in rows], np.float32))
+            at = int(rng.integers(max(1, len(rows) - TRAIN_BLOCKS + 1)))
+            xs.append(x[at:at + TRAIN_BLOCKS])
+            ys.append(np.array([y for _, y in rows[at:at + TRAIN_BLOCKS]], np.float32))
     return xs, ys
 
 
-def train(pages: DataFrame, n: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> Labeller:
-    """A labeller trained on at most ``n`` pages (the first in hash order of those within ``chars`` characters)."""
-    small = pages.where(F.col("html").isNotNull() & (F.length("html") <= chars)).select(F.xxhash64("page_id", "url").alias("h"), "html")
-    # first the hash that the sample ends with, so that tasks send no pages but the sample's
-    last = small.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    rows = small.where(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(n).collect() if last is not None else []
-    xs, ys = _training([r["html"] for r in rows])
+def train(samples: list[str]) -> Labeller:
+    """A labeller trained on sample pages of any length."""
+    xs, ys = _training(samples)
     return Labeller().fit(xs, ys) if xs else Labeller()
 
 
+def _parameters(labeller: Labeller) -> list[np.ndarray]:
+    return [labeller.ahead.w, labeller.ahead.b, labeller.back.w, labeller.back.b, labeller.v, labeller.c]
+
+
+@cache
+def shipped() -> Labeller:
+    """The labeller with the weights of the package."""
+    out = Labeller()
+    with package_files("scorecraft.llm").joinpath(WEIGHTS).open("rb") as f:
+        kept = np.load(f)
+        for k, p in enumerate(_parameters(out)):
+            p[...] = kept[f"p{k}"].astype(np.float32)
+    return out
+
+
 def extract(labeller: Labeller, pages: list[str | None]) -> list[str]:
     """Main text of each page: the blocks labelled so, joined by line ends."""
     blocks = [blocks_of(p) for p in pages]
@@ -279,7 +326,7 @@ def extract_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFram
     table gives no rows; other columns are not read.  Nothing is cut, however
     long a page is.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(labeller or train(pages))  # some 100 KB of weights
+    shared = pages.sparkSession.sparkContext.broadcast(labeller or shipped())  # some 100 KB of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,3 +338,16 @@ def extract_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFram
                     "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def main(path: str) -> None:
+    """Train on the first pages of a Parquet file, in hash order of their text, and store the weights beside this module."""
+    import pyarrow.parquet as pq
+
+    pages = sorted((p for p in pq.read_table(path, columns=["html"])["html"].to_pylist() if p), key=lambda p: crc32(p.encode()))
+    parameters = {f"p{k}": p.astype(np.float16) for k, p in enumerate(_parameters(train(pages[:TRAIN_PAGES])))}
+    np.savez_compressed(__file__.rpartition("/")[0] + "/" + WEIGHTS, **parameters)
+
+
+if __name__ == "__main__":
+    main(sys.argv[1])
