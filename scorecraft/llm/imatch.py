@@ -13,6 +13,8 @@ that follows it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,19 @@ def lexicon(frequencies: DataFrame, band: tuple[float, float] = BAND, rates: tup
     return kept.select(F.xxhash64("term").alias("code"), mask.alias("subsets"))
 
 
+def _if_in(k: int) -> Callable[[Column], Column]:
+    return lambda t: F.when(t["subsets"].bitwiseAND(F.lit(1 << k).cast("long")) != 0, t["term"])
+
+
 def _hashes(held: Column, bare: Column, n_subsets: int) -> Column:
     """One hash per subset of the sorted (term, subsets, in) in ``held``; empty where a subset holds none of them.
 
     A document without a term of the lexicon takes ``bare``, the hash of all its terms, for every subset.
     """
-    some = F.transform(F.sequence(F.lit(0), F.lit(n_subsets - 1)), lambda k: F.filter(held, lambda t: F.getbit(t["subsets"], k) == 1))
-    of = F.transform(some, lambda s: F.when(F.size(s) > 0, F.substring(F.md5(F.array_join(F.transform(s, lambda t: t["term"]), " ")), 1, 8)).otherwise(""))
+    # joining leaves NULLs out, so a subset's terms are picked and joined in one go
+    joined = F.array(*[F.array_join(F.transform(held, _if_in(k)), " ")
+                       for k in range(n_subsets)])
+    of = F.transform(joined, lambda j: F.when(j == "", "").otherwise(F.substring(F.md5(j), 1, 8)))
     return F.when(F.size(held) > 0, of).otherwise(F.array_repeat(bare, n_subsets))
 
 
@@ -90,8 +98,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     whatever follows a text lies in its bucket.  ``m`` is the number of equal rows that a row stands for.
     """
     light = docs.select("doc_id", F.md5("text").alias("h"))
-    # twice as many buckets as partitions: they are dealt to partitions by hash
-    n = 2 * suggested_partitions(docs)
+    # several buckets a partition: they are dealt out by hash, which evens out their sizes
+    n, parts = 6 * suggested_partitions(docs), 2 * suggested_partitions(docs)
     classes = stored(light.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m")).repartitionByRange(n, "doc_id", "h")
                      .withColumn("part", F.spark_partition_id()), "imatch-order")
     firsts = [r["s"] for r in classes.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("s"))
@@ -121,7 +129,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     both = F.array_compact(F.array(F.struct(F.col("at").alias("bucket"), F.lit(False).alias("tail")),
                                    F.when(leads, F.struct(before.alias("bucket"), F.lit(True).alias("tail")))))
     return (placed.select("doc_id", "h", "m", "text", F.explode(both).alias("p")).select("p.bucket", "p.tail", "doc_id", "h", "m", "text")
-            .repartition(n, "bucket"))
+            .repartition(parts, "bucket"))
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple = RATES, max_lexicon: int = MAX_LEXICON) -> DataFrame:
