@@ -3,8 +3,8 @@
 A text's set are the hashes of its distinct 5-word shingles; two texts link when
 their sets' Jaccard similarity is 0.8 or more (100 |A n B| >= 80 |A u B|).
 
-* Texts with equal sets are one class from the start; a class is represented by
-  its smallest doc_id.
+* Texts with equal sets are one class from the start, with a node number of its own; a class is
+  represented by its row of smallest doc_id (known ids first), then smallest text hash.
 * Under a global order of all shingles, linked sets share a shingle in their
   prefixes, at places that still leave room for the overlap.  The order is by
   estimated frequency, rare ones first, then by hash.  Shingles of the first
@@ -49,7 +49,7 @@ STARS = (2, 6)
 LEADER_SPREAD = 0.1
 # A key of more classes is worked on in blocks of about so many classes.
 FREQUENT, BLOCK = 64, 1024
-# Ids of the texts to verify are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
+# Rows that name the texts to verify are broadcast up to this many (some 40 bytes each), and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 1_000_000
 
 
@@ -108,7 +108,7 @@ def frequency_levels(sketch: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, n, s1, s2), and per task and chunk of the counters one row with its sums."""
+    """One row per document (doc_id, h, n, s1, s2), and per task and chunk of the counters one row with its sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((len(ORDERS), COUNTERS), np.int64)
         for batch in batches:
@@ -124,16 +124,16 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(n)
             size = np.concatenate(sizes)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array(size),
+                "doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": pa.array(size),
                 "s1": pa.array(np.concatenate(sums[0]).view(np.int64)), "s2": pa.array(np.concatenate(sums[1]).view(np.int64)),
                 "chunk": pa.nulls(len(size), pa.int32()), "sums": pa.nulls(len(size), pa.binary())})
         parts = sketch.reshape(CHUNKS, -1)
         none = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": none, "n": none, "s1": none, "s2": none, "chunk": pa.array(range(CHUNKS), pa.int32()),
+            "doc_id": none, "h": none, "n": none, "s1": none, "s2": none, "chunk": pa.array(range(CHUNKS), pa.int32()),
             "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, chunk int, sums binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, chunk int, sums binary")
 
 
 def _sketch(signed: DataFrame) -> np.ndarray:
@@ -150,7 +150,7 @@ def _sketch(signed: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, s1, n, keys: the prefix of each set under the first order, in order."""
+    """doc_id, h, n, keys: the prefix of each set under the first order, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, shingles, n in texts_in(batch):
@@ -161,25 +161,41 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
                 place = np.arange(len(order)) - np.repeat(first, n)
                 take = place < np.repeat(np.where(n > 0, prefix_length(n), 0), n)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[take], minlength=b - a))]).astype(np.int32)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles + seeded(0, 55)), dtype=np.uint64)])
-                s1 = sums[np.cumsum(n)] - sums[first]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(a, b - a).cast(pa.int64()), "s1": pa.array(s1.view(np.int64)),
-                    "n": pa.array(n), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(shingles[order][take].view(np.int64)))})
+                    "doc_id": batch.column("doc_id").slice(a, b - a), "h": batch.column("h").slice(a, b - a), "n": pa.array(n), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(shingles[order][take].view(np.int64)))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s1 long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, keys array<long>")
+
+
+def _same_row(a: str, b: str):
+    """Rows of one doc_id, NULL or not, and one text."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
 
 def _postings(docs: DataFrame, classes: DataFrame, levels) -> DataFrame:
     """(key, node, n, place, k) for keys that more than one class has in its prefix; k counts these keys of the class."""
-    keyed = _prefixes(docs, levels).where("n > 0")
-    chosen = classes.select(F.col("node").alias("doc_id"), "s1", F.lit(True).alias("_one"))
-    rows = (keyed.join(chosen, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
-            .select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "key")))
-    met = rows.withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_met > 1").drop("_met")
+    keyed = _prefixes(docs, levels).where("n > 0").alias("k").join(classes.select("node", "doc_id", "h").alias("c"), _same_row("k", "c"))
+    # repeated rows of a class's doc_id and text are one
+    keyed = keyed.select("node", F.col("k.n").cast("int").alias("n"), "keys").dropDuplicates(["node"])
+    rows = stored(keyed.select("node", "n", F.posexplode("keys").alias("place", "key")), "prefixes")
+    # counted before the shuffle, and joined so that Spark may split a frequent key
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_met")).where("_met > 1").select("key")
+    met = rows.join(shared, "key")
     return stored(met.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node"))), "postings")
 
 
+def _texts(docs: DataFrame, rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(node, text) of the classes that meet any other, one row each."""
+    met = classes.join(postings.select("node").distinct(), "node").select("node", "doc_id", "h")
+    # few rows are repeated; only their texts need to be made one
+    twice = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", "h", F.lit(True).alias("many"))
+    met = met.alias("m").join(twice.alias("t"), _same_row("m", "t"), "left").select("node", "m.doc_id", "m.h", F.coalesce("many", F.lit(False)).alias("many"))
+    met, _ = bounded_broadcast(stored(met, "met"), MAX_BROADCAST_IDS)
+    found = docs.alias("d").join(met.alias("m"), _same_row("d", "m")).select("node", "text", "many")
+    once = found.where("NOT many").select("node", "text")
+    return stored(once.union(found.where("many").select("node", "text").dropDuplicates(["node"])), "texts")
+
+
 def _overlap(a: str, b: str):
     """Least overlap of linked sets of these sizes."""
     return F.ceil((F.col(a) + F.col(b)) * F.lit(NUM) / F.lit(NUM + DEN))
@@ -270,38 +286,41 @@ def _block_pairs(group: pa.Table) -> pa.Table:
     node, n, comp, block = (group[c].to_numpy() for c in ("node", "n", "comp", "block"))
 
     def holds(column: str) -> tuple[np.ndarray, np.ndarray]:
+        """(class, key) of every key that two classes or more hold, sorted by key."""
         lists = group[column].combine_chunks()
         who = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
         names, which, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        used = np.flatnonzero(times > 1)  # a key of one class is not shared
-        number = np.full(len(names), -1)
-        number[used] = np.arange(len(used))
-        keep = number[which] >= 0
-        out = np.zeros((len(node), max(1, len(used))), np.float32)
-        out[who[keep], number[which[keep]]] = 1
-        return out, names[used]
-
-    held, _ = holds("keys")
-    heads, names = holds("often")
-    heads = heads > 0
+        keep = times[which] > 1
+        who, which = who[keep], which[keep]
+        order = np.argsort(which, kind="stable")
+        return who[order], names[which[order]]
+
+    who, held = holds("keys")
+    heads_of, heads = holds("often")
+    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(held))
+    by_class: list[list[int]] = [[] for _ in range(len(node))]  # places in ``starts`` of a class's keys
+    for k, (x, y) in enumerate(zip(starts, ends, strict=True)):
+        for c in who[x:y]:
+            by_class[c].append(k)
+    often = [set() for _ in range(len(node))]
+    for c, name in zip(heads_of.tolist(), heads.tolist(), strict=True):
+        often[c].add(name)
     key = group["key"][0].as_py()
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     one = bool((block == block[0]).all())
-    for at in range(0, len(node), 256):
-        part = slice(at, at + 256)
-        shared = held[part] @ held.T
-        small, large = np.minimum(n[part][:, None], n[None, :]), np.maximum(n[part][:, None], n[None, :])
+    for i in range(len(node)):
+        # classes that share keys with this one, counted over its keys alone
+        mine = by_class[i]
+        shared = np.bincount(np.concatenate([who[starts[k]:ends[k]] for k in mine]), minlength=len(node)) if mine else np.zeros(len(node), np.int64)
+        small, large = np.minimum(n[i], n), np.maximum(n[i], n)
         least = np.maximum(1, -(-(small + large) * NUM // (NUM + DEN)) + 1 - -(-large * NUM // DEN))
-        ok = (shared >= least) & (small * DEN >= large * NUM) & (comp[part][:, None] != comp[None, :]) & (node[part][:, None] < node[None, :])
+        ok = (shared >= least) & (small * DEN >= large * NUM) & (comp != comp[i]) & (node > node[i])
         if not one:
-            ok &= block[part][:, None] != block[None, :]
-        i, j = np.nonzero(ok)
-        if i.size:
-            first = np.concatenate([(heads[at + i[x:x + 4096]] & heads[j[x:x + 4096]]).argmax(axis=1) for x in range(0, i.size, 4096)])
-            mine = names[first] == key
-            i, j = i[mine], j[mine]
-        a.append(node[part][i])
-        b.append(node[j])
+            ok &= block != block[i]
+        js = [j for j in np.flatnonzero(ok).tolist() if min(often[i] & often[j]) == key]
+        a.append(np.full(len(js), node[i]))
+        b.append(node[js])
     return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
 
@@ -317,8 +336,8 @@ def _with_components(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """The pairs that link: they must pass the prefixes of all other orders, then their sets are intersected."""
-    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
     def linked(x: np.ndarray, y: np.ndarray, prefix_x: list, prefix_y: list) -> bool:
         small, large = sorted((len(x), len(y)))
@@ -359,24 +378,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document row.
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
-    A document without words, or with a NULL text, has 0 shingles and is linked
-    with nothing: its component is itself.  With fewer than 5 words the whole
-    sequence is the one shingle.  Repeated rows and equal texts are in one
-    component.  A NULL doc_id links like any other text but is never a
-    component's name (NULL if all of its equal texts have none).  Texts whose
-    smallest doc_id is the same are one node.  Extra columns are not read; an
-    empty table gives no rows.
+
+def _row_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, component_id, stays): one row per document row; h is its text's hash.
+
+    ``stays`` marks the row that stands for its component: the representative of the
+    component's class with the smallest doc_id; rows without words stand for themselves.
     """
+    docs = _hashed(docs)
     signed = stored(_signatures(docs), "signatures")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(_sketch(signed)))
-    rows = signed.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
-    classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    postings = _postings(docs, classes.where("node IS NOT NULL"), levels)
-    met, _ = bounded_broadcast(stored(postings.select(F.col("node").alias("doc_id")).distinct(), "met"), MAX_BROADCAST_IDS)
-    texts = stored(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
+    rows = signed.where("chunk IS NULL").select("doc_id", "h", "n", "s1", "s2")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r")
+    classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(first).select(
+        "n", "s1", "s2", "r.doc_id", "r.h").withColumn("node", F.monotonically_increasing_id()), "classes")
+    postings = _postings(docs, classes, levels)
+    texts = _texts(docs, rows, classes, postings)
     comps, links, seen = None, None, None
     for turn in range(len(STARS) + 1):
         left = _with_components(postings, comps)
@@ -389,24 +409,42 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         links = new if links is None else links.union(new)
         comps = components(links)
     if comps is None:
-        return rows.join(classes, ["n", "s1", "s2"], "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("component_id"))
-    named = classes.join(comps, "node", "left").select("n", "s1", "s2", F.coalesce("comp", "node").alias("comp"))
-    return rows.join(named, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+        named = classes.select("n", "s1", "s2", F.col("doc_id").alias("_rep"), F.col("h").alias("_h"), F.col("doc_id").alias("_name"), F.lit(True).alias("_leads"))
+    else:
+        # the first class of each component, by its representative, names it
+        joined = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        lead = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "node")).alias("l"))
+        named = joined.join(lead, "comp").select("n", "s1", "s2", F.col("doc_id").alias("_rep"), F.col("h").alias("_h"), F.col("l.doc_id").alias("_name"),
+                                                 (F.col("l.node") == F.col("node")).alias("_leads"))
+    out = rows.join(named, ["n", "s1", "s2"], "left")
+    stays = (F.col("n") == 0) | (F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("h") == F.col("_h")))
+    return out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("_name")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document row.
+
+    A document without words, or with a NULL text, has 0 shingles and is linked
+    with nothing: its component is itself.  With fewer than 5 words the whole
+    sequence is the one shingle.  Repeated rows and equal texts are in one
+    component.  A NULL doc_id links like any other text but is never a
+    component's name (NULL if the whole component has none).  Rows of one doc_id with different texts are
+    judged each by its own text.  Extra columns are not read; an empty table gives no rows.
+    """
+    return _row_classes(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's, all columns unchanged; of repeated doc_ids one row stays.
+    """One row of each component, all columns unchanged: of its texts with the smallest doc_id the one of smallest hash.
 
-    Documents without words and rows without doc_id are all kept.
+    Rows without words and rows without doc_id are all kept.  Rows of one doc_id are judged each by its own
+    text; of repeated rows of the same doc_id and text that stays, one stays.
     """
-    classes = jaccard_classes(docs)
-    known = classes.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    verdicts = stored(known.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("_drop"), F.count(F.lit(1)).alias("_rows")).where("_drop OR _rows > 1"), "verdicts")
-    side, _ = bounded_broadcast(verdicts, MAX_BROADCAST_IDS)
-    judged = docs.join(side, F.col("doc_id") == F.col("_id"), "left").where("coalesce(NOT _drop, true)")
-    once = judged.where("_rows IS NULL")
-    again = judged.where("_rows IS NOT NULL").dropDuplicates(["_id"])
-    return once.unionByName(again).drop("_id", "_drop", "_rows")
+    judged = _row_classes(docs).where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.max("stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    verdicts = stored(judged.where("NOT _stays OR _rows > 1"), "verdicts")
+    side, _ = bounded_broadcast(verdicts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_stays", "_rows"), MAX_BROADCAST_IDS)
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = hashed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left").where("coalesce(_stays, true)")
+    once = found.where("_rows IS NULL")
+    again = found.where("_rows IS NOT NULL").dropDuplicates(["_id", "_h"])
+    return once.unionByName(again).drop("_hash", "_id", "_h", "_stays", "_rows")

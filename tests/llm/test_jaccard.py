@@ -89,3 +89,24 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
+
+
+def test_reused_and_missing_ids_are_judged_by_their_own_text(spark):
+    r = random.Random(11)
+    a, b, c, d = ([f"{p}{r.randrange(10 ** 6)}" for _ in range(101)] for p in "abcd")
+    near = lambda t: " ".join([*t, "more"])
+    rows = [(0, " ".join(a)), (1, near(a)), (1, " ".join(b)), (None, near(b)), (7, " ".join(c)), (7, " ".join(d)), (8, near(c)), (8, near(c)),
+            (9, " ".join(d)), (9, "  ".join(d)), (10, near(d)), (10, " ".join(["x", *d])), (None, "lonely row"), (12, None), (12, "")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, jaccard_classes(docs).collect()), key=repr) == brute(rows)
+    kept = sorted(((x["doc_id"], x["text"]) for x in keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(0, " ".join(a)), (1, " ".join(b)), (None, near(b)), (7, " ".join(c)), (7, " ".join(d)), (None, "lonely row"),
+                           (12, None), (12, "")], key=repr)
+
+
+def test_repeated_rows_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text)] * 300 + [(None, text)] * 200 + [(6, text + " z"), (3, text + " y")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, jaccard_classes(docs).collect()), key=repr) == brute(rows)
+    assert sorted((x["doc_id"] for x in keep_one(docs).collect()), key=repr) == sorted([3] + [None] * 200, key=repr)
