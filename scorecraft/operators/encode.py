@@ -2,8 +2,9 @@
 
 The reference embeds answers and class prompts with an external text
 encoder; here the default encoder is relational term counts (word tokens or
-character trigrams), and the similarity is computed with an inverted-index
-equi-join on the term instead of a dense items x classes product:
+character trigrams).  The best class of a text comes from ``maxscore``, which reads only
+the postings that can still decide.  All similarities of a text (``token_cosine``) are computed with an
+inverted-index equi-join on the term instead of a dense items x classes product:
 
 1. the query side (documents / answers) is hash-partitioned once by its key;
    term counting, the join with the (size-checked, broadcast) class terms,
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.text import ColumnOrName, _c
+from scorecraft.operators.maxscore import best_class
 from scorecraft.session import bounded_broadcast, suggested_partitions
 
 WORD = r"[\p{L}\p{N}]+"
@@ -48,28 +50,6 @@ def _keys(k: str | Sequence[str]) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
 
 
-def sorted_norm(sorted_terms: Column) -> Column:
-    """L2 norm of the term-count vector of a *sorted* term array, in one pass.
-
-    Walks the array once, tracking the current run of equal terms; no
-    per-term rows and no second tokenisation are needed.
-    """
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("long").alias("run"),
-                    F.lit(0).cast("long").alias("ss"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["prev"].eqNullSafe(x)
-        return F.struct(x.alias("prev"),
-                        F.when(same, acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
-                        F.when(same, acc["ss"]).otherwise(acc["ss"] + acc["run"] * acc["run"]).alias("ss"))
-
-    return F.aggregate(sorted_terms, init, step, lambda acc: F.sqrt((acc["ss"] + acc["run"] * acc["run"]).cast("double")))
-
-
-def _keys(k: str | Sequence[str]) -> list[str]:
-    return [k] if isinstance(k, str) else list(k)
-
-
 def term_counts(df: DataFrame, key: str | Sequence[str], text: str, analyzer: str = "word") -> DataFrame:
     """``(key..., norm, term, tf)``: one tokenisation per row; ``norm`` is the row's L2 norm."""
     keys = _keys(key)
@@ -122,35 +102,19 @@ def token_cosine(left: DataFrame, left_key: str | Sequence[str], left_text: str,
 
 def token_nearest(left: DataFrame, left_key: str | Sequence[str], left_text: str,
                   right: DataFrame, right_key: str, right_text: str,
-                  analyzer: str = "word", tie_digits: int = 9, scope: Sequence[str] = (),
-                  partitions: int | None = None, prepartitioned: bool = False,
-                  keep: Sequence[str] = ()) -> DataFrame:
-    """Best ``right_key`` per left row by cosine; lowest key wins ties.
+                  analyzer: str = "word", scope: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Best ``right_key`` per left row by cosine; lowest key wins ties (cosines equal to 9 digits).
 
     Rows sharing no term with any candidate keep ``right_key`` NULL and cosine 0.
-    ``keep`` lists extra left columns to carry.  The left side is
-    hash-partitioned by its keys once; the term counts, the arg-max and the
-    join back to the left rows all reuse that partitioning.
+    ``keep`` lists extra left columns to carry.  Every left row is answered by
+    itself, rows with equal keys too; the left side is neither shuffled nor exploded.
     """
     scope = list(scope)
-    lk = [k for k in _keys(left_key) if k not in scope]
-    extra = [c for c in keep if c not in scope + lk and c != left_text]
-    base = _partitioned(left.select(*scope, *lk, left_text, *extra), scope + lk, partitions, prepartitioned)
-    extra_cols = [c for c in keep if c not in scope + lk]
-    pairs = token_cosine(base, lk, left_text, right, right_key, right_text, analyzer, scope, partitions, True,
-                         keep_unmatched=not extra_cols)
-    # Max over (rounded cosine, -key): the lowest key wins ties; a NULL key
-    # (terms without any match) loses to every real candidate.
-    best = (pairs.groupBy(*scope, *lk)
-                 .agg(F.max(F.struct(F.round("cosine", tie_digits).alias("r"),
-                                     (-F.col(right_key)).alias("neg"),
-                                     F.col(right_key).alias("k"),
-                                     F.col("cosine").alias("c"))).alias("_b"))
-                 .select(*scope, *lk, F.col("_b.k").alias(right_key), F.col("_b.c").alias("cosine")))
-    if extra_cols:
-        # Co-partitioned with ``base``: the join back adds no exchange of the rows.
-        best = base.select(*scope, *lk, *extra_cols).join(best, scope + lk, "left")
-    return best.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    cols = list(dict.fromkeys([*scope, *_keys(left_key), *keep]))
+    r_side = term_counts(right, [*scope, right_key], right_text, analyzer).select(*scope, right_key, "term", "tf")
+    rows = left.select(*cols, *([] if left_text in cols else [left_text])).withColumn("_terms", terms(left_text, analyzer))
+    best = best_class(rows, F.col("_terms"), r_side, scope, right_key)
+    return best.select(*cols, right_key, "cosine")
 
 
 def encode_with(df: DataFrame, text: str, out: str, make_encoder: Callable[[], Callable],

@@ -20,7 +20,7 @@ from scorecraft.operators.domains import STYLE_ORDER, UNKNOWN, YEAR_END, YEAR_ST
 from scorecraft.operators.encode import token_nearest
 from scorecraft.operators.nearest import zero_shot
 from scorecraft.operators.rules import canonical_attribute, canonical_model, clean_predictions
-from scorecraft.session import bounded_broadcast, cut_lineage, suggested_partitions
+from scorecraft.session import bounded_broadcast, cut_lineage
 
 RUN = ["run", "dataset", "attribute", "model"]
 
@@ -127,16 +127,11 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     domains, _ = bounded_broadcast(domains)
 
     cleaned = clean_predictions(df, "preds", "model", "attribute", "prompt", year_precision, profiles=profiles)
-    # One exchange of the answers: hash-partition the cleaned rows by row key
-    # and keep that copy (memory, spilling to disk).  The term counts, the
-    # per-row arg-max and the join back to the rows all read it with its
-    # partitioning, so no branch re-reads or re-shuffles the input.
-    # ``checkpoint=True`` additionally writes the cleaned rows to the shared
-    # checkpoint folder first (cuts lineage).
-    if checkpoint:
-        cleaned = cut_lineage(cleaned)
-    cleaned = (cleaned.repartition(suggested_partitions(cleaned), "run", "row_idx")
-                      .persist(StorageLevel.MEMORY_AND_DISK))
+    # Cleaned once: both routes read this copy (memory, spilling to disk).  Every
+    # row is answered by itself, so no exchange of the answers is needed.
+    # ``checkpoint=True`` writes the cleaned rows to the shared checkpoint folder
+    # instead (cuts lineage).
+    cleaned = cut_lineage(cleaned) if checkpoint else cleaned.persist(StorageLevel.MEMORY_AND_DISK)
 
     if class_template == "manifest":
         class_text = manifest_class_texts(df, domains)
@@ -146,7 +141,7 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     # Year answers on the regex route need no nearest-class search at all.
     by_regex = (F.col("attribute") == "year") & F.lit(year_route == "regex")
     near = token_nearest(cleaned.where(~by_regex), ["run", "row_idx"], "pred_clean", class_text, "class_idx",
-                         "class_text", analyzer, scope=["run"], prepartitioned=True, keep=cleaned.columns)
+                         "class_text", analyzer, scope=["run"], keep=cleaned.columns)
     # No shared term with any class: every similarity is 0 and the first class wins.
     near = near.withColumn("class_idx", F.coalesce("class_idx", F.lit(0)))
     near = (near.join(domains.select("run", "class_idx", F.col("class").alias("nearest_class")),
