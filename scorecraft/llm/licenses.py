@@ -66,6 +66,7 @@ NOTICES = (
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|redistribution|permission is hereby"
 SENTENCE = r"[\r\n]+|(?<=[.!?])[ \t]+"
 TERM = r"[^a-z0-9.+-]+"
+BREAK = r"[.+-]*+[^a-z0-9.+-]++[.+-]*+"
 #: An identifier line, its expression (group 1), and a notice that denies what it names.
 IDENTIFIER = (r"(?i)SPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)")
 DENIED = (r"(?i)\b(?:not|never|no longer)\s+(?:[a-z]+\s+){0,2}(?:licen[sc]ed|released|distributed|available|provided|published|covered|redistributed)\s+"
@@ -77,8 +78,8 @@ BLOCK_COSINE, OPENING = 0.75, (1.05, 8)
 
 def terms(text: Column) -> Column:
     """Lower-case terms: runs of letters, digits, ``.``, ``+`` and ``-``, without dots or dashes at the ends."""
-    bare = F.transform(F.split(F.lower(text), TERM), lambda t: F.btrim(t, F.lit(".+-")))
-    return F.filter(bare, lambda t: t != "")
+    # dots and dashes beside a break belong to it
+    return F.array_remove(F.split(F.btrim(F.lower(text), F.lit(".+-")), BREAK), "")
 
 
 def _weighted(counted: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -122,31 +123,26 @@ def _block_templates() -> list[tuple[str, list[str]]]:
     return [(n, [w for w in (t.strip(".+-") for t in re.split(TERM, text.lower())) if w]) for n, text in texts]
 
 
-def _corpus_idf(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency over all files of each term of the texts, and that of a term no file has."""
-    spark = files.sparkSession
-    listed = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
-    # explode_outer: for explode the optimizer would work out the terms once more in a filter
-    seen = files.select(F.explode_outer(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = {r["term"]: r["df"] for r in seen.join(listed, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # as many as the texts have
-    n = files.count()
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
-
-
 def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
     """(file_id, path, license, score, whole) of files that as a whole, or by their opening block, reach ``least`` with a text.
 
     Weights are (1 + ln tf) x idf, with document frequencies over all files for the terms of the texts; a term that no text has
-    weighs like one that no file has, so it always counts against a match.  Pairs of a block and a text are left out
-    only if the block lacks so many of the text's weightiest terms that it cannot reach ``least``: the squared
-    weights of the terms it has are a bound.  What is left is a row per file, text, span and term; no texts are stored.
+    weighs like one that no file has, so it always counts against a match.  Every file is cut into terms once; which of the
+    texts' terms it holds is kept, a few small words a file, and gives the frequencies.  Pairs of a file and a text are then left out
+    only if the file lacks so many of the text's weightiest terms that no part of it can reach ``least``: the squared
+    weights of the terms it has are a bound.  What is left is scored, a row per file, text, span and term; no texts are stored.
     """
     spark = files.sparkSession
     texts = _block_templates()
-    idf, rare = _corpus_idf(files, sorted({w for _, words in texts for w in words}))
-    side, tests = [], []
+    vocabulary = sorted({w for _, words in texts for w in words})
+    held = stored(files.where("text IS NOT NULL").select("file_id", "path", F.array_intersect(
+        terms(F.col("text")), F.split(F.lit(" ".join(vocabulary)), " ")).alias("held")).where(F.size("held") > 0), "license-held")
+    df = {r["term"]: r["df"] for r in held.select(F.explode_outer("held").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    n = files.count()
+    idf, rare = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
+    side, tests, spans = [], [], []
     for i, (_, words) in enumerate(texts):
-        raw = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(words).items()}
+        raw = {w: (1 + math.log(c)) * idf[w] for w, c in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         # the weightiest terms, which hold three quarters of the squared weight: all others give what is left at most
         order = sorted(raw, key=lambda w: (-raw[w], w))
@@ -154,31 +150,31 @@ def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
         top = next(k for k in range(1, len(order) + 1) if sum(share[:k]) >= 0.75)
         lacking = least * least - sum(share[top:]) - 1e-6
         need = next(k for k in range(top + 1) if sum(share[:k]) >= lacking)
-        side += [(i, w, idf[w], x / norm) for w, x in raw.items()]
-        tests.append((i, int(OPENING[0] * len(words)) + OPENING[1], order[:top], need))
+        side += [(i, w, x / norm) for w, x in raw.items()]
+        tests.append((order[:top], need))
+        spans.append(int(OPENING[0] * len(words)) + OPENING[1])
     # bounded by the fixed texts
-    weights = F.broadcast(spark.createDataFrame(side, "template int, term string, idf double, _w double"))
+    weights = F.broadcast(spark.createDataFrame(side, "template int, term string, _w double"))
     idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, _idf double"))
-    names = F.broadcast(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(texts)], "template int, license string"))
-    listed = F.split(F.lit(" ".join(sorted({w for _, _, top, _ in tests for w in top}))), " ")
-    pairs = []  # span 0: the whole; an opening as long as the file is the whole
-    for i, span, top, need in tests:
-        some = F.split(F.lit(" ".join(top)), " ")
-        whole = F.size(F.array_intersect("shared", some)) >= need
-        opening = F.size(F.array_intersect(F.slice("terms", 1, span), some)) >= need
-        pairs += [F.when(whole, F.struct(F.lit(i).alias("template"), F.lit(0).alias("span"))),
-                  F.when(whole & (F.size("terms") > span) & opening, F.struct(F.lit(i).alias("template"), F.lit(span).alias("span")))]
-    # most files lack even the fewest terms that any text needs
-    some = F.when(F.size("shared") >= min(need for *_, need in tests), F.array_compact(F.array(*pairs)))
-    near = (files.where("text IS NOT NULL").select("file_id", "path", terms(F.col("text")).alias("terms"))
-            .withColumn("shared", F.array_intersect("terms", listed))
-            .select("file_id", "path", "terms", F.explode_outer(some).alias("pair")).where("pair IS NOT NULL")
-            .select("file_id", "path", "pair.*", F.when(F.col("pair.span") == 0, F.col("terms")).otherwise(
-                F.slice("terms", F.lit(1), F.greatest("pair.span", F.lit(1)))).alias("terms")))
+    names = F.broadcast(spark.createDataFrame([(i, name) for i, (name, _) in enumerate(texts)], "template int, license string"))
+    enough = [F.when(F.size(F.array_intersect("held", F.split(F.lit(" ".join(top)), " "))) >= need, F.lit(i)) for i, (top, need) in enumerate(tests)]
+    few = F.size("held") >= min(need for _, need in tests)
+    asked = held.where(few).select("file_id", "path", F.array_compact(F.array(*enough)).alias("templates")).where(F.size("templates") > 0)
+    # rows of one file and path are asked for alike
+    asked = stored(asked.groupBy("file_id", "path").agg(F.array_distinct(F.flatten(F.collect_set("templates"))).alias("templates")), "license-asked")
+    asked, _ = bounded_broadcast(asked)
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("file_id", "path")]
+    near = files.where("text IS NOT NULL").alias("f").join(asked.alias("a"), same[0] & same[1]).select(
+        "f.file_id", "f.path", terms(F.col("f.text")).alias("terms"), "templates")
+    span = F.element_at(F.array(*map(F.lit, spans)), F.col("template") + 1)  # span 0: the whole; an opening as long as the file is the whole
+    near = (near.select("file_id", "path", "terms", F.explode_outer("templates").alias("template"))
+            .select("*", F.explode_outer(F.when(F.size("terms") > span, F.array(F.lit(0), span)).otherwise(F.array(F.lit(0)))).alias("span"))
+            .select("file_id", "path", "template", "span", F.when(F.col("span") == 0, F.col("terms")).otherwise(
+                F.slice("terms", F.lit(1), F.greatest("span", F.lit(1)))).alias("terms")))
     pair = ["file_id", "path", "template", "span"]
     counted = near.select(*pair, F.explode_outer("terms").alias("term")).groupBy(*pair, "term").agg(F.count(F.lit(1)).alias("tf"))
     w = (1 + F.log("tf")) * F.coalesce("_idf", F.lit(rare))
-    scored = (counted.join(idfs, "term", "left").join(weights.select("template", "term", "_w"), ["template", "term"], "left").withColumn("w", w)
+    scored = (counted.join(idfs, "term", "left").join(weights, ["template", "term"], "left").withColumn("w", w)
               .groupBy(*pair).agg(F.round(F.sum(F.col("w") * F.coalesce("_w", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("score")))
     return scored.where(F.col("score") >= least).join(names, "template").select("file_id", "path", "license", "score", (F.col("span") == 0).alias("whole"))
 
@@ -225,7 +221,7 @@ def scan_licenses(files: DataFrame, templates: tuple = TEMPLATES, least: float =
     anchored = files.select("file_id", "path", found.alias("text")).where("text IS NOT NULL").select(
         "file_id", "path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"),
         F.filter(F.split("text", SENTENCE), lambda s: s.rlike(ANCHOR) & ~s.rlike(IDENTIFIER) & ~s.rlike(DENIED)).alias("all"))
-    passages = stored(anchored.select("file_id", "path", "n_words", F.explode("all").alias("passage"))
+    passages = stored(anchored.select("file_id", "path", "n_words", F.explode_outer("all").alias("passage")).where("passage IS NOT NULL")
                       .withColumn("passage", F.trim("passage")), "license-passages")
     known = match_passages(passages, templates, least)
     hits = passages.join(known, "passage")
