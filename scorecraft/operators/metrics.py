@@ -82,6 +82,32 @@ def confusion_long(counts: DataFrame, runs: Sequence[str], domains: DataFrame |
                 .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
 
 
+def confusion_over(counts: DataFrame, runs: Sequence[str], classes: DataFrame) -> DataFrame:
+    """Confusion matrix over each run's class list, in its order: ``(runs..., true_idx, true_label, pred_idx, pred_label, n)``.
+
+    ``classes`` holds (runs..., class_idx, class).  Every pair of the list has a row, classes that are never
+    true or never answered too.  Whatever lies outside the list, NULL included, is gathered under a NULL label, in rows of their own
+    where there is any, so that the counts of a run add up to its rows.  The counted cells are joined with the
+    list; the zero cells come from exploding the list of each run.
+    """
+    runs = list(runs)
+    listed = classes.select(*runs, "class_idx", "class").dropDuplicates([*runs, "class"])
+
+    def side(df: DataFrame, label: str, idx: str, name: str) -> DataFrame:
+        known = listed.select(*runs, F.col("class_idx").alias(idx), F.col("class").alias(name))
+        return df.join(known.withColumn(label, F.col(name)), [*runs, label], "left")
+
+    cells = side(side(counts, "gt", "true_idx", "true_label"), "pred", "pred_idx", "pred_label")
+    found = cells.groupBy(*runs, "true_idx", "true_label", "pred_idx", "pred_label").agg(F.sum("n").cast("bigint").alias("n"))
+    lists = listed.groupBy(*runs).agg(F.sort_array(F.collect_list(F.struct("class_idx", "class"))).alias("_l"))
+    grid = lists.select(*runs, "_l", F.explode("_l").alias("_t")).select(*runs, "_t", F.explode("_l").alias("_p")).select(
+        *runs, F.col("_t.class_idx").alias("true_idx"), F.col("_t.class").alias("true_label"),
+        F.col("_p.class_idx").alias("pred_idx"), F.col("_p.class").alias("pred_label"), F.lit(0).cast("bigint").alias("n"))
+    # zero cells and counted ones are summed, which needs no join on labels that may be NULL
+    return (grid.unionByName(found).groupBy(*runs, "true_idx", "true_label", "pred_idx", "pred_label")
+            .agg(F.sum("n").cast("bigint").alias("n")))
+
+
 def independent_domains(counts: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Row labels = sorted distinct gt, column labels = sorted distinct pred, per run."""
     runs = list(runs)

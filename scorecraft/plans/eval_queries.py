@@ -111,3 +111,24 @@ def zeroshot_eval_accuracy(spark: SparkSession, sf: str) -> DataFrame:
                                              F.col("predicted_class").alias("pred")), ["run"]), ["run"])
     return acc.select("run", F.col("n").cast("bigint").alias("n"), F.col("correct").cast("bigint").alias("correct"),
                       F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("zeroshot_eval_confusion", "AGG3 DOM1 DOM3: confusion over the run's class list", sql=f"""
+WITH s AS ({_sql()}),
+lists AS (
+  SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY class) - 1 AS INTEGER) AS idx, class
+  FROM (SELECT DISTINCT run, gt_key AS class FROM s WHERE run = 'PartBrands_author_LLaVa' UNION SELECT 'PartBrands_author_LLaVa', 'unknown')
+  UNION ALL SELECT 'Orders_year_LLaVa', CAST((c - 1400) / 100 AS INTEGER), CAST(c AS VARCHAR) FROM range(1400, 2100, 100) AS t(c)),
+found AS (
+  SELECT s.run, t.idx AS true_idx, t.class AS true_label, p.idx AS pred_idx, p.class AS pred_label, count(*) AS n
+  FROM s LEFT JOIN lists t ON t.run = s.run AND t.class = s.gt_key LEFT JOIN lists p ON p.run = s.run AND p.class = s.predicted_class GROUP BY ALL),
+grid AS (
+  SELECT t.run, t.idx AS true_idx, t.class AS true_label, p.idx AS pred_idx, p.class AS pred_label FROM lists t JOIN lists p ON p.run = t.run)
+SELECT g.*, CAST(coalesce(f.n, 0) AS BIGINT) AS n FROM grid g LEFT JOIN found f
+  ON f.run = g.run AND f.true_label = g.true_label AND f.pred_label = g.pred_label
+UNION ALL SELECT run, true_idx, true_label, pred_idx, pred_label, n FROM found WHERE true_idx IS NULL OR pred_idx IS NULL""")
+def zeroshot_eval_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job's confusion: ``unknown`` is never true, centuries before the orders are neither true nor answered."""
+    from scorecraft.plans.evaluate import run_report
+    ev = evaluate_predictions(_predictions(spark, sf), profiles=PROFILES)
+    return run_report(ev)["confusion"].select("run", "true_idx", "true_label", "pred_idx", "pred_label", "n")

@@ -19,6 +19,7 @@ from scorecraft.operators import metrics as M
 from scorecraft.operators.domains import STYLE_ORDER, UNKNOWN, YEAR_END, YEAR_START, order_table
 from scorecraft.operators.encode import token_nearest
 from scorecraft.operators.nearest import zero_shot
+from scorecraft.operators.ordering import first_n
 from scorecraft.operators.rules import canonical_attribute, canonical_model, clean_predictions
 from scorecraft.session import bounded_broadcast, cut_lineage
 
@@ -162,12 +163,19 @@ def evaluate_predictions(preds: DataFrame, year_precision: int = 100, class_temp
     return out.withColumn("correct", F.coalesce(F.col("predicted_class") == F.col("gt_key"), F.lit(False)))
 
 
-def run_report(processed: DataFrame, pred_col: str = "predicted_class", gt_col: str = "gt_key") -> dict[str, DataFrame]:
-    """Accuracy per run and per-class P/R/F1 (labels = sorted distinct gt), one count table."""
+def run_report(processed: DataFrame, pred_col: str = "predicted_class", gt_col: str = "gt_key",
+               domains: DataFrame | None = None, year_precision: int = 100) -> dict[str, DataFrame]:
+    """Accuracy, per-class P/R/F1 (labels = sorted distinct gt) and confusion, from one count table.
+
+    The confusion is over the run's class list (``domains``: run, class_idx, class; by default
+    ``run_domains`` of the rows), with what lies outside it under a NULL label.
+    """
     counts = M.pair_counts(processed, RUN, gt_col, pred_col)
     prf = M.precision_recall_f1(M.class_stats(counts, RUN))
+    domains = domains if domains is not None else run_domains(processed, year_precision)
+    listed, _ = bounded_broadcast(counts.select(*RUN).distinct())
     return {"accuracy": M.accuracy(counts, RUN), "prf": prf, "macro": M.macro_average(prf, RUN),
-            "confusion": M.confusion_long(counts, RUN)}
+            "confusion": M.confusion_over(counts, RUN, domains.join(listed, "run").select(*RUN, "class_idx", "class"))}
 
 
 def classify_features(annotations: DataFrame, features: DataFrame, classes: DataFrame, attribute: str,
@@ -176,11 +184,12 @@ def classify_features(annotations: DataFrame, features: DataFrame, classes: Data
 
     ``annotations`` (file, <attribute>, ...) joins ``features`` (file, features)
     on the file key; ``classes`` holds ``class_idx, class_label, class_vec``.
-    ``n >= 0`` keeps the first n annotation rows in key order.
+    ``n >= 0`` keeps the first n annotation rows: in file order where the annotations
+    have their place (``pos``, from ``read_annotations``), else in key order.
     """
-    ann = annotations.select("file", T.normalise_label(attribute).alias("gt"))
-    if n >= 0:
-        ann = ann.orderBy("file").limit(n)
+    order = "pos" if "pos" in annotations.columns else "file"
+    ann = first_n(annotations.select("file", *([order] if order != "file" else []), T.normalise_label(attribute).alias("gt")), order, n)
+    ann = ann.select("file", "gt")
     items = ann.join(features.select("file", "features"), "file")
     return zero_shot(items, "features", "gt", classes, logit_scale)
 

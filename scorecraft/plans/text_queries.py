@@ -359,17 +359,19 @@ def year_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @register("year_domain", "DOM3", sql=_year_pipeline_sql(
     "SELECT CAST((c - 1400) / 100 AS INTEGER) AS class_idx, CAST(c AS VARCHAR) AS class, "
     "count(p.pred_year) AS n FROM range(1400, 2100, 100) AS t(c) "
-    "LEFT JOIN p ON p.pred_year = CAST(c AS VARCHAR) GROUP BY c"))
+    "LEFT JOIN p ON p.pred_year = CAST(c AS VARCHAR) GROUP BY c "
+    "UNION ALL SELECT NULL, NULL, count(*) FROM p WHERE pred_year IS NULL OR pred_year NOT IN "
+    "(SELECT CAST(c AS VARCHAR) FROM range(1400, 2100, 100) AS t(c))"))
 def year_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers per class of the year domain, and one row without a class for those outside it: the counts add up to the answers."""
     from scorecraft.operators.domains import year_domain as dom3
-    dom = dom3(spark, 100)
-    p = _year_pipeline(spark, sf).select(F.col("pred_year").alias("class"))
-    # Keep in-domain answers (broadcast semi-join on the 7-row domain) before
-    # counting, so the count table is bounded by the domain size.
-    counts = (p.join(F.broadcast(dom.select("class")), "class", "left_semi")
-               .groupBy("class").agg(F.count(F.lit(1)).alias("n")))
-    return (dom.join(counts, "class", "left")
-            .select("class_idx", "class", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    dom = dom3(spark, 100).select(F.col("class_idx").cast("int").alias("class_idx"), "class")
+    # Answers are counted first; the cleaning runs once, in that pass alone.
+    counts = _year_pipeline(spark, sf).groupBy("pred_year").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.join(F.broadcast(dom), counts["pred_year"] == dom["class"], "left").select("class_idx", "class", "n")
+    zero = dom.select("class_idx", "class", F.lit(0).cast("bigint").alias("n"))
+    rest = spark.range(1).select(F.lit(None).cast("int").alias("class_idx"), F.lit(None).cast("string").alias("class"), F.lit(0).cast("bigint").alias("n"))
+    return (found.unionByName(zero).unionByName(rest).groupBy("class_idx", "class").agg(F.sum("n").cast("bigint").alias("n")))
 
 
 # --- TXT1 / PRM4 on whole chat transcripts ---------------------------------------

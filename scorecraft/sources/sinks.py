@@ -13,6 +13,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
+from scorecraft.sources.files import MANIFEST_SCHEMA
 
 RUN_PARTITIONS = ["dataset", "attribute", "model"]
 
@@ -27,15 +30,26 @@ def write_runs(df: DataFrame, path: str, partitions: list[str] = RUN_PARTITIONS)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def manifest_row(spark: SparkSession, args: dict[str, Any]) -> DataFrame:
-    """One-row DataFrame of a run's parameters (plus the JSON text)."""
-    flat = {k: (None if v is None else str(v)) for k, v in args.items()}
-    df = spark.createDataFrame([flat], ", ".join(f"`{k}` string" for k in flat))
-    return df.withColumn("args_json", F.lit(json.dumps(args, indent=4)))
+def run_name(args: dict[str, Any]) -> str:
+    """Folder name of a run's results: dataset, attribute and model."""
+    return "_".join(str(args.get(k) or "none") for k in ("dataset_name", "attribute", "image_model"))
+
+
+def manifest_row(spark: SparkSession, args: dict[str, Any], run: str | None = None) -> DataFrame:
+    """One-row DataFrame of a run's parameters.
+
+    The columns are always those of ``MANIFEST_SCHEMA``, NULL where the run has no such
+    parameter, and ``run``; ``args_json`` holds all parameters, those that have no column too.
+    """
+    schema = _parse_datatype_string(MANIFEST_SCHEMA)
+    held = json.dumps({k: v for k, v in args.items() if k in schema.fieldNames()})
+    row = spark.createDataFrame([(run or run_name(args), held, json.dumps(args, indent=4))], "run string, _held string, args_json string")
+    return row.withColumn("_a", F.from_json("_held", MANIFEST_SCHEMA)).select("_a.*", "args_json", "run")
 
 
-def append_manifest(spark: SparkSession, args: dict[str, Any], path: str) -> None:
-    manifest_row(spark, args).write.mode("append").parquet(path)
+def append_manifest(spark: SparkSession, args: dict[str, Any], path: str, run: str | None = None) -> None:
+    """Put a run's manifest in the table: its own partition is replaced, so a retried write leaves one row."""
+    manifest_row(spark, args, run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def feature_file_name(file_col: str = "file"):

@@ -102,3 +102,14 @@ def test_dense_confusion_has_no_label_cap(spark):
     counts = M.pair_counts(df, [])
     dense = M.confusion_long(counts, [])
     assert dense.where("true_label = '17'").agg({"n": "sum", "*": "count"}).first().asDict() == {"sum(n)": 1, "count(1)": 5001}
+
+
+def test_confusion_over_the_class_list_adds_up(spark):
+    rows = [("r", "a", "a"), ("r", "a", "unknown"), ("r", "b", None), ("r", "odd", "a"), ("r", None, "odd"), ("r", "a", "odd"), ("s", "x", "x")]
+    counts = M.pair_counts(spark.createDataFrame(rows, "run string, gt string, pred string"), ["run"])
+    classes = spark.createDataFrame([("r", 0, "b"), ("r", 1, "a"), ("r", 2, "unknown"), ("s", 0, "x"), ("t", 0, "y")], "run string, class_idx int, class string")
+    got = {(r["run"], r["true_label"], r["pred_label"]): (r["true_idx"], r["pred_idx"], r["n"]) for r in M.confusion_over(counts, ["run"], classes).collect()}
+    assert {k: v for k, v in got.items() if v[2]} == {
+        ("r", "a", "a"): (1, 1, 1), ("r", "a", "unknown"): (1, 2, 1), ("r", "b", None): (0, None, 1), ("r", None, "a"): (None, 1, 1),
+        ("r", None, None): (None, None, 1), ("r", "a", None): (1, None, 1), ("s", "x", "x"): (0, 0, 1)}
+    assert sum(v[2] for k, v in got.items() if k[0] == "r") == 6 and sum(1 for k in got if k[0] == "r") == 9 + 4 and ("t", "y", "y") in got

@@ -97,3 +97,18 @@ def test_conditioned_run_does_not_replace_its_base_run(spark, tmp_path):
         write_runs(spark.createDataFrame(part, schema), out)
     got = {r["run"]: r["count"] for r in spark.read.parquet(out).groupBy("run").count().collect()}
     assert got == {"ArTest_style_LLaVa": 5, "ArTest_styleGivenAuthor_LLaVa": 3}
+
+
+def test_manifests_have_one_row_a_run_and_one_schema(spark):
+    out = tempfile.mkdtemp(prefix="scorecraft-man-")
+    one = {"dataset_name": "ArTest", "attribute": "style", "image_model": "CLIP", "n": -1, "own_flag": True}
+    for _ in range(3):  # retried writes
+        sinks.append_manifest(spark, one, out)
+    sinks.append_manifest(spark, {"dataset_name": "ArTest", "attribute": "year", "image_model": "LLaVa", "lr": 0.5, "n": "not a number"}, out)
+    sinks.append_manifest(spark, {}, out, run="bare")
+    back = spark.read.parquet(out)
+    assert {r["run"]: (r["attribute"], r["n"], r["lr"]) for r in back.collect()} == {
+        "ArTest_style_CLIP": ("style", -1, None), "ArTest_year_LLaVa": ("year", None, 0.5), "bare": (None, None, None)}
+    assert back.count() == 3 and json.loads(back.where("run = 'ArTest_style_CLIP'").first()["args_json"]) == one
+    sinks.append_manifest(spark, {**one, "n": 5}, out)
+    assert spark.read.parquet(out).where("run = 'ArTest_style_CLIP'").first()["n"] == 5
