@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.functions import text as T
+from scorecraft.operators import audit as A
 from scorecraft.operators import domains as D
 from scorecraft.operators import metrics as M
 from scorecraft.operators import prompts as P
 from scorecraft.operators.encode import token_nearest
+from scorecraft.plans.evaluate import attach_manifest
 from scorecraft.plans.registry import register, table
 from scorecraft.session import bounded_broadcast
 from scorecraft.sources.files import run_identity
@@ -252,12 +254,12 @@ def run_identity_query(spark: SparkSession, sf: str) -> DataFrame:
     manifests = parsed.select("run", _manifest_attr(F.col("attribute_raw"), F.col("dataset"))
                               .alias("manifest_attribute")).distinct()
     manifests, _ = bounded_broadcast(manifests)
-    from scorecraft.operators.rules import canonical_attribute
-    j = parsed.join(manifests, "run")
-    return j.select("run", "dataset", "attribute_raw", "attribute", "given_author", "given_year", "model",
-                    "manifest_attribute",
-                    (canonical_attribute(F.col("manifest_attribute")) != F.col("attribute"))
-                    .alias("attribute_mismatch"), "n")
+    j = attach_manifest(parsed, manifests.withColumn("prompt", F.lit(None).cast("string")))
+    # one row a run: the audit's findings, joined back as a flag
+    drift = A.manifest_attribute_drift(j).select("run", F.lit(True).alias("_drift"))
+    return j.join(drift, "run", "left").select(
+        "run", "dataset", "attribute_raw", "attribute", "given_author", "given_year", "model",
+        "manifest_attribute", F.coalesce("_drift", F.lit(False)).alias("attribute_mismatch"), "n")
 
 
 # --- AGG2 / LIM1 / PRJ5 ----------------------------------------------------------
@@ -278,12 +280,13 @@ def accuracy_all(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     scored = docs.join(labels, "doc_id").select((F.col("n_chars") > 1000).cast("int").alias("gt"),
                                                F.col("quality").alias("pred"))
-    acc = M.accuracy(M.pair_counts(scored, []), [])
-    total = docs.select(F.count(F.lit(1))).scalar()
-    return acc.select(total.alias("n_total"), F.col("n").cast("bigint").alias("n_scored"),
+    counts = M.pair_counts(scored.withColumn("run", F.lit("quality")), ["run"])
+    total = docs.agg(F.count(F.lit(1)).alias("n_total")).withColumn("run", F.lit("quality"))
+    acc = M.accuracy_over(counts, ["run"], total)
+    return acc.select("n_total", F.col("n").cast("bigint").alias("n_scored"),
                       F.col("correct").cast("bigint").alias("correct"),
                       F.round("accuracy", 6).alias("accuracy_scored"),
-                      F.round(F.col("correct") / total * 100.0, 6).alias("accuracy_all"))
+                      F.round("accuracy_all", 6).alias("accuracy_all"))
 
 
 @register("limit_n", "LIM1 PRJ5", sql=f"""
@@ -396,10 +399,45 @@ UNION ALL
 SELECT 'labels_without_document',
        (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id))""")
 def audit_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id")
-    labels = table(spark, sf, "labels").select("doc_id")
-    a = docs.join(labels, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("documents_without_label").alias("side"), "n")
-    b = labels.join(docs, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("labels_without_document").alias("side"), "n")
-    return a.unionByName(b)
+    found = A.unmatched_files(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "doc_id")
+    names = F.when(F.col("side") == "results_only", "documents_without_label").otherwise("labels_without_document")
+    zero = spark.createDataFrame([("documents_without_label", 0), ("labels_without_document", 0)], "side string, n long")
+    counts = found.groupBy(names.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(zero).groupBy("side").agg(F.sum("n").alias("n"))
+
+
+# --- AU2 / AU3 / JN4 -------------------------------------------------------------
+
+@register("gt_disagreements", "AU2", sql="""
+SELECT CAST(p_partkey AS VARCHAR) AS images, CASE WHEN p_partkey % 7 = 0 THEN 'Brand 99' WHEN p_partkey % 11 = 0 THEN NULL
+       ELSE replace(p_brand, '#', '_') END AS gt, lower(replace(p_brand, '#', ' ')) AS annotated
+FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0""")
+def gt_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored ground truths (some altered, some missing) that differ from the annotated brand once both are normalised."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    gt = F.when(F.col("p_partkey") % 7 == 0, "Brand 99").when(F.col("p_partkey") % 11 == 0, None).otherwise(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    results = p.select(key.alias("images"), gt.alias("gt"))
+    annotations = p.select(key.alias("file"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"))
+    return A.gt_disagreements(results, annotations, "brand").select("images", "gt", "annotated")
+
+
+@register("runs_without_results", "AU3", sql=f"""
+WITH r AS (SELECT {_FOLDER_SQL} AS run, p_retailprice FROM part)
+SELECT DISTINCT run FROM r WHERE run NOT IN (SELECT run FROM r WHERE p_retailprice % 100 > 60 AND run NOT LIKE 'DS13%')""")
+def runs_without_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's run has a manifest, only some parts have a stored answer."""
+    rows = table(spark, sf, "part").select(_folder().alias("run"), "p_retailprice")
+    results = rows.where((F.col("p_retailprice") % 100 > 60) & ~F.col("run").startswith("DS13"))
+    return A.runs_without_results(rows, results)
+
+
+@register("manifest_join", "JN4", sql=f"""
+WITH r AS (SELECT {_FOLDER_SQL} AS run, p_partkey, p_size FROM part),
+m AS (SELECT DISTINCT run, 'Which style? (' || run || ')' AS prompt, split_part(run, '_', 2) AS manifest_attribute FROM r WHERE run NOT LIKE '%GPT-4o')
+SELECT r.run, r.p_partkey, m.prompt, m.manifest_attribute FROM r LEFT JOIN m USING (run)""")
+def manifest_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows joined to the manifest of their run; one model's runs have none."""
+    rows = table(spark, sf, "part").select(_folder().alias("run"), "p_partkey")
+    manifests = rows.where(~F.col("run").endswith("GPT-4o")).select("run").distinct().select(
+        "run", F.concat(F.lit("Which style? ("), "run", F.lit(")")).alias("prompt"), F.split_part("run", F.lit("_"), F.lit(2)).alias("manifest_attribute"))
+    return attach_manifest(rows, manifests).select("run", "p_partkey", "prompt", "manifest_attribute")
