@@ -38,7 +38,7 @@ HOT_ROWS = 10_000
 
 def terms(text: Column) -> Column:
     """Distinct terms of a text, A-Z lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), ""))
 
 
 def subset_rates(rates: tuple = RATES) -> list[int]:
@@ -71,16 +71,28 @@ def _if_in(k: int) -> Callable[[Column], Column]:
     return lambda t: F.when(t["subsets"].bitwiseAND(F.lit(1 << k).cast("long")) != 0, t["term"])
 
 
-def _hashes(held: Column, bare: Column, n_subsets: int) -> Column:
-    """One hash per subset of the sorted (term, subsets, in) in ``held``; empty where a subset holds none of them.
+def rare_subsets(rates: tuple) -> list[list[int]]:
+    """Subsets that are looked for among a part of the terms only: those of a rate of 8 or more, and of 32 or more."""
+    listed = list(enumerate(subset_rates(rates)))
+    return [[k for k, rate in listed if 8 <= rate < 32], [k for k, rate in listed if rate >= 32]]
 
-    A document without a term of the lexicon takes ``bare``, the hash of all its terms, for every subset.
+
+def _any_of(subsets: list[int]) -> Callable[[Column], Column]:
+    return lambda t: t["subsets"].bitwiseAND(F.lit(sum(1 << k for k in subsets)).cast("long")) != 0
+
+
+def _hashes(side: str, rates: tuple) -> Column:
+    """One hash per subset of the sorted (term, subsets, in) in column ``side``; empty where a subset holds none of them.
+
+    Columns ``side``_0 and ``side``_1 hold its terms that are in any of the rare subsets of either kind.
+    A document without a term of the lexicon takes column ``side``_bare, the hash of all its terms, for every subset.
     """
+    rare = {k: f"{side}_{i}" for i, ks in enumerate(rare_subsets(rates)) for k in ks}
+    n_subsets = len(subset_rates(rates))
     # joining leaves NULLs out, so a subset's terms are picked and joined in one go
-    joined = F.array(*[F.array_join(F.transform(held, _if_in(k)), " ")
-                       for k in range(n_subsets)])
+    joined = F.array(*[F.array_join(F.transform(rare.get(k, side), _if_in(k)), " ") for k in range(n_subsets)])
     of = F.transform(joined, lambda j: F.when(j == "", "").otherwise(F.substring(F.md5(j), 1, 8)))
-    return F.when(F.size(held) > 0, of).otherwise(F.array_repeat(bare, n_subsets))
+    return F.when(F.size(side) > 0, of).otherwise(F.array_repeat(F.col(f"{side}_bare"), n_subsets))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -147,7 +159,6 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     frequencies = stored(term_frequencies(whole), "imatch-terms")
     listed, _ = bounded_broadcast(stored(lexicon(frequencies, band, rates), "imatch-lexicon"), max_lexicon)
     below = frequencies.where(F.col("known") < band[0]).orderBy(F.desc("df"), "term").limit(EVERYDAY).agg(F.collect_list("term").alias("t")).scalar()
-    n_subsets = len(subset_rates(rates))
 
     order = Window.partitionBy("bucket").orderBy("tail", F.asc_nulls_first("doc_id"), "h")
     rows = in_order(whole).withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
@@ -183,8 +194,8 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     kept = kept.select(*key, *[(F.nullif(F.col("s")[i], F.lit("")).cast("long") if c == "doc_id" else F.col("s")[i].cast(types.get(c, "string"))).alias(c)
                                for i, c in enumerate(said)],
                        F.filter("held", lambda t: t["in"] != 2).alias("own"), F.filter("held", lambda t: t["in"] != 1).alias("new"))
-    made = kept.select(*key, "times", "tail", "doc_id", "n_chars", "edited_sha256",
-                       _hashes(F.col("own"), F.col("own_bare"), n_subsets).alias("own"), _hashes(F.col("new"), F.col("new_bare"), n_subsets).alias("new"))
+    kept = kept.select("*", *[F.filter(side, _any_of(ks)).alias(f"{side}_{i}") for side in ("own", "new") for i, ks in enumerate(rare_subsets(rates))])
+    made = kept.select(*key, "times", "tail", "doc_id", "n_chars", "edited_sha256", _hashes("own", rates).alias("own"), _hashes("new", rates).alias("new"))
     follow = Window.partitionBy("bucket").orderBy("place", "turn")
     out = made.withColumn("after", F.when(F.col("turn") == 0, F.col("own")).otherwise(F.lead("own").over(follow))).where(~F.col("tail"))
     out = out.select("doc_id", "n_chars", "edited_sha256", F.array_join("own", "-").alias("fingerprint"), F.array_join("new", "-").alias("edited_fingerprint"),
