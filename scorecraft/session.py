@@ -108,6 +108,7 @@ def suggested_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYT
     except Exception:  # noqa: BLE001 -- statistics are advisory
         return base
     unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
-    if size <= 0 or size >= unknown:
+    # a projection of a table of unknown size is some fraction of the default (2 ** 63 - 1: 8 million TB)
+    if size <= 0 or size >= unknown // 1000:
         return base
     return int(min(max(base, -(-size // target_bytes)), MAX_PARTITIONS))

@@ -31,3 +31,11 @@ def test_partition_sizing_and_checkpoint_folder(spark):
     assert suggested_partitions(docs, target_bytes=1024) > base  # size-driven above it
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert docs.select(F.col("doc_id")).count() > 0
+
+
+def test_partitions_of_a_table_of_unknown_size(spark):
+    from pyspark.sql import functions as F
+    from scorecraft.session import suggested_partitions
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a", "b")]), "k long, text string, other string")
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert suggested_partitions(df) == suggested_partitions(df.select("k", F.coalesce("text", F.lit("")).alias("text"))) == base
