@@ -26,8 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of ln(N / df) / ln(N): 0 for a term of all documents, 1 for a term of one.
 BAND = (0.1, 0.9)
-#: (number of subsets, one in how many terms).  The first is the whole lexicon.
-RATES = ((1, 1), (6, 2), (6, 8), (6, 32), (6, 128))
+#: (number of subsets, one in how many terms).  The first is the whole lexicon; the low rates tell long texts apart.
+RATES = ((1, 1), (6, 2), (6, 8), (6, 32), (6, 128), (6, 512), (6, 2048))
 # A lexicon of up to so many terms is broadcast, as pairs of numbers (about 32 bytes each, so 64 MB).
 MAX_LEXICON = 2_000_000
 # So many of the terms below the band are taken out of a text before its terms are looked up; the look-up would drop them too.

@@ -123,7 +123,7 @@ words AS (
     translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''))) AS term FROM texts),
 df AS (SELECT term, count(*) AS df FROM words WHERE kind = 'own' GROUP BY term),
 lex AS (SELECT term FROM df, (SELECT count(*) AS n FROM documents) WHERE CASE WHEN n > 1 THEN ln(n / df) / ln(n) ELSE 0 END BETWEEN 0.1 AND 0.9),
-subsets AS (SELECT k, CASE WHEN k < 1 THEN 1 WHEN k < 7 THEN 2 WHEN k < 13 THEN 8 WHEN k < 19 THEN 32 ELSE 128 END AS rate FROM range(25) r(k)),
+subsets AS (SELECT k, CASE WHEN k < 1 THEN 1 WHEN k < 7 THEN 2 WHEN k < 13 THEN 8 WHEN k < 19 THEN 32 WHEN k < 25 THEN 128 WHEN k < 31 THEN 512 ELSE 2048 END AS rate FROM range(37) r(k)),
 held AS (SELECT term, k FROM lex, subsets WHERE rate = 1 OR ('0x' || substr(md5(k || '|' || term), 1, 8))::BIGINT % rate = 0),
 has AS (SELECT pos, kind, bool_or(term IN (SELECT term FROM lex)) AS any_, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS bare FROM words GROUP BY pos, kind),
 hashed AS (SELECT pos, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS x FROM words JOIN held USING (term) GROUP BY pos, kind, k),
