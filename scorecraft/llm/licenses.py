@@ -135,8 +135,9 @@ def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
     spark = files.sparkSession
     texts = _block_templates()
     vocabulary = sorted({w for _, words in texts for w in words})
+    # no condition on what is worked out here or below: the optimizer would work it out once more in a filter
     held = stored(files.where("text IS NOT NULL").select("file_id", "path", F.array_intersect(
-        terms(F.col("text")), F.split(F.lit(" ".join(vocabulary)), " ")).alias("held")).where(F.size("held") > 0), "license-held")
+        terms(F.col("text")), F.split(F.lit(" ".join(vocabulary)), " ")).alias("held")), "license-held")
     df = {r["term"]: r["df"] for r in held.select(F.explode_outer("held").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     n = files.count()
     idf, rare = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
@@ -159,9 +160,9 @@ def match_blocks(files: DataFrame, least: float = BLOCK_COSINE) -> DataFrame:
     names = F.broadcast(spark.createDataFrame([(i, name) for i, (name, _) in enumerate(texts)], "template int, license string"))
     enough = [F.when(F.size(F.array_intersect("held", F.split(F.lit(" ".join(top)), " "))) >= need, F.lit(i)) for i, (top, need) in enumerate(tests)]
     few = F.size("held") >= min(need for _, need in tests)
-    asked = held.where(few).select("file_id", "path", F.array_compact(F.array(*enough)).alias("templates")).where(F.size("templates") > 0)
+    asked = held.where(few).select("file_id", "path", F.explode_outer(F.array(*enough)).alias("template")).where("template IS NOT NULL")
     # rows of one file and path are asked for alike
-    asked = stored(asked.groupBy("file_id", "path").agg(F.array_distinct(F.flatten(F.collect_set("templates"))).alias("templates")), "license-asked")
+    asked = stored(asked.groupBy("file_id", "path").agg(F.collect_set("template").alias("templates")), "license-asked")
     asked, _ = bounded_broadcast(asked)
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("file_id", "path")]
     near = files.where("text IS NOT NULL").alias("f").join(asked.alias("a"), same[0] & same[1]).select(
