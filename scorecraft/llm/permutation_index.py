@@ -23,7 +23,7 @@ PIVOTS, PREFIX, SAMPLE = 128, 112, 2048
 BLOCK, QUERY_BLOCK = 2048, 1024
 #: Share of a block's distinct vectors, and least number, that are reranked.
 RERANK_SHARE, RERANK_LEAST = 0.3, 100
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "query_id long, query_row long, vec_id long, score double"
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -80,7 +80,8 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
     fewer than ``k``.  Pivots are drawn from distinct vectors and apart, so a large
     group of copies or near copies takes no more of them than its place in space.  Which vectors take part is told in ``valid_vectors`` (no
     zero vectors); equal vectors of a block are searched as one and all count as
-    candidates.  A table without valid vectors gives no rows.
+    candidates; rows of the query's own vec_id are excluded, and a repeated vec_id with different
+    vectors gives several candidates, and as many queries.  A table without valid vectors gives no rows.
     """
     rows, dim = valid_vectors(table, nonzero=True)
     items = stored(pack(rows, max(dim, 1), lambda x: (x, np.sqrt((x * x).sum(axis=1)))), "permutation")
@@ -95,15 +96,15 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
     queries = items.where(F.col("vec_id") % every == 0)
     n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     spread = items.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int"))
+    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("row", F.xxhash64("vec_id", "data"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             x = packed(left["data"], np.float64, dim)
             x, ids, start, size = _classes(left["vec_id"].to_numpy(), x)
             files = InvertedFiles(permutations(x, base, m), len(base))
-            q, q_ids = packed(right["data"], np.float64, dim), right["vec_id"].to_numpy()
+            q, q_ids, q_rows = packed(right["data"], np.float64, dim), right["vec_id"].to_numpy(), right["row"].to_numpy()
             asks = permutations(q, base, m)
             take = min(len(x), max(least, k + 1, int(np.ceil(share * len(x)))))
             for i in range(len(q)):
@@ -117,10 +118,10 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
                 who, d = ids[ragged_index(start[near], copies)], np.repeat(d, copies)
                 who, d = who[who != q_ids[i]], d[who != q_ids[i]]
                 best = np.lexsort((who, d))[:k]
-                out.append((np.full(len(best), q_ids[i]), who[best], d[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
-                         "score": pa.array(cols[2], pa.float64())})
+                out.append((np.full(len(best), q_ids[i]), np.full(len(best), q_rows[i]), who[best], d[best]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "query_row": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()),
+                         "score": pa.array(cols[3], pa.float64())})
 
     everywhere = [(0, n_blocks, 1.0)]
     asked = asked.withColumn("least", F.lit(0.0))

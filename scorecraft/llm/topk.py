@@ -28,12 +28,16 @@ FOCUS = 4
 PROBE = 512
 # Slack for rounding: bounds are loosened by it, products are exact.
 EPS = 1e-9
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, query_row long, vec_id long, score long"
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.floor(SCALE * x).astype(np.int64)
-    return whole, np.sqrt((whole.astype(np.float64) ** 2).sum(axis=1))
+    whole = np.floor(SCALE * x)
+    norm = np.sqrt((whole ** 2).sum(axis=1))
+    # a product is at most the product of two lengths
+    if not (norm < 2.0 ** 31.5 * (1 - 1e-9)).all():
+        raise OverflowError("vectors so long that an inner product may be beyond 64 bits")
+    return whole.astype(np.int64), norm
 
 
 class Bucket:
@@ -101,9 +105,10 @@ class Bucket:
 def top_products(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its ``k`` highest products.
 
-    Score is the inner product of the components floor(256 x) (exact while
-    products stay below 2**63); ties go to the smaller vec_id; the query's own row
-    is excluded; all candidates if there are fewer than ``k``.  Which vectors
+    Score is the exact inner product of the components floor(256 x); vectors so long that one
+    could be beyond 64 bits are an error.  Ties go to the smaller vec_id; rows of the query's own
+    vec_id are excluded; all candidates if there are fewer than ``k``.  A repeated vec_id with
+    different vectors gives several candidates, and as many queries.  Which vectors
     take part is told in ``valid_vectors`` (zero vectors do).  A table without
     valid vectors gives no rows.
     """
@@ -112,7 +117,7 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, block: int = BLO
     n = items.count()
     queries = items.where(F.col("vec_id") % every == 0)
     n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int"))
+    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("row", F.xxhash64("vec_id", "data"))
 
     # Buckets: classes of length between quantiles, each cut by hash into blocks of bounded size.
     n_classes = max(1, min(CLASSES, -(-n // block)))
@@ -150,17 +155,18 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, block: int = BLO
                 least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k].astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=[*batch.schema.names, "least"])
 
-    asked = asked.mapInArrow(threshold, "vec_id long, norm double, data binary, query_block int, least double")
+    asked = asked.mapInArrow(threshold, "vec_id long, norm double, data binary, query_block int, row long, least double")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             bucket = Bucket(left["vec_id"].to_numpy(), packed(left["data"], np.int64, dim))
             q, q_ids, least = packed(right["data"], np.int64, dim), right["vec_id"].to_numpy(), right["least"].to_numpy()
+            q_rows = right["row"].to_numpy()
             for i in range(len(q)):
                 who, score = bucket.top(q[i], int(q_ids[i]), float(least[i]), k)
-                out.append((np.full(len(who), q_ids[i]), who, score))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+                out.append((np.full(len(who), q_ids[i]), np.full(len(who), q_rows[i]), who, score))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_row", "vec_id", "score"), cols, strict=True)})
 
     return best_of(search_blocks(spread, asked, spans, n_query_blocks, search, SCHEMA), k, True)

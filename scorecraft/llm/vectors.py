@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 
 def valid_vectors(table: DataFrame, nonzero: bool) -> tuple[DataFrame, int]:
-    """(vec_id, vec) of the vectors that take part, one per vec_id, and their dimension.
+    """(vec_id, vec) of the vectors that take part, and their dimension.
 
     Out are NULL ids and vectors, NULL or non-finite components, zero vectors if
     ``nonzero``, and vectors that have not the most frequent dimension (of equally
-    frequent ones the smallest).  Of several rows of one id the smallest vector
-    counts.  Other columns are not read.
+    frequent ones the smallest).  Rows that are alike in both count once; rows of one id
+    with different vectors all count.  Other columns are not read.
     """
     x = F.col("vec")
     ok = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(
@@ -26,7 +26,7 @@ def valid_vectors(table: DataFrame, nonzero: bool) -> tuple[DataFrame, int]:
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where(ok)
     common = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     dim = common["d"] if common else 0
-    return rows.where(F.size(x) == dim).groupBy("vec_id").agg(F.min("vec").alias("vec")), dim
+    return rows.where(F.size(x) == dim).distinct(), dim
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def search_blocks(items: DataFrame, queries: DataFrame, spans: list[tuple[int, i
 
 
 def best_of(found: DataFrame, k: int, descending: bool) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query's finds, ties to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the k best of each query's finds (``query_row``: one row of the queries), ties to the smaller vec_id."""
     order = F.desc("score") if descending else F.asc("score")
-    w = Window.partitionBy("query_id").orderBy(order, "vec_id")
+    w = Window.partitionBy("query_id", "query_row").orderBy(order, "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

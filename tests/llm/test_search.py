@@ -95,3 +95,18 @@ def test_recall_beside_many_copies(spark, noise):
             total += 10
     print(f"recall beside copies, noise {noise}: {hits / total:.3f} of {total}")
     assert hits / total >= 0.95
+
+
+def test_rows_of_one_id_all_count(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 5.0]), (1, [5.0, 5.0]), (2, [0.5, 0.0]), (50, [1.0, 0.0]), (100, [-1.0, 0.0]), (100, [2.0, 0.0])]
+    got = [tuple(r) for r in top_products(frame(spark, rows)).collect()]
+    assert (0, 1, 1, 327680) in got and (0, 2, 100, 131072) in got and (0, 3, 1, 65536) in got
+    assert sorted(g[1:] for g in got if g[0] == 100 and g[1] == 1) == [(1, 1, 655360), (1, 2, -32768)]
+    near = [tuple(r) for r in nearest(frame(spark, rows)).collect()]
+    assert [n[2] for n in sorted(near) if n[0] == 0] == [50, 2, 1, 100, 100, 1]
+    assert len([n for n in near if n[0] == 100]) == 10
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        top_products(frame(spark, [(0, [1e17, 0.0]), (1, [1e17, 1.0])])).collect()
