@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,61 @@ class Memo(dict):
         return at
 
 
+@cache
+def library_letters(path: str) -> tuple[dict[int, str], dict[int, str]]:
+    """Code points that the library cuts, and those that it lower-cases, otherwise than Python's modules, which know another Unicode version.
+
+    The first with a stand-in of the library's class (letter, number, white space, other), the second with the library's lower case.
+    All code points of the planes that hold letters are put to the library once; the planes 4 to 13 hold no
+    characters, 15 and 16 private ones, which are letters to nobody.
+    """
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    ours = TokenCounter(path, ({}, {}))
+    odd, lower = {}, {}
+    points = [c for c in (*range(0x80, 0x40000), *range(0xE0000, 0xE1000)) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        part = points[at:at + 4096]
+        # lower case: points that combine or break are told apart by what stands between
+        shown = library.normalizer.normalize_str("".join(f"0{chr(c)}" for c in part) + "0").split("0")[1:-1]
+        for c, x in zip(part, shown, strict=True):
+            if x != ours.lower(chr(c)) and len(x) == 1 and not x.isspace():
+                lower[c] = x
+        cells, place = [], {}
+        for c in part:
+            place[len(cells) * 4] = c
+            cells.append(f"a{chr(c)}!\n")
+        text = "".join(cells)
+        kind = {c: " " for c in part}
+        for _, (start, end) in library.pre_tokenizer.pre_tokenize_str(text):
+            c = place[start // 4 * 4]
+            inside = start % 4
+            if inside == 0 and end - start == 2:
+                kind[c] = "a"
+            elif inside == 1 and end - start == 2:
+                kind[c] = "!"
+            elif inside == 1 and end - start == 1:
+                kind[c] = "0"
+        mine = {c: " " for c in part}
+        for m in ours.pattern.finditer(text):
+            c = place[m.start() // 4 * 4]
+            inside, size = m.start() % 4, m.end() - m.start()
+            if inside == 0 and size == 2:
+                mine[c] = "a"
+            elif inside == 1:
+                mine[c] = "!" if size == 2 else "0"
+        odd |= {c: kind[c] for c in part if kind[c] != mine[c]}
+    return odd, lower
+
+
 class TokenCounter:
     """Counts tokens of texts as the library's ``encode`` gives them, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, letters_of: tuple[dict[int, str], dict[int, str]] | None = None):
+        self.odd, self.lowered = letters_of if letters_of is not None else library_letters(path)
+        rare = "".join(map(chr, sorted(self.odd.keys() | self.lowered.keys())))
+        self.rare = re.compile(f"[{re.escape(rare)}]") if rare else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -74,8 +126,15 @@ class TokenCounter:
         if text.isascii():
             return self.ascii.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        if self.rare is None or not self.rare.search(text):
+            return self.pattern.findall(self.lower(text))
+        text = self.lower(text.translate(self.lowered))
+        return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.odd))]
+
+    @staticmethod
+    def lower(text: str) -> str:
         # each letter by itself: no special form of sigma at the end of a word
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        return text.replace("Σ", "σ").lower()
 
     def learn(self, words: list[str]) -> None:
         """Merge all new pre-tokens together and remember their numbers of symbols."""
@@ -127,10 +186,12 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, over: int = OVER_L
     tokens); a NULL doc_id, ties and repeated rows keep one output row each; an
     empty table gives no rows; other columns are not read.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+    import public_tokenizers
 
-        counter = TokenCounter(public_tokenizers.path(tokenizer))
+    letters_of = docs.sparkSession.sparkContext.broadcast(library_letters(public_tokenizers.path(tokenizer)))  # some thousand code points
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TokenCounter(public_tokenizers.path(tokenizer), letters_of.value)
         for batch in batches:
             texts = batch.column("text")
             sizes, counts = [], []

@@ -83,3 +83,20 @@ def test_queries_keep_every_row(spark, docs):
     assert sorted((r["n_pieces"], r["n_decoded_bytes"]) for r in digest) == sorted((len(r["ids"]), len(r["decoded"].encode())) for r in rows)
     for f in (token_counts, encode_pieces, piece_digest):
         assert f(docs.limit(0)).count() == 0
+
+
+def test_every_kind_of_letter_counts_as_in_the_library():
+    """Code points that Python's modules and the library know from unlike Unicode versions, and a share of all others."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from scorecraft.llm.token_counts import TokenCounter, library_letters
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd, lower = library_letters(path)
+    points = sorted(set(range(1, 0x800)) | set(list(odd)[::5]) | set(lower) | {0x558, 0x88F, 0x1E6F3, 0xA7CB, 0xA7DC} | set(range(0x800, 0x110000, 97)))
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    library, counter = Tokenizer.from_file(path), TokenCounter(path)
+    texts = ["".join(form.format(chr(c)) for c in points[at:at + 16]) for at in range(0, len(points), 16) for form in ("a{}'s ", "a{}a ", "1{}! ")]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, counter.count(texts), want, strict=True) if g != w] == []
