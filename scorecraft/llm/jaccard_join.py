@@ -49,6 +49,8 @@ STARS = (2, 6)
 LEADER_SPREAD = 0.1
 # A key of more classes is worked on in blocks of about so many classes.
 FREQUENT, BLOCK = 64, 1024
+# Keys of a unit that are counted in one product.
+KEYS_AT_ONCE = 2048
 # Rows that name the texts to verify are broadcast up to this many (some 40 bytes each), and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -297,25 +299,24 @@ def _block_pairs(group: pa.Table) -> pa.Table:
 
     who, held = holds("keys")
     heads_of, heads = holds("often")
-    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(held))
-    by_class: list[list[int]] = [[] for _ in range(len(node))]  # places in ``starts`` of a class's keys
-    for k, (x, y) in enumerate(zip(starts, ends, strict=True)):
-        for c in who[x:y]:
-            by_class[c].append(k)
     often = [set() for _ in range(len(node))]
     for c, name in zip(heads_of.tolist(), heads.tolist(), strict=True):
         often[c].add(name)
+    # shared keys of all pairs as matrix products, a bounded number of keys at a time
+    column = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    shared = np.zeros((len(node), len(node)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, KEYS_AT_ONCE):
+        x, y = np.searchsorted(column, [at, at + KEYS_AT_ONCE])
+        has = np.zeros((len(node), min(KEYS_AT_ONCE, int(column[y - 1]) - at + 1)), np.float32)
+        has[who[x:y], column[x:y] - at] = 1
+        shared += has @ has.T
     key = group["key"][0].as_py()
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     one = bool((block == block[0]).all())
     for i in range(len(node)):
-        # classes that share keys with this one, counted over its keys alone
-        mine = by_class[i]
-        shared = np.bincount(np.concatenate([who[starts[k]:ends[k]] for k in mine]), minlength=len(node)) if mine else np.zeros(len(node), np.int64)
         small, large = np.minimum(n[i], n), np.maximum(n[i], n)
         least = np.maximum(1, -(-(small + large) * NUM // (NUM + DEN)) + 1 - -(-large * NUM // DEN))
-        ok = (shared >= least) & (small * DEN >= large * NUM) & (comp != comp[i]) & (node > node[i])
+        ok = (shared[i] >= least) & (small * DEN >= large * NUM) & (comp != comp[i]) & (node > node[i])
         if not one:
             ok &= block != block[i]
         js = [j for j in np.flatnonzero(ok).tolist() if min(often[i] & often[j]) == key]
