@@ -45,10 +45,11 @@ def accuracy(counts: DataFrame, runs: Sequence[str]) -> DataFrame:
 def accuracy_over(counts: DataFrame, runs: Sequence[str], denominators: DataFrame) -> DataFrame:
     """Accuracy against an external denominator (all annotated items, even if fewer scored).
 
-    ``denominators`` has the run columns and ``n_total``.
+    ``denominators`` has the run columns and ``n_total``; without run columns it is one row.
     """
     acc = accuracy(counts, runs)
-    return (acc.join(denominators, list(runs), "left")
+    joined = acc.join(denominators, list(runs), "left") if runs else acc.withColumn("n_total", denominators.select("n_total").scalar())
+    return (joined
                .withColumn("accuracy_all", F.col("correct") / F.col("n_total") * 100.0))
 
 

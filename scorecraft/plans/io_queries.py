@@ -280,9 +280,7 @@ def accuracy_all(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     scored = docs.join(labels, "doc_id").select((F.col("n_chars") > 1000).cast("int").alias("gt"),
                                                F.col("quality").alias("pred"))
-    counts = M.pair_counts(scored.withColumn("run", F.lit("quality")), ["run"])
-    total = docs.agg(F.count(F.lit(1)).alias("n_total")).withColumn("run", F.lit("quality"))
-    acc = M.accuracy_over(counts, ["run"], total)
+    acc = M.accuracy_over(M.pair_counts(scored, []), [], docs.agg(F.count(F.lit(1)).alias("n_total")))
     return acc.select("n_total", F.col("n").cast("bigint").alias("n_scored"),
                       F.col("correct").cast("bigint").alias("correct"),
                       F.round("accuracy", 6).alias("accuracy_scored"),
