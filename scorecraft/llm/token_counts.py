@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -48,6 +48,17 @@ class Memo(dict):
         return at
 
 
+def char_class(points: Iterable[int]) -> str:
+    """A pattern for one of the code points, as ranges: those beyond U+FFFF are tried one after the other at every character of a text."""
+    runs: list[list[int]] = []
+    for c in sorted(points):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\U{first:08x}-\U{last:08x}" for first, last in runs) + "]"
+
+
 @cache
 def library_letters(path: str) -> tuple[dict[int, str], dict[int, str]]:
     """Code points that the library cuts, and those that it lower-cases, otherwise than Python's modules, which know another Unicode version.
@@ -101,8 +112,8 @@ class TokenCounter:
 
     def __init__(self, path: str, letters_of: tuple[dict[int, str], dict[int, str]] | None = None):
         self.odd, self.lowered = letters_of if letters_of is not None else library_letters(path)
-        rare = "".join(map(chr, sorted(self.odd.keys() | self.lowered.keys())))
-        self.rare = re.compile(f"[{re.escape(rare)}]") if rare else None
+        rare = self.odd.keys() | self.lowered.keys()
+        self.rare = re.compile(char_class(rare)) if rare else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
