@@ -38,7 +38,9 @@ HOT_ROWS = 10_000
 
 def terms(text: Column) -> Column:
     """Distinct terms of a text, A-Z lower-cased."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), ""))
+    # lower() does the same to ASCII, byte by byte; translate() looks every code point up
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_distinct(F.array_remove(F.split(low, BETWEEN), ""))
 
 
 def subset_rates(rates: tuple = RATES) -> list[int]:
@@ -67,14 +69,10 @@ def lexicon(frequencies: DataFrame, band: tuple[float, float] = BAND, rates: tup
     return kept.select(F.xxhash64("term").alias("code"), mask.alias("subsets"))
 
 
-def _if_in(k: int) -> Callable[[Column], Column]:
-    return lambda t: F.when(t["subsets"].bitwiseAND(F.lit(1 << k).cast("long")) != 0, t["term"])
-
-
 def rare_subsets(rates: tuple) -> list[list[int]]:
-    """Subsets that are looked for among a part of the terms only: those of a rate of 8 or more, and of 32 or more."""
+    """Subsets that are looked for among a part of the terms only: those of a rate of 8 or more, of 32 or more, and of 128 or more."""
     listed = list(enumerate(subset_rates(rates)))
-    return [[k for k, rate in listed if 8 <= rate < 32], [k for k, rate in listed if rate >= 32]]
+    return [[k for k, rate in listed if least <= rate < most] for least, most in ((8, 32), (32, 128), (128, 1 << 62))]
 
 
 def _any_of(subsets: list[int]) -> Callable[[Column], Column]:
@@ -84,13 +82,13 @@ def _any_of(subsets: list[int]) -> Callable[[Column], Column]:
 def _hashes(side: str, rates: tuple) -> Column:
     """One hash per subset of the sorted (term, subsets, in) in column ``side``; empty where a subset holds none of them.
 
-    Columns ``side``_0 and ``side``_1 hold its terms that are in any of the rare subsets of either kind.
+    Columns ``side``_0, ``side``_1 and ``side``_2 hold its terms that are in any of the rare subsets of each kind.
     A document without a term of the lexicon takes column ``side``_bare, the hash of all its terms, for every subset.
     """
     rare = {k: f"{side}_{i}" for i, ks in enumerate(rare_subsets(rates)) for k in ks}
     n_subsets = len(subset_rates(rates))
-    # joining leaves NULLs out, so a subset's terms are picked and joined in one go
-    joined = F.array(*[F.array_join(F.transform(rare.get(k, side), _if_in(k)), " ") for k in range(n_subsets)])
+    held = [F.col(side) if rate == 1 else F.filter(rare.get(k, side), _any_of([k])) for k, rate in enumerate(subset_rates(rates))]
+    joined = F.array(*[F.array_join(h["term"], " ") for h in held])
     of = F.transform(joined, lambda j: F.when(j == "", "").otherwise(F.substring(F.md5(j), 1, 8)))
     return F.when(F.size(side) > 0, of).otherwise(F.array_repeat(F.col(f"{side}_bare"), n_subsets))
 
@@ -180,13 +178,12 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     rows = rows.withColumn("own_bare", bare("own")).withColumn("new_bare", bare("new")).select(
         *key, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in said]).alias("said"), rest("own").alias("own"), rest("new").alias("new"))
     # 1 marks a term of the own text, 2 of the edited one, 3 of both
-    entry = lambda t, where: F.struct(t.alias("term"), F.lit(where).alias("in"))
-    both = F.concat(F.array(entry(F.col("said"), 0)), F.transform(F.array_intersect("own", "new"), lambda t: entry(t, 3)),
-                    F.transform(F.array_except("own", "new"), lambda t: entry(t, 1)),
-                    F.transform(F.array_except("new", "own"), lambda t: entry(t, 2)))
+    marked = lambda where, these: F.struct(F.lit(where).alias("in"), these.alias("terms"))
+    both = F.array(marked(0, F.array("said")), marked(3, F.array_intersect("own", "new")),
+                   marked(1, F.array_except("own", "new")), marked(2, F.array_except("new", "own")))
     # worked out in a step of its own: beside the explode it would be for every term; for a plain explode also once more in a filter
     each = rows.select(*key, both.alias("both")).select(*key, F.explode_outer("both").alias("b")).select(
-        *key, "b.term", "b.in", F.when(F.col("b.in") > 0, F.xxhash64("b.term")).alias("code"))
+        *key, "b.in", F.explode("b.terms").alias("term")).select(*key, "term", "in", F.when(F.col("in") > 0, F.xxhash64("term")).alias("code"))
     kept = each.join(listed, "code", "left").groupBy(*key).agg(
         F.split(F.max(F.when(F.col("in") == 0, F.col("term"))), r"\|").alias("s"),
         F.sort_array(F.collect_list(F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets", "in")))).alias("held"))
@@ -194,7 +191,10 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, rates: tuple
     kept = kept.select(*key, *[(F.nullif(F.col("s")[i], F.lit("")).cast("long") if c == "doc_id" else F.col("s")[i].cast(types.get(c, "string"))).alias(c)
                                for i, c in enumerate(said)],
                        F.filter("held", lambda t: t["in"] != 2).alias("own"), F.filter("held", lambda t: t["in"] != 1).alias("new"))
-    kept = kept.select("*", *[F.filter(side, _any_of(ks)).alias(f"{side}_{i}") for side in ("own", "new") for i, ks in enumerate(rare_subsets(rates))])
+    few, fewer, fewest = rare_subsets(rates)
+    for side in ("own", "new"):
+        kept = kept.withColumn(f"{side}_0", F.filter(side, _any_of(few))).withColumn(f"{side}_1", F.filter(side, _any_of(fewer + fewest)))
+    kept = kept.select("*", *[F.filter(f"{side}_1", _any_of(fewest)).alias(f"{side}_2") for side in ("own", "new")])
     made = kept.select(*key, "times", "tail", "doc_id", "n_chars", "edited_sha256", _hashes("own", rates).alias("own"), _hashes("new", rates).alias("new"))
     follow = Window.partitionBy("bucket").orderBy("place", "turn")
     out = made.withColumn("after", F.when(F.col("turn") == 0, F.col("own")).otherwise(F.lead("own").over(follow))).where(~F.col("tail"))

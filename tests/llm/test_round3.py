@@ -104,6 +104,16 @@ def test_likeness_falls_with_the_share_of_changed_words(spark, texts):
     assert fps[0] == fps[1001] and 0.6 < same < 1
 
 
+def test_subsets_make_no_value_a_term_and_only_a_to_z_are_lower_cased(spark, texts):
+    plan = I.fingerprints(docs(spark, texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(own" not in plan and "transform(new" not in plan and "filter(own" in plan
+    listed = [k for ks in I.rare_subsets(I.RATES) for k in ks]
+    assert sorted(listed) == [k for k, rate in enumerate(I.subset_rates()) if rate >= 8]
+    rows = [(1, "ABC abc Z[z 9A"), (2, "ABC É é \u212a k İ ß AbC"), (3, ""), (4, "@Z`z{")]
+    got = docs(spark, rows).select("doc_id", I.terms(F.col("text")).alias("t")).collect()
+    assert {r["doc_id"]: r["t"] for r in got} == {1: ["abc", "z", "9a"], 2: ["abc", "É", "é", "\u212a", "k", "İ", "ß"], 3: [], 4: ["z"]}
+
+
 # ---- spelling variants -------------------------------------------------------------------
 
 def one_edit(a, b):
